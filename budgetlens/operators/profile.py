@@ -37,6 +37,8 @@ def describe(df: DataFrame, cols: Sequence[str], pcts: Sequence[float] = (0.25,
     stats = ["n", "mean", "std", "min", "max", "skew"]
     base = _unpivot_stats(df.agg(*aggs), cols, stats)
     names = [f"p{round(p * 100, 4):g}".replace(".", "_") for p in pcts]
+    if not pcts:
+        return base.select("column", "n", "mean", "std", "min", "max", "skew")
     q = quantile_wide(df, cols, pcts, names=names)
     return base.join(F.broadcast(q), "column", "left").select("column", "n", "mean", "std", "min", *names, "max", "skew")
 

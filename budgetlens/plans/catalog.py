@@ -1,3 +1,4 @@
 """Import every query module so that the registry is complete."""
 
 from . import q_ingest  # noqa: F401
+from . import q_profile  # noqa: F401

@@ -29,8 +29,10 @@ def rounded(df: DataFrame, money=(), d: int = 6, md: int = 4) -> DataFrame:
 
 def rsql(body: str, r6: str = "", r2: str = "") -> str:
     """Wrap a SELECT so the named columns are rounded like :func:`rounded`."""
-    reps = [f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in r6.split()]
-    reps += [f"round(CAST({c} AS DOUBLE), 4) AS {c}" for c in r2.split()]
+    r6 = r6.split() if isinstance(r6, str) else list(r6)
+    r2 = r2.split() if isinstance(r2, str) else list(r2)
+    reps = [f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in r6]
+    reps += [f"round(CAST({c} AS DOUBLE), 4) AS {c}" for c in r2]
     if not reps:
         return body
     return f"SELECT * REPLACE ({', '.join(reps)}) FROM (\n{body}\n) q"
@@ -38,3 +40,12 @@ def rsql(body: str, r6: str = "", r2: str = "") -> str:
 
 UNIT_DOUBLES6 = " ".join(["weight", "log_income", "debt_to_income", *SHARES, "rate"])
 UNIT_DOUBLES2 = " ".join(["income", *PARTS, "total", "residual"])
+
+
+def union_sql(items, template: str) -> str:
+    """``template`` formatted once per item and joined with UNION ALL."""
+    return "\nUNION ALL\n".join(template.format(c=c, i=i) for i, c in enumerate(items))
+
+
+def lit_list(xs) -> str:
+    return ", ".join(repr(x) if isinstance(x, str) else f"CAST({float(x)!r} AS DOUBLE)" for x in xs)

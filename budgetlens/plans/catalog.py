@@ -2,3 +2,4 @@
 
 from . import q_ingest  # noqa: F401
 from . import q_profile  # noqa: F401
+from . import q_audit  # noqa: F401

@@ -57,3 +57,39 @@ def units_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialized(
         spark, sf_dir, "units", lambda: build_units(raw_table(spark, sf_dir), STANDIN_SPEC)
     )
+
+
+def build_features(units):
+    """The feature table: Unknown levels, participation flags, winsorised debt, CLR of core parts.
+
+    Returns ``(features_df, info)`` where ``info`` holds the fitted lists and scalars.
+    """
+    from pyspark.sql import functions as F
+
+    from ..operators import features as FE
+    from ..operators import simplex as SX
+    from ..spec import CATEGORICALS, SHARES
+
+    zs = SX.fit_zero_sets(units, SHARES)
+    wf = FE.fit_winsor(units, "debt_to_income")
+    zr = SX.fit_zero_replacement(units, zs.core)
+    core_names = [c.removesuffix("_share") for c in zs.core]
+    zr_cols = SX.zero_replaced(zs.core, zr)
+    staged = units.select("*", *zr_cols)
+    clr_cols = SX.clr([f"{c}_zr" for c in zs.core], [f"{n}_clr" for n in core_names])
+    feats = staged.select(
+        "unit_id", "weight", "income", *SHARES, "log_income", "size", "dependents",
+        *SX.participation_flags(zs.zero_inflated),
+        FE.winsorized("debt_to_income", wf, "debt_to_income_w"),
+        (F.col("debt_to_income") > 0).cast("int").alias("has_debt"),
+        F.try_divide(F.col("dependents"), F.col("size")).alias("dependency_ratio"),
+        *FE.fill_unknown(CATEGORICALS),
+        *clr_cols,
+        "has_flag", "target", "rate",
+    )
+    info = {"zero_sets": zs, "winsor": wf, "zero_replacement": zr}
+    return feats, info
+
+
+def features_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialized(spark, sf_dir, "features", lambda: build_features(units_table(spark, sf_dir))[0])

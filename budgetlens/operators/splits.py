@@ -41,10 +41,15 @@ def seeded_pairs(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame
         rb.select("pair", *[F.col(c).alias(f"{c}_j") for c in cols]), "pair")
 
 
+def random_score_col(key: str, seed: int = SEED):
+    """Seeded uniform score in [0, 1): the first 13 hex digits of the hash / 2^52 (exact in a DOUBLE)."""
+    h, _ = hash_order_key(key, seed)
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
+
+
 def random_score(df: DataFrame, key: str, seed: int = SEED, name: str = "random_score") -> DataFrame:
-    """Seeded uniform score in [0, 1) per row from the hash."""
-    _, hn = hash_order_key(key, seed)
-    return df.withColumn(name, hn.cast("double") / F.lit(float(1 << 60)))
+    """Seeded uniform score per row."""
+    return df.withColumn(name, random_score_col(key, seed))
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = N_FOLDS, seed: int = SEED,

@@ -4,3 +4,4 @@ from . import q_ingest  # noqa: F401
 from . import q_profile  # noqa: F401
 from . import q_audit  # noqa: F401
 from . import q_metrics  # noqa: F401
+from . import q_cluster  # noqa: F401

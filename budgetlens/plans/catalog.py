@@ -5,3 +5,4 @@ from . import q_profile  # noqa: F401
 from . import q_audit  # noqa: F401
 from . import q_metrics  # noqa: F401
 from . import q_cluster  # noqa: F401
+from . import q_models  # noqa: F401

@@ -31,7 +31,7 @@ def safe_div(a: str | Column, b: str | Column) -> Column:
 
 def to_double(c: str | Column) -> Column:
     """``pd.to_numeric(errors="coerce")``: bad text and NaN become NULL (A3)."""
-    v = F.try_cast(col(c).cast("string"), "double") if isinstance(c, str) else F.try_cast(c, "double")
+    v = col(c).cast("string").try_cast("double")
     return F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(v)
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import types as T
 
 from ..spec import PARTS, SHARES
 
-MONEY = {"income", "total", "residual", *PARTS, "debt"} | {f"item_{k}" for k in range(1, 51)}
+# money with at most 4 decimals; monthly items (amount / 12) are rounded to 6 places, where
+# k / 120000 can never sit exactly on a rounding tie
+MONEY = {"income", "total", "residual", *PARTS, "debt"} | {f"item_{k}" for k in range(34, 51)}
 
 
 def rounded(df: DataFrame, money=(), d: int = 6, md: int = 4) -> DataFrame:

@@ -68,3 +68,20 @@ def external_validation(df: DataFrame, flags: Sequence[str], y: str) -> DataFram
         F.struct(F.lit(c).alias("column"), F.col(f"met{i}").alias("rate_met"), F.col(f"not{i}").alias("rate_not_met"),
                  (F.col(f"met{i}") - F.col(f"not{i}")).alias("lift"))
         for i, c in enumerate(flags)])))
+
+
+def plausibility(df: DataFrame, checks) -> DataFrame:
+    """Row rule flags: count and share of rows failing each check, in ONE aggregation.
+
+    ``checks`` is a list of ``(name, column, op, value)`` with op in ``< <= = > >=``.
+    """
+    ops = {"<": lambda c, v: c < v, "<=": lambda c, v: c <= v, "=": lambda c, v: c == v,
+           ">": lambda c, v: c > v, ">=": lambda c, v: c >= v}
+    aggs = []
+    for i, (name, c, op, v) in enumerate(checks):
+        cond = ops[op](F.col(c), F.lit(float(v)))
+        aggs += [F.count_if(F.coalesce(cond, F.lit(False))).alias(f"n{i}"), rate_if(cond).alias(f"r{i}")]
+    row = df.agg(*aggs)
+    return row.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("check"), F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("share"))
+        for i, (name, *_rest) in enumerate(checks)])))

@@ -332,3 +332,13 @@ def j07_vif(spark, sf):
     cols = ["log_income", "size", "dependents", "debt_to_income_w", "dependency_ratio", *SHARES]
     filled = f.select(*FE.imputed(cols, FE.fit_median_imputer(f, cols)))
     return f.sparkSession.createDataFrame(FE.vif(filled, cols), "column string, vif double")
+
+
+# ---- B17: plausibility checks -------------------------------------------------------------------------------
+from ..constants import PLAUSIBILITY_CHECKS  # noqa: E402
+
+@register("b17_plausibility", sql=with_units(rsql(union_sql(PLAUSIBILITY_CHECKS, (
+    "SELECT '{c[0]}' AS \"check\", count(*) FILTER (WHERE {c[1]} {c[2]} {c[3]!r}::DOUBLE) AS n, "
+    "avg(CASE WHEN {c[1]} {c[2]} {c[3]!r}::DOUBLE THEN 1.0 ELSE 0.0 END) AS share FROM units")), r6="share")))
+def b17_plausibility(spark, sf):
+    return rounded(A.plausibility(U(spark, sf), PLAUSIBILITY_CHECKS))

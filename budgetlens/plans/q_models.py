@@ -124,3 +124,12 @@ def p12_batch_scores(spark, sf):
     s = oof.join(u, "unit_id").select("unit_id", "label", "p", (1 - F.col("p")).alias("risk_score"), "income")
     s = BN.with_quantile_bins(s, "income", 10, "decile")
     return rounded(s.drop("income"))
+
+
+@register("l16_c_sensitivity")
+def l16_c_sensitivity(spark, sf):
+    """Spread (sample sd) across the C levels of the mean CV macro-F1."""
+    from ..operators.profile import spread_of_means
+
+    grid = l15_lr_c_grid(spark, sf)
+    return rounded(spread_of_means(grid, "C", "mean_f1"))

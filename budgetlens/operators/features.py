@@ -84,9 +84,12 @@ def scaled(cols: Sequence[str], fit: ScaleFit, suffix: str = "") -> list:
     return [((F.col(c) - F.lit(fit.center[c])) / F.lit(fit.scale[c])).alias(f"{c}{suffix}") for c in cols]
 
 
-def fit_levels(df: DataFrame, c: str) -> list[str]:
+def fit_levels(df: DataFrame, c: str, max_levels: int = 1000) -> list[str]:
     """Sorted distinct levels of a low-cardinality column (the category list a one-hot keeps)."""
-    return sorted(r[0] for r in df.select(c).distinct().filter(F.col(c).isNotNull()).collect())
+    levels = df.select(c).distinct().filter(F.col(c).isNotNull()).limit(max_levels + 1).collect()
+    if len(levels) > max_levels:
+        raise ValueError(f"{c} has more than {max_levels} levels; one-hot needs a low-cardinality column")
+    return sorted(r[0] for r in levels)
 
 
 def one_hot(c: str, levels: Sequence[str]) -> list:

@@ -298,9 +298,15 @@ def argextreme(df: DataFrame, metric: str, key: str) -> DataFrame:
 
 
 def best_per_group(df: DataFrame, g: str, metric: str, tiebreak: str) -> DataFrame:
-    """Row with the largest metric per group, smallest tie-break first."""
-    w = Window.partitionBy(g).orderBy(F.col(metric).desc(), F.col(tiebreak).asc())
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
+    """Row with the largest metric per group, smallest tie-break first.
+
+    A ``min_by`` aggregate rather than a window: partial aggregation keeps one
+    candidate per group per task, so a group holding a third of all rows is
+    never sorted in one task.
+    """
+    others = [c for c in df.columns if c != g]
+    best = F.min_by(F.struct(*[F.col(c) for c in others]), F.struct(-F.col(metric), F.col(tiebreak)))
+    return df.filter(F.col(metric).isNotNull()).groupBy(g).agg(best.alias("_b")).select(g, "_b.*")
 
 
 def spread_of_means(df: DataFrame, param: str, metric: str) -> DataFrame:

@@ -56,14 +56,33 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _chi_finish(e: DataFrame, dims: DataFrame) -> DataFrame:
+    """Sum over ALL r x c cells: observed cells from the table, empty cells contribute their expected count.
+
+    Empty cells are absent from a grouped count; each adds (0 - e)^2 / e = e, and the
+    expected counts of all cells sum to N, so the empty cells add N - sum(e over observed).
+    For a 2 x 2 table (Yates) the at most four cells are enumerated exactly.
+    """
     d = dims.first()
     r, c = int(d["r"]), int(d["c"])
-    yates = (r == 2 and c == 2)
-    dev = F.abs(F.col("o") - F.col("e"))
-    if yates:
-        dev = F.greatest(dev - 0.5, F.lit(0.0))
-    agg = e.agg(F.sum(dev * dev / F.col("e")).alias("chi2"), F.first("N").alias("N"))
     k = min(r, c) - 1
+    if r == 2 and c == 2:
+        cells = e.select("o", "e", "ra", "cb", "N").collect()  # at most 4 rows
+        n = cells[0]["N"]
+        chi2 = 0.0
+        seen = 0
+        for x in cells:
+            dev = max(abs(x["o"] - x["e"]) - 0.5, 0.0)
+            chi2 += dev * dev / x["e"]
+            seen += 1
+        # empty cells of a 2 x 2 table: expected counts from the margins of the present cells
+        missing = 4 - seen
+        if missing:
+            tot_e = sum(x["e"] for x in cells)
+            chi2 += sum([max(v - 0.5, 0.0) ** 2 / v for v in [(n - tot_e) / missing] * missing])
+        return e.limit(1).select(F.lit(chi2).alias("chi2"), F.lit(1).alias("dof"),
+                                 F.sqrt(F.lit(chi2) / F.col("N")).alias("cramers_v"))
+    dev = F.col("o") - F.col("e")
+    agg = e.agg((F.sum(dev * dev / F.col("e")) + (F.first("N") - F.sum("e"))).alias("chi2"), F.first("N").alias("N"))
     return agg.select("chi2", F.lit((r - 1) * (c - 1)).alias("dof"),
                       F.sqrt(F.col("chi2") / (F.col("N") * F.lit(max(k, 1)))).alias("cramers_v"))
 

@@ -53,13 +53,10 @@ def n06_ari_persona_area(spark, sf):
     WITH cells AS (SELECT persona, target, count(*) * 1.0 AS o FROM pt GROUP BY persona, target),
       e AS (SELECT *, sum(o) OVER (PARTITION BY persona) * sum(o) OVER (PARTITION BY target) / sum(o) OVER () AS e,
                   sum(o) OVER () AS N FROM cells),
-      d AS (SELECT count(DISTINCT persona) AS r, count(DISTINCT target) AS c FROM cells)
-    SELECT sum((CASE WHEN r = 2 AND c = 2 THEN greatest(abs(o - e) - 0.5, 0) ELSE abs(o - e) END)
-             * (CASE WHEN r = 2 AND c = 2 THEN greatest(abs(o - e) - 0.5, 0) ELSE abs(o - e) END) / e) AS chi2,
-      CAST(any_value((r - 1) * (c - 1)) AS INTEGER) AS dof,
-      sqrt(sum((CASE WHEN r = 2 AND c = 2 THEN greatest(abs(o - e) - 0.5, 0) ELSE abs(o - e) END)
-             * (CASE WHEN r = 2 AND c = 2 THEN greatest(abs(o - e) - 0.5, 0) ELSE abs(o - e) END) / e) / (any_value(N) * greatest(least(any_value(r), any_value(c)) - 1, 1))) AS cramers_v
-    FROM e, d""", r6="chi2 cramers_v"), _PERSONA))
+      d AS (SELECT count(DISTINCT persona) AS r, count(DISTINCT target) AS c FROM cells),
+      s AS (SELECT sum((o - e) * (o - e) / e) + (any_value(N) - sum(e)) AS chi2, any_value(N) AS N FROM e)
+    SELECT chi2, CAST((r - 1) * (c - 1) AS INTEGER) AS dof, sqrt(chi2 / (N * greatest(least(r, c) - 1, 1))) AS cramers_v
+    FROM s, d""", r6="chi2 cramers_v"), _PERSONA))
 def n07_chi_square_persona_target(spark, sf):
     return rounded(C.chi_square(personas(spark, sf), "persona", "target"))
 

@@ -12,7 +12,7 @@ from ..operators.splits import disjoint_parts, seeded_sample
 from ..spec import SHARES
 from .common import rounded
 from .q_models import feature_frame
-from .registry import register
+from .registry import memo_result, register
 
 _FITTED: dict = {}
 # solver cap for the weakly regularised (C = 100) stability fits: each L-BFGS step is a Spark
@@ -136,12 +136,16 @@ def _coefs(spark, sf, drop: str | None):
 
 @register("m01_coefficient_stability")
 def m01_coefficient_stability(spark, sf):
-    return rounded(X.coefficient_stability(_coefs(spark, sf, None)))
+    return rounded(X.coefficient_stability(_coefs_all(spark, sf)))
+
+
+_coefs_all = memo_result(lambda spark, sf: _coefs(spark, sf, None))
+_coefs_all.__name__ = "coefs_all"
 
 
 @register("m02_reference_part_refit")
 def m02_reference_part_refit(spark, sf):
-    full = X.coefficient_stability(_coefs(spark, sf, None)).select("feature", F.col("sd").alias("sd_all"))
+    full = X.coefficient_stability(_coefs_all(spark, sf)).select("feature", F.col("sd").alias("sd_all"))
     red = X.coefficient_stability(_coefs(spark, sf, "groceries_share")).select("feature", F.col("sd").alias("sd_dropped"))
     j = full.join(red, "feature").filter(F.col("feature").endswith("_share"))
     return rounded(j.withColumn("improvement", F.col("sd_all") / F.col("sd_dropped")))

@@ -15,7 +15,7 @@ from ..session import checkpoint_dir
 from ..spec import SHARES, STANDIN_SPEC
 from .common import rounded, rsql
 from .q_metrics import S, W, _capture_sql, _long
-from .registry import register
+from .registry import memo_result, register
 from .sqlviews import with_units
 from .tables import _fingerprint, _exists, features_table, raw_table, units_table
 
@@ -79,6 +79,7 @@ def _representations(spark, sf):
 
 
 @register("n03_kmeans_sweep")
+@memo_result
 def n03_kmeans_sweep(spark, sf):
     """Representation x k sweep: best-of-10 k-means inertia and sampled silhouette."""
     d, reps = _representations(spark, sf)

@@ -11,7 +11,7 @@ from ..operators import models as MD
 from ..operators.splits import stratified_folds, stratified_holdout
 from ..spec import CATEGORICALS, PARTS, SHARES
 from .common import rounded
-from .registry import register
+from .registry import memo_result, register
 from .tables import features_table, units_table
 
 NON_FEATURES = {"unit_id", "weight", "income", "has_flag", "target", "rate", "fold", "is_test"}
@@ -74,6 +74,7 @@ def l12_model_comparison(spark, sf):
 
 
 @register("l15_lr_c_grid")
+@memo_result
 def l15_lr_c_grid(spark, sf):
     f, num, cat = feature_frame(spark, sf, holdout=True)
     train = f.filter(F.col("is_test") == 0)

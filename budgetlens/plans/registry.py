@@ -29,3 +29,19 @@ def register(name: str, sql: str | None = None, check: str = "S"):
         return fn
 
     return deco
+
+
+_MEMO: dict = {}
+
+
+def memo_result(fn: QueryFn) -> QueryFn:
+    """Reuse a small expensive result (a sweep table) within one session, as a reliable checkpoint."""
+    def wrapped(spark: SparkSession, sf: str) -> DataFrame:
+        key = (fn.__name__, spark.sparkContext.applicationId, sf)
+        if key not in _MEMO:
+            _MEMO[key] = fn(spark, sf).checkpoint()
+        return _MEMO[key]
+
+    wrapped.__name__ = fn.__name__
+    wrapped.__doc__ = fn.__doc__
+    return wrapped

@@ -222,10 +222,13 @@ def out_of_fold(df: DataFrame, spec: ModelSpec, numeric, categorical, label: str
 
 def compare_models(df: DataFrame, specs: Sequence[ModelSpec], numeric, categorical, label: str, key: str) -> DataFrame:
     """Mean CV metrics per model and the F1 population sd, ranked by macro-F1."""
-    per = None
-    for s in specs:
-        r = cross_validate(df, s, numeric, categorical, label, key)
-        per = r if per is None else per.unionByName(r)
+    # families are independent: run them concurrently (each runs its folds concurrently too);
+    # at small scale MLlib is bound by per-iteration job latency, not by cores
+    with ThreadPoolExecutor(max_workers=len(specs)) as ex:
+        parts = list(ex.map(lambda s: cross_validate(df, s, numeric, categorical, label, key), specs))
+    per = parts[0]
+    for r in parts[1:]:
+        per = per.unionByName(r)
     return per.groupBy("model").agg(
         F.avg("accuracy").alias("accuracy"), F.avg("f1_macro").alias("f1_macro"), F.avg("precision").alias("precision"),
         F.avg("recall").alias("recall"), F.stddev_pop("f1_macro").alias("f1_sd"), F.avg("roc_auc").alias("roc_auc"))

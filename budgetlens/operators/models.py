@@ -261,8 +261,6 @@ def holdout_evaluation(df: DataFrame, spec: ModelSpec, numeric, categorical, lab
 
 def transfer_test(df: DataFrame, representations: dict, label: str, key: str, split_col: str) -> DataFrame:
     """Fit on one half, score the other, both directions, per representation; AUC (H9)."""
-    from .features import fit_standard_scaler  # noqa: F401
-
     rows = []
     for name, cols in representations.items():
         for direction, tr_v in (("low_to_high", 1), ("high_to_low", 0)):

@@ -29,16 +29,15 @@ FT = features_table
 _ROLES = RL.unit_roles(PARTS)
 _UNIT_COLS = ["unit_id", "weight", "income", "log_income", "size", "dependents", "occupation", "area", "segment",
               "debt_to_income", *SHARES, "has_flag", *PARTS, "total", "residual", "rate", "target"]
-_STRINGS = {"occupation", "area", "segment"}
 
 
 @register("a08_role_counts", sql=with_units(
-    "SELECT role, count(*) AS n_columns, sum(n_null) AS n_null FROM (" + union_sql(
+    "SELECT role, count(*) AS n_columns, CAST(sum(n_null) AS BIGINT) AS n_null FROM (" + union_sql(
         _UNIT_COLS, "SELECT '" + "{c}" + "' AS col, count(*) FILTER (WHERE {c} IS NULL) AS n_null FROM units") + ") c JOIN (VALUES "
     + ", ".join(f"('{c}', '{_ROLES.role_of(c)}')" for c in _UNIT_COLS) + ") r(col2, role) ON c.col = r.col2 GROUP BY role"))
 def a08_role_counts(spark, sf):
     cat = RL.catalogue(U(spark, sf), _ROLES)
-    return cat.groupBy("role").agg(F.count(F.lit(1)).alias("n_columns"), F.sum("n_null").cast("decimal(38,0)").alias("n_null"))
+    return cat.groupBy("role").agg(F.count(F.lit(1)).alias("n_columns"), F.sum("n_null").cast("long").alias("n_null"))
 
 
 @register("a08_catalogue", sql=with_units(union_sql(_UNIT_COLS, (

@@ -19,8 +19,11 @@ NON_FEATURES = {"unit_id", "weight", "income", "has_flag", "target", "rate", "fo
 
 def feature_frame(spark, sf, holdout: bool = False):
     """Feature table with fold ids (and the hold-out flag); numeric and categorical feature lists."""
+    from ..operators.roles import select_by
+
     f = features_table(spark, sf)
-    num = [c for c in f.columns if c not in NON_FEATURES and c not in CATEGORICALS and not c.endswith("_clr")]
+    clr = select_by(f, suffix="_clr")
+    num = select_by(f, exclude=[*NON_FEATURES, *CATEGORICALS, *clr])
     if holdout:
         f = stratified_holdout(f, "unit_id", "target")
     f = stratified_folds(f, "unit_id", "target", seed=SEED)

@@ -242,11 +242,15 @@ def random_search(df: DataFrame, base: ModelSpec, space: dict, n_iter: int, nume
     for name, values in space.items():
         grid = [{**g, name: v} for g in grid for v in values]
     draws = rng.sample(grid, min(n_iter, len(grid)))
-    rows = []
-    for i, params in enumerate(draws):
+    def one(item):
+        i, params = item
         spec = ModelSpec(f"{base.name}_{i}", base.kind, {**base.params, **params}, base.balanced, base.scaler)
         m = cross_validate(df, spec, numeric, categorical, label, key).agg(F.avg("f1_macro").alias("f1")).first()["f1"]
-        rows.append((i, *[float(params.get(n, float("nan"))) for n in space], float(m)))
+        return (i, *[float(params.get(n, float("nan"))) for n in space], float(m))
+
+    # draws are independent: evaluate them concurrently (each one runs its folds concurrently too)
+    with ThreadPoolExecutor(max_workers=max(1, min(len(draws), 5))) as ex:
+        rows = list(ex.map(one, enumerate(draws)))
     cols = ", ".join(f"{n} double" for n in space)
     return df.sparkSession.createDataFrame(rows, f"draw int, {cols}, mean_f1 double")
 

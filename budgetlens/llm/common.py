@@ -148,3 +148,35 @@ def sequence_hash(parts: list[np.ndarray], salt: int = 0) -> np.ndarray:
 def crc_remainder(column: str, modulus: int):
     """crc32 of the id as decimal text, modulo ``modulus`` (the fold rule of the contracts)."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
+
+
+def padded(raw: np.ndarray, offsets: np.ndarray, pad: int) -> tuple[bytes, np.ndarray]:
+    """The slice's texts with ``pad`` spaces before, between and after them, and the start of each in that buffer."""
+    data, cuts, gap = raw.tobytes(), offsets.tolist(), b" " * pad
+    out = gap + gap.join([data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]) + gap
+    return out, offsets[:-1] + pad * np.arange(1, len(offsets))
+
+
+#: Byte map to lower-case letters, digits and non-ASCII bytes; everything else becomes a space.
+LETTERS = bytes(b if b >= 128 or chr(b).isalnum() and chr(b).islower() or 48 <= b < 58 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
+
+
+def ngram_codes(text: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Bucket of each byte n-gram (n up to 7): a multiplicative hash to ``bits`` bits."""
+    size = len(text) - n + 1
+    x = text[:size].astype(np.uint64)
+    for k in range(1, n):
+        x |= text[k : k + size].astype(np.uint64) << np.uint64(8 * k)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x >>= np.uint64(64 - bits)
+    return x.astype(np.int64)
+
+
+def bounded_sample(df: DataFrame, class_col: str, per_class: dict, id_col: str, seed: int) -> DataFrame:
+    """About ``per_class[c]`` rows of class c (all, if fewer): a hash of the id decides, the same at every run."""
+    counts = {r[0]: r[1] for r in df.groupBy(class_col).count().collect()}  # one row a class
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = F.lit(0.0)
+    for c, n in counts.items():
+        share = F.when(F.col(class_col) == F.lit(c), F.lit(min(1.0, per_class.get(c, 0) / n))).otherwise(share)
+    return df.where(draw < share)

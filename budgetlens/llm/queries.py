@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from budgetlens.llm import langid, line_dedup, toxicity, url_filter
+from budgetlens.llm import decontaminate, langid, line_dedup, toxicity, url_filter
 from budgetlens.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_remainder("doc_id", 5) == 0
     model = toxicity.fit(docs, labels.where(~held_out))
     return toxicity.score(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted", "offending")
+
+
+@query("op8_decontaminate")
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,3 +183,42 @@ def bounded_sample(df: DataFrame, class_col: str, per_class: dict, id_col: str,
     for c, n in counts.items():
         share = F.when(F.col(class_col) == F.lit(c), F.lit(min(1.0, per_class.get(c, 0) / n))).otherwise(share)
     return df.where(draw < share)
+
+
+# --------------------------------------------------------------------------- packed rows between tasks
+def pack(*arrays: np.ndarray) -> bytes:
+    """One blob of several arrays: each compressed on its own, or as it is where that is shorter."""
+    out = [len(arrays).to_bytes(2, "little")]
+    for a in arrays:
+        raw = np.ascontiguousarray(a).tobytes()
+        small = zstandard.ZstdCompressor(level=1).compress(raw) if len(raw) > 32 else raw
+        plain = len(small) >= len(raw)
+        body = raw if plain else small
+        out += [a.dtype.str.encode().ljust(4), bytes([plain]), len(body).to_bytes(8, "little"), body]
+    return b"".join(out)
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    at, out = 2, []
+    for _ in range(int.from_bytes(blob[:2], "little")):
+        kind, plain, size = np.dtype(blob[at : at + 4].decode().strip()), blob[at + 4], int.from_bytes(blob[at + 5 : at + 13], "little")
+        body = blob[at + 13 : at + 13 + size]
+        out.append(np.frombuffer(body if plain else zstandard.ZstdDecompressor().decompress(body), kind))
+        at += 13 + size
+    return out
+
+
+def groups(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(value, positions in order) of each distinct value."""
+    if not len(target):
+        return
+    order = np.argsort(target, kind="stable")
+    border = np.flatnonzero(np.diff(target[order])) + 1
+    for part in np.split(order, border):
+        yield int(target[part[0]]), part
+
+
+def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[dict]]]:
+    """Rows (as dicts) of partition-sorted batches, grouped by their ``part`` column without holding a group."""
+    rows = (dict(zip(b.schema.names, r, strict=True)) for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True))
+    return groupby(rows, key=itemgetter("part"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from budgetlens.llm import bpe, decontaminate, langid, line_dedup, toxicity, url_filter
+from budgetlens.llm import bpe, decontaminate, langid, line_dedup, substring_dedup, toxicity, url_filter
 from budgetlens.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,23 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
+
+
+SUBSTRING_SQL = """
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS h FROM starts),
+twice AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM windows JOIN twice USING (h), range(0, 35) r(k)),
+each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM words)
+SELECT d.doc_id, count(e.pos) AS n_words, count(g.pos) AS n_removed,
+       sha256(coalesce(string_agg(e.word, ' ' ORDER BY e.pos) FILTER (g.pos IS NULL), '')) AS kept_sha256
+FROM documents d LEFT JOIN each e USING (doc_id) LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.pos = e.pos
+GROUP BY d.doc_id
+"""
+
+
+@query("op4_substring_dedup", SUBSTRING_SQL)
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"), digest_only=True).withColumnRenamed("kept", "kept_sha256")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from budgetlens.llm import bpe, decontaminate, jaccard_join, langid, line_dedup, substring_dedup, toxicity, url_filter
+from budgetlens.llm import bpe, decontaminate, jaccard_join, langid, line_dedup, substring_dedup, toxicity, url_filter, warc
 from budgetlens.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,28 @@ SELECT s.doc_id, s.n AS n_shingles, min(r.y) AS component_id FROM sizes s JOIN r
 @query("op3_jaccard_join", JACCARD_SQL)
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+# fixed values: the base-32 alphabet and the bits of each hexadecimal digit
+WARC_SQL = """
+WITH payloads AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
+hashed AS (
+  SELECT page_id, strlen(body) AS payload_bytes,
+    array_to_string(list_transform(string_split(sha1(body), ''), lambda c: (['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111',
+      '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'])[strpos('0123456789abcdef', c)]), '') AS bits
+  FROM payloads),
+named AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + 16 * substr(bits, 5 * k + 1, 1)::INT + 8 * substr(bits, 5 * k + 2, 1)::INT + 4 * substr(bits, 5 * k + 3, 1)::INT
+      + 2 * substr(bits, 5 * k + 4, 1)::INT + substr(bits, 5 * k + 5, 1)::INT, 1)), '') AS payload_digest
+  FROM hashed),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM named)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM firsts
+"""
+
+
+@query("op6_warc", WARC_SQL)
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

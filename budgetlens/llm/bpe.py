@@ -275,7 +275,7 @@ def tokenizer_bytes(path: str) -> bytes:
         return f.read()
 
 
-def _encode(shared, digests: bool, names: list[str]):
+def _encode(shared, output: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         decimal = encoder.v.decimal
@@ -283,27 +283,35 @@ def _encode(shared, digests: bool, names: list[str]):
             for at, n, raw, off in text_slices(batch.column(1), GROUP_BYTES):
                 each = [x.tolist() for x in encoder.encode_slice(raw, off)]
                 cols = [batch.column(0).slice(at, n), pa.array([len(x) for x in each], pa.int64())]
-                if digests:
+                if output == "digests":
                     cols.append(pa.array([hashlib.sha256(",".join(map(decimal.__getitem__, x)).encode()).hexdigest() for x in each]))
                     cols.append(pa.array([hashlib.sha256(encoder.decode(x).encode()).hexdigest() for x in each]))
                 else:
                     cols.append(pa.array(each, pa.list_(pa.int32())))
+                if output == "round trip":
+                    cols.append(pa.array([encoder.decode(x) for x in each], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
     return run
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every row with the byte-level BPE file at ``path`` (read by the driver).
+_OUTPUTS = {
+    "ids": [T.StructField("ids", T.ArrayType(T.IntegerType()))],
+    "round trip": [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())],
+    "digests": [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())],
+}
 
-    ``digests``: in place of the ids, the SHA-256 of their decimal forms joined by commas and that of the text decoded
-    from them. A null text reads as empty (no ids). Ids may be null or repeated; other columns (any names) are not read.
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", output: str = "ids") -> DataFrame:
+    """(doc_id, n_tokens, ...) of every row with the byte-level BPE file at ``path`` (read by the driver).
+
+    ``output``: ``ids``; ``round trip``, the ids and the text decoded from them; or ``digests``, the SHA-256 of the ids' decimal
+    forms joined by commas and that of the decoded text. A null text reads as empty (no ids). Ids may be null or
+    repeated; other columns (any names) are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_bytes(path))
     src = docs.select(F.col(id_col).alias("c0"), F.col(text_col).alias("text"))
-    last = ([T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] if digests
-            else [T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    out = T.StructType([src.schema["c0"], T.StructField("n_tokens", T.LongType()), *last])
-    return src.mapInArrow(_encode(shared, digests, out.names), out).withColumnRenamed("c0", id_col)
+    out = T.StructType([src.schema["c0"], T.StructField("n_tokens", T.LongType()), *_OUTPUTS[output]])
+    return src.mapInArrow(_encode(shared, output, out.names), out).withColumnRenamed("c0", id_col)
 
 
 def _decode(shared, names: list[str]):

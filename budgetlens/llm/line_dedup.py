@@ -154,7 +154,7 @@ def clean_text(text: bytes, drops: set[int], min_chars: int) -> tuple[int, int,
     return len(lines), len(lines) - len(kept), b"\n".join(kept)
 
 
-def _apply(min_chars: int, with_text: bool, text_at: int, drops_at: int):
+def _apply(min_chars: int, with_text: bool, text_at: int, drops_at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, dropped, kept = [], [], []
@@ -166,8 +166,7 @@ def _apply(min_chars: int, with_text: bool, text_at: int, drops_at: int):
                 kept.append((c.decode() if b or text.is_valid else None) if with_text else hashlib.sha256(c).hexdigest())
             extra = [pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())]
             keep = [i for i in range(batch.num_columns) if i not in (text_at, drops_at)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *extra],
-                                             names=[f"c{i}" for i in range(len(keep))] + ["n_lines", "n_dropped", "kept"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *extra], names=names)
     return run
 
 
@@ -185,4 +184,15 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
     src = docs.select(F.col(id_col).alias("c0"), F.col(text_col).alias("text"))
     joined = src.join(drops.withColumnRenamed("doc", "c_doc"), F.col("c0") == F.col("c_doc"), "left").select("c0", "text", "drops")
     out = T.StructType([src.schema["c0"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType())])
-    return joined.mapInArrow(_apply(min_chars, not digest_only, 1, 2), out).withColumnRenamed("c0", id_col)
+    return joined.mapInArrow(_apply(min_chars, not digest_only, 1, 2, out.names), out).withColumnRenamed("c0", id_col)
+
+
+def without_repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns, the text cleaned as by ``dedup_lines`` (null stays null, no row goes)."""
+    drops = line_drops(docs, min_docs, min_chars, id_col, text_col)
+    rest = F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("rest")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), rest)
+    joined = src.join(drops, src["id"] == drops["doc"], "left").select("rest", "text", "drops")
+    out = T.StructType([src.schema["rest"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType())])
+    clean = joined.mapInArrow(_apply(min_chars, True, 1, 2, out.names), out)
+    return clean.select(*[F.col("kept").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns])

@@ -1,12 +1,14 @@
 """Toxicity by multiple-instance learning: sentences are scored, noisy-or makes the document's score.
 
-A sentence ends at one of . ! ? or a line end. Its score is z = BIAS + the sum of the weights of its byte
-5-grams (lower-cased; punctuation reads as space), p = sigmoid(z); a document is toxic with probability
-1 - prod(1 - p), which is 1 - exp(-sum softplus(z)). Only documents carry labels: the gradient of the document
-likelihood reaches each sentence in proportion to its share of the blame. Weights are kept at 0 or more, so
-a long clean text never adds up to a toxic one, and offending sentences are those with p of at least one half.
-
-The model is fitted on the driver from a bounded sample (PER_CLASS documents a class of at most
+A sentence ends at one of . ! ? or a line end. Its score is z = BIAS + the weights of its words, p = sigmoid(z); a
+document is toxic with probability 1 - prod(1 - p), which is 1 - exp(-sum softplus(z)). A word (lower-cased; punctuation reads as
+space) carries the weights of its own bucket and of the prefixes that it goes on after, so an unseen ending of a known stem counts.
+Only documents carry labels: the gradient of the document likelihood reaches each sentence in proportion to its share of the
+blame. Offending sentences are those with p of at least one half, or the likeliest one of a document that is toxic without them.
+Weights of stems and words are 0 or more, those of harmless words with a toxic stem 0 or less, so a long clean text never adds up
+to a toxic one.
+
+The model is fitted on the driver from a bounded sample (about PER_CLASS toxic and twice as many other documents, of at most
 TRAIN_BYTES each); scoring is one pass over whole texts without a shuffle.
 """
 
@@ -21,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from budgetlens.llm.common import LETTERS, bounded_sample, ngram_codes, padded, text_slices
+from budgetlens.llm.common import LETTERS, bounded_sample, padded, span_hashes, text_slices, word_spans
 
-GRAM, BITS, BIAS = 5, 20, -10.0
-PER_CLASS = 2500  # training documents a class, at most about
+PREFIXES = (4, 5, 6, 7, 8, 9, 10, 12)  # bytes
+BITS, BIAS, PENALTY = 20, -10.0, 1e-3
+PER_CLASS = 1500  # training documents a class, at most about
 TRAIN_BYTES = 16_384  # longest text of the training sample
 FEATURES = 3000  # buckets with a weight
 _ENDS = np.zeros(256, dtype=bool)
@@ -42,13 +45,36 @@ class Model:
         return out
 
 
-def _sentences(raw: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """Padded bytes, n-gram buckets, first position of each sentence, and of each document's first sentence."""
-    buf, start = padded(raw, offsets, GRAM)
-    codes = ngram_codes(np.frombuffer(buf.translate(LETTERS), np.uint8), GRAM, BITS)
-    ends = np.flatnonzero(_ENDS[np.frombuffer(buf, np.uint8)[: len(codes) - 1]]) + 1
-    first = np.unique(np.concatenate((start - 1, ends)))  # the space before a text belongs to it
-    return buf, codes, first, np.searchsorted(first, start - 1)
+_LUT = np.frombuffer(LETTERS, np.uint8)
+_GAP = _LUT == 32
+
+
+@dataclass(frozen=True)
+class _Slice:
+    """Sentences and distinct words of a slice of texts."""
+
+    buf: bytes
+    first: np.ndarray  # first byte of each sentence
+    docs: np.ndarray  # first sentence of each document
+    word: np.ndarray  # distinct word of each word
+    sentence: np.ndarray  # sentence of each word
+    buckets: np.ndarray  # distinct words x (1 + prefixes); -1: the word is no longer than the prefix
+
+
+def _slice(raw: np.ndarray, offsets: np.ndarray) -> _Slice:
+    buf, start = padded(raw, offsets, 1)
+    data = np.frombuffer(buf, np.uint8)
+    first = np.unique(np.concatenate((start - 1, np.flatnonzero(_ENDS[data[:-1]]) + 1)))  # the space before a text belongs to it
+    a, b, _ = word_spans(data, np.array([0, len(data)]), _GAP)
+    hashes, example, word = np.unique(span_hashes(data, a, b, _LUT), return_index=True, return_inverse=True)
+    buckets = np.full((len(hashes), 1 + len(PREFIXES)), -1, dtype=np.int64)
+    shift = np.uint64(64 - BITS)
+    buckets[:, 0] = hashes >> shift
+    for k, size in enumerate(PREFIXES, 1):
+        goes_on = np.flatnonzero(b[example] - a[example] > size)
+        at = a[example[goes_on]]
+        buckets[goes_on, k] = (span_hashes(data, at, at + size, _LUT) * np.uint64(0x9E3779B97F4A7C15)) >> shift
+    return _Slice(buf, first, np.searchsorted(first, start - 1), word, np.searchsorted(first, a, side="right") - 1, buckets)
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
@@ -62,39 +88,53 @@ def fit_texts(texts: list[str], toxic: np.ndarray) -> Model:
         return empty
     column, seen = pa.array(texts, pa.large_string()), np.zeros((2, 1 << BITS), dtype=np.int32)
     for at, n, raw, off in text_slices(column):
-        _, codes, first, docs = _sentences(raw, off)
-        for i, (a, b) in enumerate(zip(first[docs], [*first[docs[1:]], len(codes)], strict=True)):
-            seen[int(toxic[at + i]), np.unique(codes[a:b])] += 1
+        x = _slice(raw, off)
+        doc = np.searchsorted(x.docs, x.sentence, side="right") - 1
+        pairs = np.unique(doc * len(x.buckets) + x.word)
+        doc, held = pairs // len(x.buckets), x.buckets[pairs % len(x.buckets)]
+        for y in (0, 1):
+            mine = toxic[at + doc] == y
+            each = np.unique(doc[mine][:, None] * (1 << BITS) + np.where(held[mine] >= 0, held[mine], 0))
+            np.add.at(seen[y], each & ((1 << BITS) - 1), 1)
     n0, n1 = int((toxic == 0).sum()), int((toxic == 1).sum())
     p0, p1 = (seen[0] + 0.5) / (n0 + 1), (seen[1] + 0.5) / (n1 + 1)
     gain = np.where((seen[1] >= 3) & (p1 > 2 * p0), p1 * np.log(p1 / p0), 0.0)
-    chosen = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
+    gain[0] = 0.0  # stands for no prefix
+    chosen = np.argsort(-gain, kind="stable")[:FEATURES]
     chosen = chosen[gain[chosen] > 0]
     if not len(chosen):
         return empty
     number = np.full(1 << BITS, -1, dtype=np.int64)
     number[chosen] = np.arange(len(chosen))
-    cols, rows, doc_of, sentences = [], [], [], 0
-    for at, n, raw, off in text_slices(column):
-        _, codes, first, docs = _sentences(raw, off)
-        feature = number[codes]
-        pos = np.flatnonzero(feature >= 0)
-        cols.append(feature[pos])
-        rows.append(sentences + np.searchsorted(first, pos, side="right") - 1)
-        doc_of.append(at + np.searchsorted(docs, np.arange(len(first)), side="right") - 1)
-        sentences += len(first)
-    pairs = np.unique(np.concatenate(rows) * len(chosen) + np.concatenate(cols))  # a feature counts once a sentence
-    row, col, doc = pairs // len(chosen), pairs % len(chosen), np.concatenate(doc_of)
-    y, w, m, v = toxic.astype(float), np.full(len(chosen), 0.1), 0.0, 0.0
+    parts, positive = [_slice(raw, off) for _, _, raw, off in text_slices(column)], len(chosen)
+    for x in parts:  # words with a chosen prefix that clean documents hold: the exceptions
+        stem = (number[x.buckets[:, 1:]] >= 0) & (x.buckets[:, 1:] >= 0) & (number[x.buckets[:, 1:]] < positive)
+        own = np.unique(x.buckets[stem.any(axis=1), 0])
+        own = own[(number[own] < 0) & (seen[0, own] > 0)]
+        number[own] = positive + np.arange(len(own)) + (len(chosen) - positive)
+        chosen = np.concatenate((chosen, own))
+    rows, cols, doc_of, sentences, at = [], [], [], 0, 0
+    for x in parts:
+        feature = np.where(x.buckets >= 0, number[x.buckets], -1)
+        useful = np.flatnonzero((feature >= 0).any(axis=1)[x.word])
+        f = feature[x.word[useful]]
+        r, c = np.nonzero(f >= 0)
+        rows.append(sentences + x.sentence[useful[r]])
+        cols.append(f[r, c])
+        doc_of.append(at + np.searchsorted(x.docs, np.arange(len(x.first)), side="right") - 1)
+        sentences, at = sentences + len(x.first), at + len(x.docs)
+    row, col, doc = np.concatenate(rows), np.concatenate(cols), np.concatenate(doc_of)
+    lowest, highest = np.where(np.arange(len(chosen)) < positive, 0.0, -np.inf), np.where(np.arange(len(chosen)) < positive, np.inf, 0.0)
+    y, w, m, v = toxic.astype(float), np.where(lowest == 0, 0.1, 0.0), 0.0, 0.0
     share = np.where(y == 1, len(y) / (2 * n1), len(y) / (2 * n0))
-    for step in range(1, 301):  # Adam on the whole sample, weights held at 0 or more
+    for step in range(1, 401):  # Adam on the whole sample with an L1 penalty, each weight held on its side of 0
         z = BIAS + np.bincount(row, w[col], minlength=sentences)
         total = np.maximum(np.bincount(doc, _softplus(z), minlength=len(y)), 1e-12)
         blame = np.where(y == 1, -1 / np.expm1(np.minimum(total, 50.0)), 1.0) * share
-        grad = np.bincount(col, (blame[doc] / (1 + np.exp(-z)))[row], minlength=len(chosen)) / len(y) + 1e-5
+        grad = np.bincount(col, (blame[doc] / (1 + np.exp(-z)))[row], minlength=len(chosen)) / len(y) + np.where(lowest == 0, PENALTY, -PENALTY)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        w = np.maximum(0.0, w - 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8))
-    keep = w > 0
+        w = np.clip(w - 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8), lowest, highest)
+    keep = w != 0
     return Model(chosen[keep], w[keep].astype(np.float32))
 
 
@@ -116,13 +156,19 @@ def score_batch(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, list[l
     """Noisy-or score of each text, and its offending sentences."""
     scores, found = [], []
     for _, n, raw, off in text_slices(column):
-        buf, codes, first, docs = _sentences(raw, off)
-        z = BIAS + np.add.reduceat(table[codes], first).astype(float)
-        scores.append(-np.expm1(-np.add.reduceat(_softplus(z), docs)))
+        x = _slice(raw, off)
+        weight = np.where(x.buckets >= 0, table[x.buckets], 0.0).sum(axis=1, dtype=np.float64)
+        z = BIAS + np.bincount(x.sentence, weight[x.word], minlength=len(x.first))
+        score = -np.expm1(-np.add.reduceat(_softplus(z), x.docs))
+        scores.append(score)
+        doc = np.searchsorted(x.docs, np.arange(len(z)), side="right") - 1
+        bad = set(np.flatnonzero(z >= 0).tolist())
+        for d in set(np.flatnonzero(score >= 0.5).tolist()) - set(doc[sorted(bad)].tolist()):
+            bad.add(int(x.docs[d] + np.argmax(z[x.docs[d] : x.docs[d + 1] if d + 1 < n else len(z)])))
         mine: list[list[str]] = [[] for _ in range(n)]
-        for s in np.flatnonzero(z >= 0).tolist():
-            end = first[s + 1] if s + 1 < len(first) else len(buf)
-            mine[int(np.searchsorted(docs, s, side="right")) - 1].append(buf[first[s] : end].decode("utf-8", "replace").strip())
+        for s in sorted(bad):
+            end = x.first[s + 1] if s + 1 < len(x.first) else len(x.buf)
+            mine[int(doc[s])].append(x.buf[x.first[s] : end].decode("utf-8", "replace").strip())
         found += mine
     return np.concatenate(scores) if scores else np.zeros(0), found
 

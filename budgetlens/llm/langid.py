@@ -71,17 +71,18 @@ def _frequencies(texts: list[str]) -> np.ndarray:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30) -> np.ndarray:
-    """Squared-hinge linear SVM by dual coordinate descent; the bias is the weight of a constant last column."""
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(y))
-    norm = np.einsum("ij,ij->i", x, x) + 0.5 / cost
+    """Squared-hinge linear SVM by dual coordinate descent on the Gram matrix; the bias is the weight of a constant last column."""
+    gram = (x @ x.T).astype(np.float64) * np.outer(y, y)
+    gram[np.diag_indices(len(y))] += 0.5 / cost
+    alpha, slope = np.zeros(len(y)), np.full(len(y), -1.0)
     rng = np.random.default_rng(9)
     for _ in range(rounds):
-        for i in rng.permutation(len(y)):
-            new = max(0.0, alpha[i] - (y[i] * (x[i] @ w) - 1 + alpha[i] * 0.5 / cost) / norm[i])
-            if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
-                alpha[i] = new
-    return w
+        for i in rng.permutation(len(y)).tolist():
+            step = max(-alpha[i], -slope[i] / gram[i, i])
+            if step:
+                alpha[i] += step
+                slope += step * gram[i]
+    return (x.T @ (alpha * y).astype(x.dtype)).astype(np.float64)
 
 
 def fit_texts(texts: list[str], langs: list[str]) -> Model:

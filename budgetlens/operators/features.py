@@ -84,12 +84,16 @@ def scaled(cols: Sequence[str], fit: ScaleFit, suffix: str = "") -> list:
     return [((F.col(c) - F.lit(fit.center[c])) / F.lit(fit.scale[c])).alias(f"{c}{suffix}") for c in cols]
 
 
-def fit_levels(df: DataFrame, c: str, max_levels: int = 1000) -> list[str]:
-    """Sorted distinct levels of a low-cardinality column (the category list a one-hot keeps)."""
-    levels = df.select(c).distinct().filter(F.col(c).isNotNull()).limit(max_levels + 1).collect()
-    if len(levels) > max_levels:
-        raise ValueError(f"{c} has more than {max_levels} levels; one-hot needs a low-cardinality column")
-    return sorted(r[0] for r in levels)
+def fit_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
+    """Sorted distinct levels of each column, all of them (they are the model's features, so they have to fit the driver).
+
+    One shuffle for all columns: values are pre-aggregated by task, then distinct by (column, value).
+    """
+    if not cols:
+        return {}
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)])).alias("e"))
+    found = pairs.where("e.v IS NOT NULL").select("e.i", "e.v").distinct().collect()
+    return {c: sorted(r.v for r in found if r.i == i) for i, c in enumerate(cols)}
 
 
 def one_hot(c: str, levels: Sequence[str]) -> list:

@@ -1,6 +1,6 @@
 """Preprocessing pipelines, model families, cross-validation and search on MLlib.
 
-Training is MLlib (tree-aggregate shuffles, no per-row solver). Preprocessing
+Trees and boosting are MLlib; logistic regression and the linear SVM are distributed Newton fits (``linear``). Preprocessing
 fits are exact aggregations (medians and IQRs by ``functions.quantiles``) fitted
 on the training rows only and applied as literal projections. Folds run in
 parallel driver threads, each fit being its own set of Spark jobs.
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..constants import N_FOLDS, SEED
 from . import features as FE
+from .linear import fit_linear
 from .metrics import classification_metrics, roc_auc
 
 
@@ -53,23 +54,18 @@ class Preprocessor:
 
 
 def fit_preprocessor(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (),
-                     scaler: str | None = "robust", max_levels: int = 1000) -> Preprocessor:
+                     scaler: str | None = "robust") -> Preprocessor:
     """Fit imputation, scaling and level lists on the training rows in as few passes as possible.
 
-    One pass gives NULL counts and category levels; one exact-quantile pass gives
+    One pass gives NULL counts and one the category levels; one exact-quantile pass gives
     medians and quartiles. Quartiles are refitted on imputed values only for the
     columns that actually had NULLs (imputation moves their quartiles).
     """
     from ..functions.quantiles import quantile_map
 
     numeric, categorical = list(numeric), list(categorical)
-    first = train.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(numeric)],
-                      *[F.array_sort(F.collect_set(F.col(c))).alias(f"l{i}") for i, c in enumerate(categorical)],
-                      *[F.count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(categorical)]).first()
-    for i, c in enumerate(categorical):
-        if first[f"d{i}"] > max_levels:
-            raise ValueError(f"{c} has {first[f'd{i}']} levels; one-hot needs a low-cardinality column")
-    levels = {c: list(first[f"l{i}"]) for i, c in enumerate(categorical)}
+    first = train.agg(F.count("*"), *[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(numeric)]).first()
+    levels = FE.fit_levels(train, categorical)
     has_null = [c for i, c in enumerate(numeric) if first[f"n{i}"] > 0]
     probs = [0.25, 0.5, 0.75] if scaler == "robust" else [0.5]
     q = quantile_map(train, numeric, probs) if numeric else {}
@@ -99,6 +95,7 @@ class ModelSpec:
     params: dict = field(default_factory=dict)
     balanced: bool = False
     scaler: str | None = "robust"
+    max_bins: int = 255  # split candidates a column in trees; the histogram booster's own number
 
 
 # fixed values: the study's model presets
@@ -109,7 +106,7 @@ MODEL_SPECS = [
     ModelSpec("decision_tree", "dt", {"maxDepth": 8}, balanced=True),
     ModelSpec("random_forest", "rf", {"numTrees": 300, "minInstancesPerNode": 2}, balanced=True),
     ModelSpec("hist_boosting", "gbt", {"maxIter": 100, "stepSize": 0.1, "maxDepth": 5}),
-    ModelSpec("boosted_trees", "gbt", {"maxIter": 400, "maxDepth": 6, "stepSize": 0.08, "subsamplingRate": 0.9}),
+    ModelSpec("boosted_trees", "gbt", {"maxIter": 400, "maxDepth": 6, "stepSize": 0.08, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.9"}),
 ]
 TUNED_BOOSTED = ModelSpec("boosted_trees_tuned", "gbt",
                           {"maxIter": 200, "maxDepth": 4, "stepSize": 0.15, "subsamplingRate": 0.9, "minInstancesPerNode": 5})
@@ -123,25 +120,17 @@ SEARCH_SPACE = {
 LR_GRID = [0.01, 0.1, 1.0, 10.0, 100.0]
 
 
-def _estimator(spec: ModelSpec, n_weight: float, weight_col: str | None, seed: int = SEED):
-    from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
-                                           RandomForestClassifier)
+def _estimator(spec: ModelSpec, weight_col: str | None, seed: int = SEED):
+    from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 
     p = dict(spec.params)
     common = {"featuresCol": "features", "labelCol": "label"}
-    if spec.kind == "lr":
-        c = p.pop("C", 1.0)
-        est = LogisticRegression(regParam=1.0 / (c * n_weight), elasticNetParam=0.0, standardization=False,
-                                 maxIter=p.pop("maxIter", 2000), tol=1e-4, **common)
-    elif spec.kind == "svm":
-        c = p.pop("C", 1.0)
-        est = LinearSVC(regParam=1.0 / (c * n_weight), standardization=False, maxIter=p.pop("maxIter", 5000), tol=1e-4, **common)
-    elif spec.kind == "dt":
-        est = DecisionTreeClassifier(seed=seed, maxBins=64, **p, **common)
+    if spec.kind == "dt":
+        est = DecisionTreeClassifier(seed=seed, maxBins=spec.max_bins, **p, **common)
     elif spec.kind == "rf":
-        est = RandomForestClassifier(seed=seed, featureSubsetStrategy="sqrt", maxBins=64, **p, **common)
+        est = RandomForestClassifier(seed=seed, featureSubsetStrategy="sqrt", maxBins=spec.max_bins, **p, **common)
     elif spec.kind == "gbt":
-        est = GBTClassifier(seed=seed, maxBins=64, **p, **common)
+        est = GBTClassifier(seed=seed, maxBins=spec.max_bins, **p, **common)
     else:
         raise ValueError(spec.kind)
     if weight_col and spec.kind != "gbt":
@@ -149,15 +138,15 @@ def _estimator(spec: ModelSpec, n_weight: float, weight_col: str | None, seed: i
     return est
 
 
-def _balanced_weights(train: DataFrame, label: str) -> tuple[DataFrame, float]:
-    """Attach ``n / (2 n_c)`` weights; returns the frame and the weight total (= n)."""
+def _balanced_weights(train: DataFrame, label: str) -> DataFrame:
+    """Attach ``n / (2 n_c)`` weights."""
     counts = {r[0]: r[1] for r in train.groupBy(label).agg(F.count(F.lit(1))).collect()}  # two rows
     n = float(sum(counts.values()))
     k = len(counts)
     w = F.lit(None).cast("double")
     for cls, nc in counts.items():
         w = F.when(F.col(label) == cls, F.lit(n / (k * nc))).otherwise(w)
-    return train.withColumn("_w", w), n
+    return train.withColumn("_w", w)
 
 
 def fit_predict(spec: ModelSpec, train: DataFrame, test: DataFrame, numeric, categorical, label: str, key: str,
@@ -171,16 +160,14 @@ def fit_predict(spec: ModelSpec, train: DataFrame, test: DataFrame, numeric, cat
     tr = pre.transform(train.withColumn("label", F.col(label).cast("double")))
     te = pre.transform(test.withColumn("label", F.col(label).cast("double")))
     wcol = None
-    n_weight = float(tr.count())
     if spec.balanced:
-        tr, n_weight = _balanced_weights(tr, "label")
-        wcol = "_w"
-    model = _estimator(spec, n_weight, wcol, seed).fit(tr)
-    out = model.transform(te)
-    if spec.kind == "svm":
-        score = F.lit(None).cast("double")
-    else:
-        score = vector_to_array("probability")[1]
+        tr, wcol = _balanced_weights(tr, "label"), "_w"
+    if spec.kind in ("lr", "svm"):
+        linear = fit_linear(tr, spec.params.get("C", 1.0), "log" if spec.kind == "lr" else "squared hinge", weight=wcol)
+        score = linear.probability() if spec.kind == "lr" else F.lit(None).cast("double")
+        return te.select(key, F.col("label").cast("int").alias("label"), score.alias("p"), (linear.margin() > 0).cast("int").alias("pred"))
+    model = _estimator(spec, wcol, seed).fit(tr)
+    out, score = model.transform(te), vector_to_array("probability")[1]
     return out.select(key, F.col("label").cast("int").alias("label"), score.alias("p"), F.col("prediction").cast("int").alias("pred"))
 
 

@@ -310,7 +310,7 @@ def j03_robust_scaler(spark, sf):
     "SELECT 'occupation_' || occupation AS \"column\", count(*) AS n_ones FROM features GROUP BY occupation"))
 def j04_one_hot_counts(spark, sf):
     f = FT(spark, sf)
-    levels = FE.fit_levels(f, "occupation")
+    levels = FE.fit_levels(f, ["occupation"])["occupation"]
     enc = f.select(*FE.one_hot("occupation", levels))
     row = enc.agg(*[F.sum(c).cast("long").alias(c) for c in enc.columns])
     return row.unpivot([], enc.columns, "column", "n_ones")

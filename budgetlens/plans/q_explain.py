@@ -8,6 +8,7 @@ from ..constants import INTERACTION_SAMPLE, SEED, TOP_CONTRIBUTIONS
 from ..operators import binning as BN
 from ..operators import explain as X
 from ..operators import models as MD
+from ..operators.linear import fit_linear
 from ..operators.splits import disjoint_parts, seeded_sample
 from ..spec import SHARES
 from .common import rounded
@@ -15,9 +16,6 @@ from .q_models import feature_frame
 from .registry import memo_result, register
 
 _FITTED: dict = {}
-# solver cap for the weakly regularised (C = 100) stability fits: each L-BFGS step is a Spark
-# job, and on exactly collinear shares the line search stalls long before 5000 steps help
-COEF_MAX_ITER = 100
 
 
 def fitted(spark, sf):
@@ -29,7 +27,7 @@ def fitted(spark, sf):
         pre = MD.fit_preprocessor(train, num, cat, "robust")
         tr = pre.transform(train.withColumn("label", F.col("target").cast("double")))
         te = pre.transform(test.withColumn("label", F.col("target").cast("double"))).checkpoint()
-        model = MD._estimator(MD.TUNED_BOOSTED, float(tr.count()), None).fit(tr)
+        model = MD._estimator(MD.TUNED_BOOSTED, None).fit(tr)
         _FITTED[key] = (model, pre, te, test)
     return _FITTED[key]
 
@@ -109,8 +107,6 @@ def m10_dependence_income_by_area(spark, sf):
 
 
 def _coefs(spark, sf, drop: str | None):
-    from pyspark.ml.classification import LogisticRegression
-
     f, num, cat = feature_frame(spark, sf, holdout=True)
     train = disjoint_parts(f.filter(F.col("is_test") == 0), "unit_id", 5, SEED)
     pre = MD.fit_preprocessor(train, num, cat, "robust")
@@ -119,7 +115,7 @@ def _coefs(spark, sf, drop: str | None):
     rows = []
     for part in range(1, 6):
         d = enc.filter(F.col("part") == part)
-        d, n = MD._balanced_weights(d, "label")
+        d = MD._balanced_weights(d, "label")
         if drop:
             from pyspark.ml.feature import VectorSlicer
 
@@ -128,9 +124,8 @@ def _coefs(spark, sf, drop: str | None):
             used = [names[i] for i in keep]
         else:
             used = names
-        m = LogisticRegression(regParam=1.0 / (100.0 * n), elasticNetParam=0.0, standardization=False, maxIter=COEF_MAX_ITER,
-                               tol=1e-4, weightCol="_w").fit(d)
-        rows += [(part, nm, float(c)) for nm, c in zip(used, m.coefficients.toArray())]
+        m = fit_linear(d, 100.0, weight="_w")
+        rows += [(part, nm, float(c)) for nm, c in zip(used, m.coef)]
     return spark.createDataFrame(rows, "part int, feature string, coef double")
 
 

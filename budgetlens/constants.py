@@ -22,7 +22,6 @@ SEED = 42
 N_FOLDS = 5
 HOLDOUT_FRACTION = 0.20
 SILHOUETTE_SAMPLE = 5000
-INTERACTION_SAMPLE = 3000
 ISOMETRY_PAIRS = 400
 PEER_SCALE = 1e7                 # aggregate excess is reported in units of 1e7
 IMPLAUSIBLE_RATE = -1.0          # spends more than twice the income

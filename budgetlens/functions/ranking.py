@@ -4,7 +4,7 @@
 first - that collapses tied or hot values to one row), cuts the ordering range
 into buckets by approximate quantiles of that distinct set, takes per-bucket
 totals (a tiny table), turns them into offsets, and finishes with a window
-partitioned by bucket. No task sees more than about ``rows_per_bucket`` rows.
+partitioned by bucket: about as many as there are shuffle partitions, at every size.
 """
 
 from __future__ import annotations
@@ -12,26 +12,32 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-ROWS_PER_BUCKET = 1 << 20
+SAMPLES_PER_BUCKET = 100
 
+def _bucket_col(df: DataFrame, bucket_by: str, buckets: int) -> DataFrame:
+    """Adds ``_bk``: ranges of the ordering column, always, one for each shuffle partition or so.
 
-def _bucket_col(df: DataFrame, bucket_by: str, n: int, rows_per_bucket: int) -> tuple[DataFrame, bool]:
-    buckets = max(1, math.ceil(n / rows_per_bucket))
-    if buckets == 1:
-        return df.withColumn("_bk", F.lit(0)), True
-    probs = [i / buckets for i in range(1, buckets)]
-    acc = max(10_000, 10 * buckets)
-    edges = df.agg(F.percentile_approx(F.col(bucket_by).cast("double"), probs, acc).alias("e")).first()["e"]
-    edges = sorted(set(float(e) for e in edges if e is not None))
-    from pyspark.ml.feature import Bucketizer
-
-    splits = [-math.inf, *edges, math.inf]
-    tmp = df.withColumn("_bkv", F.col(bucket_by).cast("double"))
-    out = Bucketizer(splits=splits, inputCol="_bkv", outputCol="_bkd", handleInvalid="keep").transform(tmp)
-    return out.withColumn("_bk", F.col("_bkd").cast("int")).drop("_bkv", "_bkd"), False
+    Numbers are cut at approximate quantiles; other types (string keys) at the quantiles of a sample of their values.
+    """
+    if isinstance(df.schema[bucket_by].dataType, T.NumericType):
+        probs = [i / buckets for i in range(1, buckets)]
+        edges = df.agg(F.percentile_approx(F.col(bucket_by).cast("double"), probs, max(10_000, 10 * buckets)).alias("e")).first()["e"] if probs else []
+        splits = [-math.inf, *sorted({float(e) for e in edges or [] if e is not None and not math.isinf(e)}), math.inf]
+        if len(splits) == 2:
+            return df.withColumn("_bk", F.lit(0))
+        tmp = df.withColumn("_bkv", F.col(bucket_by).cast("double"))
+        out = Bucketizer(splits=splits, inputCol="_bkv", outputCol="_bkd", handleInvalid="keep").transform(tmp)
+        return out.withColumn("_bk", F.coalesce(F.col("_bkd").cast("int"), F.lit(-1))).drop("_bkv", "_bkd")
+    share = min(1.0, SAMPLES_PER_BUCKET * buckets / max(1, df.count()))
+    drawn = sorted(r[0] for r in df.where(F.pmod(F.xxhash64(bucket_by), F.lit(1 << 30)) < int(share * (1 << 30))).select(bucket_by).dropna().collect())
+    cuts = sorted({drawn[len(drawn) * k // buckets] for k in range(1, buckets)}) if drawn else []
+    above = F.aggregate(F.array(*[F.lit(e) for e in cuts]), F.lit(0), lambda a, e: a + F.when(F.col(bucket_by) > e, 1).otherwise(0)) if cuts else F.lit(0)
+    return df.withColumn("_bk", F.when(F.col(bucket_by).isNull(), F.lit(-1)).otherwise(above))
 
 
 def prefix_sums(
@@ -41,16 +47,15 @@ def prefix_sums(
     part_cols: Sequence[str] = (),
     descending: bool = False,
     bucket_by: str | None = None,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running sum) for each ``c`` in ``sum_cols``.
 
     ``order_cols`` must be unique within ``part_cols``; ``bucket_by`` is a
-    numeric column monotone in that order (defaults to the first order column).
+    column monotone in that order (defaults to the first order column).
     """
     bucket_by = bucket_by or order_cols[0]
-    n = df.count()
-    bdf, single = _bucket_col(df, bucket_by, n, rows_per_bucket)
+    bdf = _bucket_col(df, bucket_by, buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if descending:
         bdf = bdf.withColumn("_bk", -F.col("_bk"))
         orders = [F.col(c).desc() for c in order_cols]
@@ -58,13 +63,10 @@ def prefix_sums(
         orders = [F.col(c).asc() for c in order_cols]
     inner = Window.partitionBy(*part_cols, "_bk").orderBy(*orders).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = bdf.select("*", *[F.sum(c).over(inner).alias(f"_in_{c}") for c in sum_cols])
-    if not single:
-        tot = bdf.groupBy(*part_cols, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-        wb = Window.partitionBy(*part_cols).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-        offs = tot.select(*part_cols, "_bk", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
-        out = out.join(F.broadcast(offs), [*part_cols, "_bk"])
-    else:
-        out = out.select("*", *[F.lit(0).alias(f"_o_{c}") for c in sum_cols])
+    tot = bdf.groupBy(*part_cols, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])  # one row a part and bucket
+    wb = Window.partitionBy(*part_cols).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*part_cols, "_bk", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
+    out = out.join(offs, [*part_cols, "_bk"])
     return out.select(
         *[c for c in df.columns],
         *[(F.col(f"_in_{c}") + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sum_cols],

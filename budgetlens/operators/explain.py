@@ -149,7 +149,7 @@ def interaction_batch(x: np.ndarray, trees) -> tuple[np.ndarray, dict[tuple[int,
 
 
 def attributions(df: DataFrame, model, spark, names: Sequence[str], key: str, features_col: str = "features") -> DataFrame:
-    """Long ``(key, feature, phi)`` for every row and every feature with a non-zero value (M3)."""
+    """Long ``(key, feature, phi)`` for every row and every feature, zeros included (M3)."""
     trees = tree_leaves(model, spark)
     bc = spark.sparkContext.broadcast(trees)
     names = list(names)
@@ -158,8 +158,7 @@ def attributions(df: DataFrame, model, spark, names: Sequence[str], key: str, fe
         for b in batches:
             x = np.vstack(b["x"].to_numpy()) if len(b) else np.zeros((0, len(names)))
             phi = shap_batch(x, bc.value)
-            r, c = np.nonzero(phi)
-            yield pd.DataFrame({key: b[key].to_numpy()[r], "feature": np.array(names, dtype=object)[c], "phi": phi[r, c]})
+            yield pd.DataFrame({key: np.repeat(b[key].to_numpy(), len(names)), "feature": np.tile(np.array(names, dtype=object), len(b)), "phi": phi.ravel()})
 
     src = df.select(key, vector_to_array(features_col).alias("x"))
     key_type = dict(df.dtypes)[key]
@@ -191,6 +190,23 @@ def interactions(df: DataFrame, model, spark, names: Sequence[str], key: str, fe
     return src.mapInPandas(run, f"{key} {key_type}, f1 string, f2 string, value double")
 
 
+def interaction_totals(df: DataFrame, model, spark, names: Sequence[str], features_col: str = "features") -> DataFrame:
+    """``(f1, f2, value)`` with the absolute values of ``interactions`` added up over all rows; a batch sends one row a pair."""
+    bc = spark.sparkContext.broadcast(tree_leaves(model, spark))
+    names = list(names)
+
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            main, inter = interaction_batch(np.vstack(b["x"].to_numpy()), bc.value)
+            rows = [(f, f, float(np.abs(main[:, i]).sum())) for i, f in enumerate(names)]
+            rows += [(*sorted([names[i], names[j]]), float(np.abs(v).sum())) for (i, j), v in inter.items()]
+            yield pd.DataFrame(rows, columns=["f1", "f2", "value"])
+
+    return df.select(vector_to_array(features_col).alias("x")).mapInPandas(run, "f1 string, f2 string, value double")
+
+
 def additivity_error(phi: DataFrame, scored: DataFrame, bias: float, key: str, raw_col: str = "rawPrediction") -> DataFrame:
     """max |sum(phi) + bias - model log-odds| (M4); MLlib raw prediction is [-F, F]."""
     s = phi.groupBy(key).agg(F.sum("phi").alias("_s"))

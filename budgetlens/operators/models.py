@@ -15,7 +15,7 @@ from typing import Callable, Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import N_FOLDS, SEED
@@ -208,17 +208,18 @@ def out_of_fold(df: DataFrame, spec: ModelSpec, numeric, categorical, label: str
 
 
 def compare_models(df: DataFrame, specs: Sequence[ModelSpec], numeric, categorical, label: str, key: str) -> DataFrame:
-    """Mean CV metrics per model and the F1 population sd, ranked by macro-F1."""
-    # families are independent: run them concurrently (each runs its folds concurrently too);
-    # at small scale MLlib is bound by per-iteration job latency, not by cores
-    with ThreadPoolExecutor(max_workers=len(specs)) as ex:
+    """Mean CV metrics per model and the F1 population sd, ranked by macro-F1 with the winner marked."""
+    # families are independent; two at a time (each runs its folds at once) keep the slots busy without a crowd of jobs
+    with ThreadPoolExecutor(max_workers=2) as ex:
         parts = list(ex.map(lambda s: cross_validate(df, s, numeric, categorical, label, key), specs))
     per = parts[0]
     for r in parts[1:]:
         per = per.unionByName(r)
-    return per.groupBy("model").agg(
+    out = per.groupBy("model").agg(
         F.avg("accuracy").alias("accuracy"), F.avg("f1_macro").alias("f1_macro"), F.avg("precision").alias("precision"),
         F.avg("recall").alias("recall"), F.stddev_pop("f1_macro").alias("f1_sd"), F.avg("roc_auc").alias("roc_auc"))
+    rank = F.row_number().over(Window.orderBy(F.desc("f1_macro"), "model"))  # one row a model
+    return out.withColumn("rank", rank).withColumn("winner", F.col("rank") == 1).orderBy("rank")
 
 
 def random_search(df: DataFrame, base: ModelSpec, space: dict, n_iter: int, numeric, categorical, label: str, key: str,

@@ -162,12 +162,8 @@ def i06_clr_checks(spark, sf):
 
 
 def _ilr_sql():
-    v = SX.helmert_basis(len(CLR_COLS))
-    cols = []
-    for i in range(len(CLR_COLS) - 1):
-        terms = " + ".join(f"{c} * {D(v[r][i])}" for r, c in enumerate(CLR_COLS) if v[r][i] != 0.0)
-        cols.append(f"{terms} AS ilr_{i + 1}")
-    return ", ".join(cols)
+    """sqrt(i / (i + 1)) * (mean of the first i columns - column i + 1), from the definition."""
+    return ", ".join(f"sqrt({i}.0 / {i + 1}.0) * (({' + '.join(CLR_COLS[:i])}) / {i}.0 - {CLR_COLS[i]}) AS ilr_{i}" for i in range(1, len(CLR_COLS)))
 
 
 _ILR = [f"ilr_{i + 1}" for i in range(len(CLR_COLS) - 1)]

@@ -4,23 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import INTERACTION_SAMPLE, SEED, TOP_CONTRIBUTIONS
+from ..constants import SEED, TOP_CONTRIBUTIONS
 from ..operators import binning as BN
 from ..operators import explain as X
 from ..operators import models as MD
 from ..operators.linear import fit_linear
-from ..operators.splits import disjoint_parts, seeded_sample
+from ..operators.splits import disjoint_parts
 from ..spec import SHARES
 from .common import rounded
 from .q_models import feature_frame
 from .registry import memo_result, register
+from .tables import fingerprint
 
 _FITTED: dict = {}
 
 
 def fitted(spark, sf):
     """Tuned boosted trees fitted once per session on the training split; test rows transformed."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, fingerprint(spark, sf))
     if key not in _FITTED:
         f, num, cat = feature_frame(spark, sf, holdout=True)
         train, test = f.filter(F.col("is_test") == 0), f.filter(F.col("is_test") == 1)
@@ -73,10 +74,7 @@ def m06_group_shares(spark, sf):
 @register("m08_interaction_summary")
 def m08_interaction_summary(spark, sf):
     model, pre, te, _ = fitted(spark, sf)
-    sample = seeded_sample(te, "unit_id", INTERACTION_SAMPLE, SEED)
-    n = sample.count()
-    inter = X.interactions(sample, model, spark, pre.names, "unit_id")
-    top, tot = X.interaction_summary(inter, n)
+    top, tot = X.interaction_summary(X.interaction_totals(te, model, spark, pre.names), te.count())
     return rounded(top.unionByName(tot.select(F.lit("_total_main").alias("f1"), F.lit("").alias("f2"), F.col("main").alias("mean_abs")))
                    .unionByName(tot.select(F.lit("_total_interactions").alias("f1"), F.lit("").alias("f2"), F.col("interactions").alias("mean_abs")))
                    .unionByName(tot.select(F.lit("_interaction_share").alias("f1"), F.lit("").alias("f2"), F.col("interaction_share").alias("mean_abs"))))

@@ -37,7 +37,9 @@ _MEMO: dict = {}
 def memo_result(fn: QueryFn) -> QueryFn:
     """Reuse a small expensive result (a sweep table) within one session, as a reliable checkpoint."""
     def wrapped(spark: SparkSession, sf: str) -> DataFrame:
-        key = (fn.__name__, spark.sparkContext.applicationId, sf)
+        from .tables import fingerprint
+
+        key = (fn.__name__, spark.sparkContext.applicationId, fingerprint(spark, sf))
         if key not in _MEMO:
             _MEMO[key] = fn(spark, sf).checkpoint()
         return _MEMO[key]

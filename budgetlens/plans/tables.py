@@ -8,10 +8,10 @@ input files, which also cuts the lineage of every query that reads them.
 from __future__ import annotations
 
 import hashlib
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import constants
 from ..session import checkpoint_dir
 from ..sources.standin import raw_units
 from ..operators.ingest import build_units
@@ -20,34 +20,36 @@ from ..spec import STANDIN_SPEC
 _INPUTS = ("customer", "orders", "lineitem", "part", "nation", "region")
 
 
-def _fingerprint(sf_dir: str) -> str:
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
+def _hadoop(spark: SparkSession, path: str):
+    """Hadoop file system and path object, so local folders, HDFS and object stores are all read alike."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def fingerprint(spark: SparkSession, sf_dir: str, *settings) -> str:
+    """Hash of the settings and of the length and time of every file of the input tables."""
+    h = hashlib.sha1(repr(settings).encode())
     for t in _INPUTS:
-        p = os.path.join(sf_dir, f"{t}.parquet")
-        try:
-            st = os.stat(p)
-            h.update(f"{t}:{st.st_size}:{int(st.st_mtime)}".encode())
-        except OSError:
-            h.update(t.encode())
+        fs, p = _hadoop(spark, f"{sf_dir.rstrip('/')}/{t}.parquet")
+        h.update(fs.makeQualified(p).toString().encode())
+        if not fs.exists(p):
+            continue
+        entries = fs.listStatus(p)
+        for line in sorted(f"{e.getPath()} {e.getLen()} {e.getModificationTime()}" for e in entries):
+            h.update(line.encode())
     return h.hexdigest()[:16]
 
 
 def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Read ``name`` for ``sf_dir`` if a complete copy exists, else build, write, read."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/budgetlens/{name}_{_fingerprint(sf_dir)}"
-    if not _exists(spark, f"{path}/_SUCCESS"):
+    """Read ``name`` for ``sf_dir`` if a complete copy of this input and these settings exists, else build, write, read."""
+    key = fingerprint(spark, sf_dir, STANDIN_SPEC, constants.TARGET_THRESHOLD, constants.ZERO_INFLATED_RATE, constants.CORE_RATE, constants.WINSOR_Q)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/budgetlens/{name}_{key}"
+    fs, done = _hadoop(spark, f"{path}/_SUCCESS")
+    if not fs.exists(done):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Existence check through the Hadoop file system, so HDFS/object stores work too."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p))
-
-
 def raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialized(spark, sf_dir, "raw", lambda: raw_units(spark, sf_dir))
 

@@ -41,6 +41,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_CKPT_KEY} must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="budgetlens-ckpt-", dir="/tmp")
         spark.conf.set(_CKPT_KEY, path)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -41,13 +41,13 @@ def test_quantile_ignores_nulls(spark):
     assert quantile_values(df, "x", [0.5]) == [2.0]
 
 
-@pytest.mark.parametrize("rows_per_bucket", [1 << 20, 37])
-def test_prefix_sums_match_cumsum(spark, rows_per_bucket):
+@pytest.mark.parametrize("buckets", [1, 14, None])
+def test_prefix_sums_match_cumsum(spark, buckets):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"p": rng.integers(0, 3, 500), "s": rng.permutation(500).astype(float), "c": rng.integers(0, 5, 500)})
     pdf = pdf.drop_duplicates(["p", "s"])
     df = spark.createDataFrame(pdf)
-    out = prefix_sums(df, ["s"], ["c"], part_cols=["p"], descending=True, rows_per_bucket=rows_per_bucket).toPandas()
+    out = prefix_sums(df, ["s"], ["c"], part_cols=["p"], descending=True, buckets=buckets).toPandas()
     exp = pdf.sort_values(["p", "s"], ascending=[True, False]).assign(cum=lambda d: d.groupby("p").c.cumsum())
     m = out.merge(exp, on=["p", "s"])
     assert len(m) == len(pdf) and (m.cum_c == m.cum).all()
@@ -57,8 +57,23 @@ def test_row_numbers_bucketed(spark):
     df = spark.range(0, 1000).withColumn("k", F.col("id") * 7 % 1000)
     from budgetlens.functions import ranking
 
-    out = ranking.prefix_sums(df.withColumn("one", F.lit(1)), ["k"], ["one"], rows_per_bucket=50).toPandas()
+    out = ranking.prefix_sums(df.withColumn("one", F.lit(1)), ["k"], ["one"], buckets=20).toPandas()
     assert sorted(out.cum_one) == list(range(1, 1001))
     assert (out.sort_values("k").cum_one.values == np.arange(1, 1001)).all()
     rn = row_numbers(df, ["k"]).toPandas()
     assert (rn.sort_values("k").rn.values == np.arange(1, 1001)).all()
+
+
+def test_row_numbers_over_a_string_key(spark):
+    df = spark.range(0, 500).withColumn("k", F.concat(F.lit("key"), (F.col("id") * 7 % 500).cast("string")))
+    rn = row_numbers(df, ["k"]).toPandas()
+    assert (rn.sort_values("k").rn.values == np.arange(1, 501)).all()
+
+
+def test_hot_value_is_one_window_row_a_bucket(spark):
+    """A value that a third of all rows hold is aggregated first, so no window key holds more than a few of its rows."""
+    df, v, _ = _frame(spark)
+    agg = df.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    out = prefix_sums(agg, ["v"], ["c"], buckets=8).toPandas().sort_values("v")
+    values, counts = np.unique(v, return_counts=True)
+    assert (out.cum_c.values == np.cumsum(counts)).all() and len(out) == len(values)

@@ -22,6 +22,7 @@ SEED = 42
 N_FOLDS = 5
 HOLDOUT_FRACTION = 0.20
 SILHOUETTE_SAMPLE = 5000
+ROW_SAMPLE = 1000                # the stand-in has 1,500 units, so the sample is a real one
 ISOMETRY_PAIRS = 400
 PEER_SCALE = 1e7                 # aggregate excess is reported in units of 1e7
 IMPLAUSIBLE_RATE = -1.0          # spends more than twice the income

@@ -15,8 +15,9 @@ exact answer is found in three distributed steps:
    ``floor(p (n-1))`` and ``ceil(p (n-1))`` and interpolates.
 
 If a bracket misses its rank (the sketch's bound is probabilistic in practice),
-that run is repeated with the bracket opened to the full range, which is still
-exact. A hot value shared by a third of the rows is one key in step 2.
+the brackets are widened fourfold and the run repeated, until none misses. Bracket
+tables (groups x columns x probs) are broadcast only when their counted rows fit the
+session's broadcast threshold. A hot value shared by a third of the rows is one key in step 2.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 DEFAULT_ACCURACY = 10_000
+ROW_BYTES = 16 * 12  # an unsafe row of a bracket: keys, ranks and borders
 
 
 def to_long(df: DataFrame, value_cols: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
@@ -35,21 +39,16 @@ def to_long(df: DataFrame, value_cols: Sequence[str], group_cols: Sequence[str]
     return df.select(*group_cols, F.inline(arr)).filter(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
-def _brackets(long: DataFrame, keys: list[str], probs: Sequence[float], accuracy: int, full: bool) -> DataFrame:
-    eps = 2.0 / accuracy
+def _brackets(long: DataFrame, keys: list[str], probs: Sequence[float], accuracy: int, eps: float) -> DataFrame:
     lo_p = [max(0.0, p - eps) for p in probs]
     hi_p = [min(1.0, p + eps) for p in probs]
     aggs = [F.count("v").alias("n")]
-    if full:
-        aggs += [F.min("v").alias("vmin"), F.max("v").alias("vmax")]
-    else:
-        aggs.append(F.percentile_approx("v", lo_p + hi_p, accuracy).alias("br"))
+    aggs.append(F.percentile_approx("v", lo_p + hi_p, accuracy).alias("br"))
     st = long.groupBy(*keys).agg(*aggs)
     rows = []
     for j, p in enumerate(probs):
         pos = (F.col("n") - 1) * F.lit(float(p))
-        lo = F.col("vmin") if full else F.col("br")[j]
-        hi = F.col("vmax") if full else F.col("br")[len(probs) + j]
+        lo, hi = F.col("br")[j], F.col("br")[len(probs) + j]
         rows.append(
             F.struct(
                 F.lit(j).alias("pj"),
@@ -64,8 +63,14 @@ def _brackets(long: DataFrame, keys: list[str], probs: Sequence[float], accuracy
     return st.select(*keys, "n", F.inline(F.array(*rows)))
 
 
+def _small(br: DataFrame) -> bool:
+    """Whether the (checkpointed) bracket table fits the session's broadcast threshold, by its counted rows."""
+    limit = br.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return br.count() * ROW_BYTES <= limit
+
+
 def _solve(long: DataFrame, keys: list[str], br: DataFrame) -> DataFrame:
-    j = long.join(F.broadcast(br) if not keys or keys == ["column"] else br, keys)
+    j = long.join(F.broadcast(br) if _small(br) else br, keys)
     cls = F.when(F.col("v") < F.col("lo"), 0).when(F.col("v") > F.col("hi"), 2).otherwise(1)
     counted = (
         j.select(*keys, "pj", "prob", "r0", "r1", "frac", cls.alias("cls"),
@@ -97,10 +102,14 @@ def exact_quantiles(
     """
     long = to_long(df, value_cols, group_cols)
     keys = [*group_cols, "column"]
-    res = _solve(long, keys, _brackets(long, keys, probs, accuracy, full=False)).persist()
-    if res.filter((F.col("miss") == 1) | F.col("v0").isNull() | F.col("v1").isNull()).limit(1).count():
-        res.unpersist()
-        res = _solve(long, keys, _brackets(long, keys, probs, accuracy, full=True))
+    checkpoint_dir(df.sparkSession)
+    eps = 2.0 / accuracy
+    while True:
+        # both tables are small (groups x columns x probs); a reliable checkpoint leaves no cache behind
+        res = _solve(long, keys, _brackets(long, keys, probs, accuracy, eps).checkpoint()).checkpoint()
+        if eps >= 1 or res.where((F.col("miss") == 1) | F.col("v0").isNull() | F.col("v1").isNull()).isEmpty():
+            break
+        eps *= 4
     return res.select(
         *keys, "prob", (F.col("v0") + F.col("frac") * (F.col("v1") - F.col("v0"))).alias("q")
     )

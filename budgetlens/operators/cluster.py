@@ -145,6 +145,30 @@ def silhouette(df: DataFrame, cols: Sequence[str], label: str, key: str, n: int
     return vals.agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).alias("n"))
 
 
+def silhouette_squared(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
+    """Silhouette under squared Euclidean distance over ALL rows (N2), in two aggregations and no pairs.
+
+    The sum of squared distances from a row to a cluster needs the cluster's count, vector sum and sum of squared norms only.
+    The clusters' statistics (one row a cluster) meet the rows in an ordinary join on nothing but their single collected
+    array, so their number bounds it. A singleton cluster's row scores 0, and so does everything under one cluster.
+    """
+    rows = df.na.drop(subset=list(cols))
+    norm = sum((F.col(c) * F.col(c) for c in cols[1:]), F.col(cols[0]) * F.col(cols[0]))
+    stats = rows.groupBy(F.col(label).alias("l")).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(c) for c in cols]).alias("s"), F.sum(norm).alias("q"))
+    known = stats.collect()  # one row a cluster
+    if len(known) < 2:
+        return rows.agg(F.lit(0.0).alias("silhouette"), F.count(F.lit(1)).alias("n"))
+    table = F.array(*[F.struct(F.lit(r.l).alias("l"), F.lit(r.n).alias("n"), F.array(*[F.lit(float(v)) for v in r.s]).alias("s"), F.lit(float(r.q)).alias("q")) for r in known])
+    cross = lambda c: F.aggregate(F.zip_with(F.array(*[F.col(x).cast("double") for x in cols]), c["s"], lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    total = lambda c: F.greatest(c["n"] * norm - 2 * cross(c) + c["q"], F.lit(0.0))
+    own = F.filter(table, lambda c: c["l"] == F.col(label))
+    a = F.transform(own, lambda c: F.when(c["n"] > 1, total(c) / (c["n"] - 1)))
+    b = F.array_min(F.transform(F.filter(table, lambda c: c["l"] != F.col(label)), lambda c: total(c) / c["n"]))
+    each = rows.select(F.get(a, F.lit(0)).alias("a"), b.alias("b"))
+    score = F.when(F.col("a").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return each.agg(F.avg(score).alias("silhouette"), F.count(F.lit(1)).alias("n"))
+
+
 def fit_kmeans(df: DataFrame, features_col: str, k: int, starts: int = 10, seed: int = SEED):
     """Best of ``starts`` seeded MLlib k-means runs by training cost."""
     from pyspark.ml.clustering import KMeans

@@ -70,19 +70,19 @@ def missing_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 
 
 def duplicates(df: DataFrame, key: str) -> DataFrame:
-    """Duplicate keys and fully duplicated rows, one aggregation."""
-    n = F.count(F.lit(1))
-    return df.agg(
-        (n - F.count_distinct(F.col(key))).alias("dup_keys"),
-        (n - F.count_distinct(F.struct(*df.columns))).alias("dup_rows"),
-    )
+    """Duplicate keys and fully duplicated rows (E6). Whole rows meet only for keys that were seen more than once."""
+    keys = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
+    more = keys.where("_c > 1").select(F.col(key).alias("_k"))
+    twins = df.join(more, F.col(key).eqNullSafe(F.col("_k")), "left_semi").groupBy(*df.columns).agg((F.count(F.lit(1)) - 1).alias("_d"))
+    by_key = keys.agg((F.coalesce(F.sum("_c"), F.lit(0)) - F.count(key)).alias("dup_keys"))
+    return by_key.join(twins.agg(F.coalesce(F.sum("_d"), F.lit(0)).alias("dup_rows")))  # one row each
+
 
 def cardinality(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Distinct non-NULL values and NULL count per column."""
-    row = df.agg(*[F.count_distinct(F.col(c)).alias(f"d__{c}") for c in cols],
-                 *[F.count_if(F.col(c).isNull()).alias(f"m__{c}") for c in cols])
-    return _unpivot_stats(row, cols, ["d", "m"]).select(
-        "column", F.col("d").alias("levels"), F.col("m").alias("n_missing"))
+    """Distinct non-NULL values and NULL count per column (E7): one count by (column, value), pre-aggregated in each task."""
+    pair = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in cols]))
+    values = df.select(pair).groupBy("column", "v").agg(F.count(F.lit(1)).alias("c"))
+    return values.groupBy("column").agg(F.count("v").alias("levels"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("c"))), F.lit(0)).alias("n_missing"))
 
 
 def value_counts(df: DataFrame, c: str) -> DataFrame:

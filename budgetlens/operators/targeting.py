@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import count_if, flag, nz_sum, rate_if
 from ..functions.quantiles import exact_quantiles
-from ..functions.ranking import prefix_sums, row_numbers
+from ..functions.ranking import prefix_sums
 
 
 def top_fraction_hits(long: DataFrame, strategy: str, score: str, key: str, y: str,
@@ -42,12 +42,13 @@ def top_fraction_hits(long: DataFrame, strategy: str, score: str, key: str, y: s
         strategy, "fraction", "k", (F.col("before_hit") + F.col("hit")).alias("hits"))
     partial = bnd.filter(F.col("before") + F.col("cnt") > F.col("k")).select(
         F.col(strategy).alias("_ps"), "fraction", "k", "_bs", "before", "before_hit")
-    # rows of the partially taken score groups, ranked by key within (strategy, fraction)
-    rows = long.join(F.broadcast(partial), (F.col(strategy) == F.col("_ps")) & (F.col(score) == F.col("_bs"))) \
-        .select(F.col("_ps").alias(strategy), "fraction", "k", "before", "before_hit", F.col(key), F.col(y))
-    ranked = row_numbers(rows, [key], part_cols=[strategy, "fraction"], name="_r")
-    part_hits = ranked.filter(F.col("_r") <= F.col("k") - F.col("before")).groupBy(strategy, "fraction", "k", "before_hit") \
-        .agg(F.sum(F.col(y).cast("long")).alias("_h")).select(strategy, "fraction", "k", (F.col("before_hit") + F.col("_h")).alias("hits"))
+    # rows of the partially taken score groups, ranked by key once for all budgets that end in the group
+    tied = partial.select("_ps", "_bs").distinct()
+    rows = long.join(F.broadcast(tied), (F.col(strategy) == F.col("_ps")) & (F.col(score) == F.col("_bs"))) \
+        .select("_ps", "_bs", F.col(key), F.col(y).cast("long").alias("_y"), F.lit(1).cast("long").alias("_one"))
+    ranked = prefix_sums(rows, [key], ["_one", "_y"], part_cols=["_ps", "_bs"])
+    part_hits = ranked.join(F.broadcast(partial), ["_ps", "_bs"]).where(F.col("cum__one") == F.col("k") - F.col("before")).select(
+        F.col("_ps").alias(strategy), "fraction", "k", (F.col("before_hit") + F.col("cum__y")).alias("hits"))
     zero = budgets.filter(F.col("k") == 0).select(strategy, "fraction", "k", F.lit(0).cast("long").alias("hits"))
     return full.unionByName(part_hits).unionByName(zero)
 

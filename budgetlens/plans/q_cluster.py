@@ -142,3 +142,22 @@ def n02_silhouette_ilr_persona(spark, sf):
     il = f.na.drop(subset=clr_cols).select("unit_id", *SX.ilr(clr_cols)).join(
         u.select("unit_id", SX.zero_pattern_key(core, "persona")), "unit_id")
     return rounded(C.silhouette(il, _ILR, "persona", "unit_id", SILHOUETTE_SAMPLE, SEED))
+
+
+_SIL_ALL = _SIL.split("smp AS")[0] + f"""st AS (SELECT persona AS c, count(*) AS n, sum({" + ".join(f"{x} * {x}" for x in _ILR)}) AS q,
+         {", ".join(f"sum({x}) AS s_{x}" for x in _ILR)} FROM il GROUP BY persona),
+dist AS (SELECT il.unit_id, il.persona, st.c, st.n,
+         greatest(st.n * ({" + ".join(f"il.{x} * il.{x}" for x in _ILR)}) - 2 * ({" + ".join(f"il.{x} * st.s_{x}" for x in _ILR)}) + st.q, 0) AS t FROM il, st),
+ab AS (SELECT unit_id, max(CASE WHEN persona = c AND n > 1 THEN t / (n - 1) END) AS a, min(CASE WHEN persona <> c THEN t / n END) AS b FROM dist GROUP BY unit_id)"""
+
+
+@register("n02_silhouette_all_rows", sql=with_features(rsql(
+    "SELECT avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS silhouette, count(*) AS n FROM ab",
+    r6="silhouette"), _SIL_ALL))
+def n02_silhouette_all_rows(spark, sf):
+    """Squared-Euclidean silhouette over all rows; n02_silhouette_ilr_persona is the study's Euclidean one, defined on a seeded sample."""
+    f, u = features_table(spark, sf), units_table(spark, sf)
+    core = SX.fit_zero_sets(u, SHARES).core
+    clr_cols = [c for c in f.columns if c.endswith("_clr")]
+    il = f.na.drop(subset=clr_cols).select("unit_id", *SX.ilr(clr_cols)).join(u.select("unit_id", SX.zero_pattern_key(core, "persona")), "unit_id")
+    return rounded(C.silhouette_squared(il, _ILR, "persona"))

@@ -17,7 +17,8 @@ from .common import rounded, rsql
 from .q_metrics import S, W, _capture_sql, _long
 from .registry import memo_result, register
 from .sqlviews import with_units
-from .tables import _fingerprint, _exists, features_table, raw_table, units_table
+from .sqlfeatures import with_features
+from .tables import exists, features_table, fingerprint, raw_table, units_table
 
 _COUNTS = [c for c, _ in STANDIN_SPEC.count_labels]
 _KEEP = ["unit_id", "weight", "income", "size", "dependents", *_COUNTS, "debt", "has_flag", *[f"item_{k}" for k in range(1, 51)]]
@@ -25,8 +26,8 @@ _KEEP = ["unit_id", "weight", "income", "size", "dependents", *_COUNTS, "debt",
 
 def _raw_tsv(spark, sf):
     """The raw wide table as tab-separated text with "NA" for missing cells (written once by Spark)."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/budgetlens/raw_tsv_{_fingerprint(sf)}"
-    if not _exists(spark, f"{path}/_SUCCESS"):
+    path = f"{checkpoint_dir(spark).rstrip('/')}/budgetlens/raw_tsv_{fingerprint(spark, sf)}"
+    if not exists(spark, f"{path}/_SUCCESS"):
         raw_table(spark, sf).write.mode("overwrite").option("sep", "\t").option("header", True) \
             .option("nullValue", "NA").csv(path)
     return path
@@ -41,16 +42,18 @@ def a01_scan_tsv(spark, sf):
     return rounded(df, money=["debt"])
 
 
-@register("a05_sink_roundtrip")
+@register("a05_sink_roundtrip", sql=with_features(
+    "SELECT f AS format, count(*) AS rows, CAST(sum(target) AS BIGINT) AS n_target, count(has_flag) AS n_flag FROM features, (VALUES ('parquet'), ('csv')) t(f) GROUP BY f"))
 def a05_sink_roundtrip(spark, sf):
-    """Write the feature table as Parquet and CSV and read both back (A5)."""
+    """Write the feature table as Parquet and CSV and read both back, the CSV under the table's own types (A4, A5)."""
     f = features_table(spark, sf)
-    base = f"{checkpoint_dir(spark).rstrip('/')}/budgetlens/sink_{_fingerprint(sf)}"
+    base = f"{checkpoint_dir(spark).rstrip('/')}/budgetlens/sink_{fingerprint(spark, sf)}"
     f.write.mode("overwrite").parquet(f"{base}/parquet")
     f.write.mode("overwrite").option("header", True).csv(f"{base}/csv")
-    p = spark.read.parquet(f"{base}/parquet").agg(F.count(F.lit(1)).alias("rows")).withColumn("format", F.lit("parquet"))
-    c = spark.read.option("header", True).csv(f"{base}/csv").agg(F.count(F.lit(1)).alias("rows")).withColumn("format", F.lit("csv"))
-    return p.unionByName(c)
+    back = {"parquet": spark.read.parquet(f"{base}/parquet"), "csv": spark.read.schema(f.schema).option("header", True).csv(f"{base}/csv")}
+    out = [d.agg(F.count(F.lit(1)).alias("rows"), F.sum("target").cast("long").alias("n_target"), F.count("has_flag").alias("n_flag"))
+           .withColumn("format", F.lit(name)) for name, d in back.items()]
+    return out[0].unionByName(out[1])
 
 
 @register("p02_lift_and_gain", sql=W(rsql(f"""
@@ -81,7 +84,7 @@ def _representations(spark, sf):
 @register("n03_kmeans_sweep")
 @memo_result
 def n03_kmeans_sweep(spark, sf):
-    """Representation x k sweep: best-of-10 k-means inertia and sampled silhouette."""
+    """Representation x k sweep: best-of-10 k-means inertia and silhouette over all rows."""
     d, reps = _representations(spark, sf)
     rows = []
     for name, cols in reps.items():
@@ -94,7 +97,7 @@ def n03_kmeans_sweep(spark, sf):
 
             fit = fit_standard_scaler(lab, cols, ddof=0)
             z = lab.select("unit_id", "cluster", *scaled(cols, fit))
-            sil = C.silhouette(z, cols, "cluster", "unit_id", SILHOUETTE_SAMPLE, SEED).first()["silhouette"]
+            sil = C.silhouette_squared(z, cols, "cluster").first()["silhouette"]
             return (name, k, float(sil), float(cost))
 
         with ThreadPoolExecutor(max_workers=4) as ex:

@@ -227,9 +227,10 @@ def k11_accuracy_by_area(spark, sf):
 
 # ---- P1 / P3: capture by contact budget ------------------------------------------------------------------------------------
 def _long(s):
-    cols = lambda name, sc: s.select(F.lit(name).alias("strategy"), "unit_id", sc.alias("score"), "at_risk")
-    return cols("model", F.col("risk_score")).unionByName(cols("income_rule", -F.col("income"))).unionByName(
-        cols("random", F.col("random_score")))
+    """One row for each strategy and unit, from one pass over the units."""
+    strategies = (("model", F.col("risk_score")), ("income_rule", -F.col("income")), ("random", F.col("random_score")))
+    each = F.array(*[F.struct(F.lit(n).alias("strategy"), c.cast("double").alias("score")) for n, c in strategies])
+    return s.select(F.inline(each), "unit_id", "at_risk")
 
 
 def _capture_sql(fractions):

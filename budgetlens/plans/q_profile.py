@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import DESCRIBE_PCTS, HIST_BINS, INTERACTION_SAMPLE, SEED, TAIL_PCTS, THRESHOLD_SWEEP
+from ..constants import DESCRIBE_PCTS, HIST_BINS, ROW_SAMPLE, SEED, TAIL_PCTS, THRESHOLD_SWEEP
 from ..operators import profile as P
 from ..spec import PARTS, SHARES
 from .common import rounded, rsql, union_sql
@@ -378,8 +378,8 @@ def c03_complete_case(spark, sf):
 
 # ---- C5: seeded sample ---------------------------------------------------------------------------------------------------
 @register("c05_seeded_sample", sql=with_units(rsql(
-    f"SELECT unit_id, rate FROM units ORDER BY md5(CAST(unit_id AS VARCHAR) || '{SEED}'), unit_id LIMIT {INTERACTION_SAMPLE}", r6="rate")))
+    f"SELECT unit_id, rate FROM units ORDER BY md5(CAST(unit_id AS VARCHAR) || '{SEED}'), unit_id LIMIT {ROW_SAMPLE}", r6="rate")))
 def c05_seeded_sample(spark, sf):
     from ..operators.splits import seeded_sample
 
-    return rounded(seeded_sample(U(spark, sf), "unit_id", INTERACTION_SAMPLE, SEED).select("unit_id", "rate"))
+    return rounded(seeded_sample(U(spark, sf), "unit_id", ROW_SAMPLE, SEED).select("unit_id", "rate"))

@@ -40,12 +40,16 @@ def fingerprint(spark: SparkSession, sf_dir: str, *settings) -> str:
     return h.hexdigest()[:16]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return bool(fs.exists(p))
+
+
 def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """Read ``name`` for ``sf_dir`` if a complete copy of this input and these settings exists, else build, write, read."""
     key = fingerprint(spark, sf_dir, STANDIN_SPEC, constants.TARGET_THRESHOLD, constants.ZERO_INFLATED_RATE, constants.CORE_RATE, constants.WINSOR_Q)
     path = f"{checkpoint_dir(spark).rstrip('/')}/budgetlens/{name}_{key}"
-    fs, done = _hadoop(spark, f"{path}/_SUCCESS")
-    if not fs.exists(done):
+    if not exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

@@ -66,6 +66,11 @@ def lookup(c: str | Column, mapping: dict, default=None) -> Column:
     return out if default is None else F.coalesce(out, F.lit(default))
 
 
+def first_non_missing(*cols: str | Column) -> Column:
+    """The first of the columns that is not missing."""
+    return F.coalesce(*[col(c) for c in cols])
+
+
 def rnd(c: str | Column, d: int = 6) -> Column:
     return F.round(col(c).cast("double"), d)
 

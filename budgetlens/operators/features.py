@@ -70,6 +70,19 @@ def fit_standard_scaler(df: DataFrame, cols: Sequence[str], ddof: int = 0) -> Sc
                     {c: (row[f"s{i}"] if row[f"s{i}"] else 1.0) for i, c in enumerate(cols)})
 
 
+def varying(df: DataFrame, cols: Sequence[str]) -> list[str]:
+    """The columns that hold at least two different non-missing values, in one aggregation."""
+    row = df.agg(*[(F.min(c) < F.max(c)).alias(f"v{i}") for i, c in enumerate(cols)]).first() if cols else ()
+    return [c for c, v in zip(cols, row) if v]
+
+
+def fit_zscores(df: DataFrame, cols: Sequence[str]) -> tuple[ScaleFit, MedianFit]:
+    """Sample-sd z-scores of median-filled columns; constant and empty columns are dropped."""
+    kept = varying(df, cols)
+    filled = fit_median_imputer(df, kept)
+    return fit_standard_scaler(df.select(*imputed(kept, filled)), kept, ddof=1), filled
+
+
 def fit_robust_scaler(df: DataFrame, cols: Sequence[str]) -> ScaleFit:
     """Median and interpolated IQR; a zero IQR scales by 1."""
     m = quantile_map(df, cols, [0.25, 0.5, 0.75])
@@ -102,15 +115,18 @@ def one_hot(c: str, levels: Sequence[str]) -> list:
 
 
 def vif(df: DataFrame, cols: Sequence[str]) -> list[tuple[str, float]]:
-    """Variance inflation factors from the correlation matrix.
+    """Variance inflation factors from the correlation matrix (J7); constant columns have none and are left out.
 
     The p x p correlation matrix is one distributed aggregation; its inverse is a
     p x p driver computation (p is the feature count, not the row count).
     Exactly dependent columns (rank deficiency) get ``inf``.
     """
+    cols = varying(df, cols)
     p = len(cols)
+    if p == 0:
+        return []
     pairs = [(i, j) for i in range(p) for j in range(i + 1, p)]
-    row = df.agg(*[F.corr(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    row = df.agg(F.count("*"), *[F.corr(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
     r = np.eye(p)
     for i, j in pairs:
         r[i, j] = r[j, i] = row[f"c{i}_{j}"]

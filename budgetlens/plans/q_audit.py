@@ -161,6 +161,13 @@ def i06_clr_checks(spark, sf):
     return rounded(SX.clr_row_sum_check(f, [c for c in f.columns if c.endswith("_clr")]))
 
 
+@register("i06_clr_columns", sql=with_features(rsql(union_sql(
+    CLR_COLS, "SELECT '{c}' AS \"column\", avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS min, max({c}) AS max FROM features"), r6="mean std min max")))
+def i06_clr_columns(spark, sf):
+    f = FT(spark, sf)
+    return rounded(SX.clr_column_summary(f, [c for c in f.columns if c.endswith("_clr")]))
+
+
 def _ilr_sql():
     """sqrt(i / (i + 1)) * (mean of the first i columns - column i + 1), from the definition."""
     return ", ".join(f"sqrt({i}.0 / {i + 1}.0) * (({' + '.join(CLR_COLS[:i])}) / {i}.0 - {CLR_COLS[i]}) AS ilr_{i}" for i in range(1, len(CLR_COLS)))
@@ -288,8 +295,8 @@ def j01_median_impute(spark, sf):
     _NUM, "SELECT '{c}' AS \"column\", avg({c}) AS center, stddev_pop({c}) AS scale FROM features"), r6="center scale")))
 def j02_standard_scaler(spark, sf):
     f = FT(spark, sf)
-    return rounded(f.agg(*[F.struct(F.lit(c).alias("column"), F.avg(c).alias("center"), F.stddev_pop(c).alias("scale")).alias(c)
-                           for c in _NUM]).select(F.inline(F.array(*_NUM))))
+    fit = FE.fit_standard_scaler(f, _NUM, ddof=0)
+    return rounded(f.sparkSession.createDataFrame([(c, float(fit.center[c]), float(fit.scale[c])) for c in _NUM], "column string, center double, scale double"))
 
 
 @register("j03_robust_scaler", sql=with_features(rsql(union_sql(_NUM, (
@@ -312,15 +319,26 @@ def j04_one_hot_counts(spark, sf):
     return row.unpivot([], enc.columns, "column", "n_ones")
 
 
-@register("j06_zscore_sample_sd", sql=with_features(rsql(union_sql(
-    _NUM, "SELECT '{c}' AS \"column\", avg({c}) AS center, stddev_samp({c}) AS scale FROM features"), r6="center scale")))
+@register("j06_zscore_sample_sd", sql=with_features(rsql(f"""
+    WITH m AS (SELECT {", ".join(f"median({c}) AS {c}" for c in _NUM)} FROM features),
+    z AS ({union_sql(_NUM, "SELECT '{c}' AS c, coalesce(f.{c}, m.{c}) AS x FROM features f, m")})
+    SELECT c AS "column", avg(x) AS center, stddev_samp(x) AS scale FROM z GROUP BY c HAVING min(x) < max(x)""", r6="center scale")))
 def j06_zscore_sample_sd(spark, sf):
     f = FT(spark, sf)
-    fit = FE.fit_standard_scaler(f, _NUM, ddof=1)
-    rows = [(c, float(fit.center[c]), float(fit.scale[c])) for c in _NUM]
+    fit, _ = FE.fit_zscores(f.withColumn("always_one", F.lit(1.0)), [*_NUM, "always_one"])  # the constant column is dropped
+    rows = [(c, float(v), float(fit.scale[c])) for c, v in fit.center.items()]
     return rounded(f.sparkSession.createDataFrame(rows, "column string, center double, scale double"))
 
 
+@register("j07_vif_of_two", sql=with_features(rsql("""
+    SELECT c AS "column", 1 / (1 - pow(r, 2)) AS vif FROM (SELECT corr(log_income, groceries_share) AS r FROM features), (VALUES ('log_income'), ('groceries_share')) t(c)""",
+    r6="vif")))
+def j07_vif_of_two(spark, sf):
+    """VIF of two columns, 1 / (1 - r^2); a constant third one has none."""
+    f = FT(spark, sf).withColumn("always_one", F.lit(1.0))
+    return rounded(f.sparkSession.createDataFrame(FE.vif(f, ["log_income", "always_one", "groceries_share"]), "column string, vif double"))
+
+
 @register("j07_vif")
 def j07_vif(spark, sf):
     f = FT(spark, sf)

@@ -11,6 +11,8 @@ from ..operators import cluster as C
 from ..operators import ingest
 from ..operators import simplex as SX
 from ..operators import targeting as T
+from ..functions.columns import first_non_missing, lookup
+from ..operators.profile import melt
 from ..session import checkpoint_dir
 from ..spec import SHARES, STANDIN_SPEC
 from .common import rounded, rsql
@@ -135,3 +137,42 @@ def p11_findings(spark, sf):
     for x in m[1:]:
         out = out.unionByName(x)
     return rounded(out)
+
+
+# fixed values: short codes of the market segments; FURNITURE has none on purpose
+SEGMENT_CODES = {"AUTOMOBILE": "auto", "BUILDING": "build", "HOUSEHOLD": "home", "MACHINERY": "mach"}
+
+
+@register("b07_first_non_missing", sql=with_units("SELECT unit_id, coalesce(segment, area) AS segment_or_area FROM units"))
+def b07_first_non_missing(spark, sf):
+    return units_table(spark, sf).select("unit_id", first_non_missing("segment", "area").alias("segment_or_area"))
+
+
+@register("b08_code_lookup", sql=with_units(
+    "SELECT unit_id, CASE segment " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SEGMENT_CODES.items()) + " END AS code FROM units"))
+def b08_code_lookup(spark, sf):
+    return units_table(spark, sf).select("unit_id", lookup("segment", SEGMENT_CODES).alias("code"))
+
+
+@register("b06_logs", sql=with_units(rsql("SELECT unit_id, ln(1 + greatest(debt_to_income, 0)) AS log1p_debt, exp(log_income) AS income_again FROM units", r6="log1p_debt", r2=["income_again"])))
+def b06_logs(spark, sf):
+    u = units_table(spark, sf)
+    return rounded(u.select("unit_id", F.log1p(F.greatest("debt_to_income", F.lit(0))).alias("log1p_debt"), F.exp("log_income").alias("income_again")), money=["income_again"])
+
+
+@register("d05_fixed_domain", sql=with_units("""
+    SELECT d.segment, count(u.unit_id) AS n, d.pos FROM (VALUES ('MACHINERY', 1), ('NO SUCH SEGMENT', 2), ('BUILDING', 3)) d(segment, pos)
+    LEFT JOIN units u ON u.segment = d.segment GROUP BY d.segment, d.pos"""))
+def d05_fixed_domain(spark, sf):
+    """Group counts over a stated list of groups in its order; groups without a row stay, with 0."""
+    domain = spark.createDataFrame([("MACHINERY", 1), ("NO SUCH SEGMENT", 2), ("BUILDING", 3)], "segment string, pos int")
+    counts = units_table(spark, sf).groupBy("segment").agg(F.count("unit_id").alias("n"))
+    return domain.join(counts, "segment", "left").select("segment", F.coalesce("n", F.lit(0)).alias("n"), "pos").orderBy("pos")
+
+
+@register("e23_transposed_rates", sql=with_units(rsql("""
+    SELECT area, 'rate' AS measure, avg(target) AS value FROM units WHERE area IS NOT NULL GROUP BY area
+    UNION ALL SELECT area, 'n', CAST(count(*) AS DOUBLE) FROM units WHERE area IS NOT NULL GROUP BY area""", r6="value")))
+def e23_transposed_rates(spark, sf):
+    wide = units_table(spark, sf).where("area IS NOT NULL").groupBy("area").agg(F.avg("target").alias("rate"), F.count(F.lit(1)).cast("double").alias("n"))
+    return rounded(melt(wide, ["area"], ["rate", "n"], "measure", "value"))

@@ -58,17 +58,26 @@ def m05_global_importance(spark, sf):
     return rounded(imp.orderBy(F.col("mean_abs_phi").desc(), "feature").limit(20))
 
 
-@register("m06_group_shares")
-def m06_group_shares(spark, sf):
-    phi, model, pre, te = _phi(spark, sf)
-    names = pre.names
-    groups = {
+def feature_groups(pre) -> dict[str, list[str]]:
+    return {
         "income": ["log_income"], "spending mix": SHARES,
-        "participation": [n for n in names if n.startswith("spends_on_")],
+        "participation": [n for n in pre.names if n.startswith("spends_on_")],
         "debt": ["debt_to_income_w", "has_debt"], "composition": ["size", "dependents", "dependency_ratio"],
-        "categorical": [n for n in names if n not in pre.numeric],
+        "categorical": [n for n in pre.names if n not in pre.numeric],
     }
-    return rounded(X.group_shares(X.global_importance(phi, te.count()), groups))
+
+
+def raw_values(df, pre):
+    """(unit_id, feature, value) of the model's features before imputation and scaling; 0/1 for category levels."""
+    cells = [(c, F.col(c).cast("double")) for c in pre.numeric]
+    cells += [(f"{c}_{lv}", (F.col(c) == F.lit(lv)).cast("double")) for c in pre.categorical for lv in pre.levels[c]]
+    return df.select("unit_id", F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), v.alias("value")) for n, v in cells])))
+
+
+@register("m06_group_shares")
+def m06_group_shares(spark, sf):
+    phi, model, pre, te = _phi(spark, sf)
+    return rounded(X.group_shares(X.global_importance(phi, te.count()), feature_groups(pre)))
 
 
 @register("m08_interaction_summary")
@@ -91,7 +100,7 @@ def m09_row_explanations(spark, sf):
                  F.min_by("unit_id", F.struct(F.abs(F.col("p") - 0.5), F.col("unit_id"))).alias("borderline"))
     cases = pick.unpivot([], ["most_confident_yes", "most_confident_no", "borderline"], "case", "unit_id")
     top = X.top_contributions(phi.join(F.broadcast(cases), "unit_id"), "unit_id", TOP_CONTRIBUTIONS)
-    return rounded(top.join(p, "unit_id"))
+    return rounded(top.join(p, "unit_id").join(raw_values(fitted(spark, sf)[3], pre), ["unit_id", "feature"], "left"))
 
 
 @register("m10_dependence_income_by_area")
@@ -136,9 +145,21 @@ _coefs_all = memo_result(lambda spark, sf: _coefs(spark, sf, None))
 _coefs_all.__name__ = "coefs_all"
 
 
+@register("m01_flips_by_group")
+def m01_flips_by_group(spark, sf):
+    """Per feature group: features, how many change sign between parts, median relative spread (M1)."""
+    stable = X.coefficient_stability(_coefs_all(spark, sf))
+    group = F.when(F.col("feature") == "log_income", "income").when(F.col("feature").endswith("_share"), "spending mix") \
+        .when(F.col("feature").startswith("spends_on_"), "participation").when(F.col("feature").isin("debt_to_income_w", "has_debt"), "debt") \
+        .when(F.col("feature").isin("size", "dependents", "dependency_ratio"), "composition").otherwise("categorical")
+    return rounded(stable.groupBy(group.alias("grp")).agg(
+        F.count(F.lit(1)).alias("features"), F.sum("flips_sign").alias("flips"), F.median("sd_over_abs_mean").alias("median_spread")))  # one row a feature
+
+
 @register("m02_reference_part_refit")
 def m02_reference_part_refit(spark, sf):
     full = X.coefficient_stability(_coefs_all(spark, sf)).select("feature", F.col("sd").alias("sd_all"))
     red = X.coefficient_stability(_coefs(spark, sf, "groceries_share")).select("feature", F.col("sd").alias("sd_dropped"))
     j = full.join(red, "feature").filter(F.col("feature").endswith("_share"))
-    return rounded(j.withColumn("improvement", F.col("sd_all") / F.col("sd_dropped")))
+    j = j.withColumn("improvement", F.col("sd_all") / F.col("sd_dropped"))
+    return rounded(j.crossJoin(j.agg(F.median("improvement").alias("median_improvement"))))  # one row a share, and one

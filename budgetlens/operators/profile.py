@@ -75,7 +75,8 @@ def duplicates(df: DataFrame, key: str) -> DataFrame:
     more = keys.where("_c > 1").select(F.col(key).alias("_k"))
     twins = df.join(more, F.col(key).eqNullSafe(F.col("_k")), "left_semi").groupBy(*df.columns).agg((F.count(F.lit(1)) - 1).alias("_d"))
     by_key = keys.agg((F.coalesce(F.sum("_c"), F.lit(0)) - F.count(key)).alias("dup_keys"))
-    return by_key.join(twins.agg(F.coalesce(F.sum("_d"), F.lit(0)).alias("dup_rows")))  # one row each
+    by_row = twins.agg(F.coalesce(F.sum("_d"), F.lit(0)).alias("dup_rows"))
+    return by_key.unionByName(by_row, allowMissingColumns=True).agg(F.max("dup_keys").alias("dup_keys"), F.max("dup_rows").alias("dup_rows"))
 
 
 def cardinality(df: DataFrame, cols: Sequence[str]) -> DataFrame:

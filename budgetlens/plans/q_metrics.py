@@ -20,8 +20,8 @@ from .sqlviews import D, nz, with_units
 from .tables import units_table
 
 
-def S(spark, sf):
-    return scored(units_table(spark, sf))
+def S(spark, sf, **needs):
+    return scored(units_table(spark, sf), **needs)
 
 
 def W(body):
@@ -31,12 +31,12 @@ def W(body):
 # ---- J8-J11: splits ---------------------------------------------------------------------------------
 @register("j08_stratified_folds", sql=W("SELECT unit_id, fold FROM sc"))
 def j08_stratified_folds(spark, sf):
-    return S(spark, sf).select("unit_id", "fold")
+    return S(spark, sf, fold=True).select("unit_id", "fold")
 
 
 @register("j08_fold_balance", sql=W("SELECT y, fold, count(*) AS n FROM sc GROUP BY y, fold"))
 def j08_fold_balance(spark, sf):
-    return S(spark, sf).groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n"))
+    return S(spark, sf, fold=True).groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("j09_holdout", sql=W(f"""
@@ -66,7 +66,7 @@ def j11_disjoint_parts(spark, sf):
     SELECT sc.fold, avg(CASE WHEN m.mode = y THEN 1.0 ELSE 0.0 END) AS accuracy, avg(m.prior) AS prior
     FROM sc JOIN m ON sc.fold = m.fold GROUP BY sc.fold""", r6="accuracy prior")))
 def l01_majority_baseline(spark, sf):
-    return rounded(BL.majority_baseline(S(spark, sf), "y", "fold"))
+    return rounded(BL.majority_baseline(S(spark, sf, fold=True), "y", "fold"))
 
 
 @register("l02_stratified_random", sql=W(rsql("""
@@ -74,7 +74,7 @@ def l01_majority_baseline(spark, sf):
     SELECT sc.fold, avg(CASE WHEN (CASE WHEN random_score < prior THEN 1 ELSE 0 END) = y THEN 1.0 ELSE 0.0 END) AS accuracy
     FROM sc JOIN pr ON sc.fold = pr.fold GROUP BY sc.fold""", r6="accuracy")))
 def l02_stratified_random(spark, sf):
-    return rounded(BL.stratified_random_baseline(S(spark, sf), "y", "fold", "random_score"))
+    return rounded(BL.stratified_random_baseline(S(spark, sf, fold=True), "y", "fold", "random_score"))
 
 
 @register("l03_gini_stump", sql=W(rsql("""
@@ -191,7 +191,7 @@ def k08_operating_points(spark, sf):
     f"stddev_pop(f1_macro) AS f1_macro_sd FROM ({_metrics_sql(group='fold')}) m",
     r6="accuracy_mean f1_macro_mean accuracy_sd f1_macro_sd")))
 def k09_fold_summary(spark, sf):
-    s = S(spark, sf)
+    s = S(spark, sf, fold=True)
     per_fold = None
     for k in range(5):
         m = M.classification_metrics(s.filter(F.col("fold") == k), "y", "pred").withColumn("fold", F.lit(k))
@@ -215,7 +215,7 @@ def k10_calibration(spark, sf):
     "SELECT decile, avg(CASE WHEN CAST(p > 0.5 AS INTEGER) = y THEN 1.0 ELSE 0.0 END) AS accuracy, count(*) AS n FROM sc GROUP BY decile",
     r6="accuracy")))
 def k11_accuracy_by_decile(spark, sf):
-    return rounded(M.accuracy_by_slice(S(spark, sf), "p", "y", "decile"))
+    return rounded(M.accuracy_by_slice(S(spark, sf, decile=True), "p", "y", "decile"))
 
 
 @register("k11_accuracy_by_area", sql=W(rsql(

@@ -24,15 +24,18 @@ def score_col():
     return F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), 3)
 
 
-def scored(units: DataFrame) -> DataFrame:
-    """unit_id, y (target), at_risk, p, risk_score, pred, income, area, occupation, decile, fold, random_score, rate."""
+def scored(units: DataFrame, decile: bool = False, fold: bool = False) -> DataFrame:
+    """unit_id, y (target), at_risk, p, risk_score, pred, income, area, occupation, random_score, rate; on demand
+    the income decile and the stratified fold, which cost a quantile fit and a ranking.
+    """
     d = units.select(
         "unit_id", F.col("target").alias("y"), (1 - F.col("target")).alias("at_risk"), score_col().alias("p"),
         "income", "area", "occupation", "rate", "groceries_share", "log_income",
     ).withColumn("risk_score", 1 - F.col("p")).withColumn("pred", (F.col("p") > 0.5).cast("int"))
     d = d.withColumn("random_score", random_score_col("unit_id", SEED))
-    d = with_quantile_bins(d, "income", 10, "decile")
-    return stratified_folds(d, "unit_id", "y", seed=SEED)
+    if decile:
+        d = with_quantile_bins(d, "income", 10, "decile")
+    return stratified_folds(d, "unit_id", "y", seed=SEED) if fold else d
 
 
 SCORE_SQL = f"""sc0 AS (

@@ -24,17 +24,9 @@ def _c2(x):
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     """Adjusted Rand index of two labelings from their contingency table."""
     cells = df.groupBy(a, b).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    rows = cells.groupBy(a).agg(F.sum("n").alias("n"))
-    cols = cells.groupBy(b).agg(F.sum("n").alias("n"))
-    s_cells = cells.agg(F.sum(_c2(F.col("n"))).alias("v"), F.sum("n").alias("N"))
-    s_rows = rows.agg(F.sum(_c2(F.col("n"))).alias("v"))
-    s_cols = cols.agg(F.sum(_c2(F.col("n"))).alias("v"))
-    parts = (s_cells.select(F.lit("ij").alias("k"), "v", "N")
-             .unionByName(s_rows.select(F.lit("i").alias("k"), "v", F.lit(None).cast("double").alias("N")))
-             .unionByName(s_cols.select(F.lit("j").alias("k"), "v", F.lit(None).cast("double").alias("N"))))
-    t = parts.agg(F.max(F.when(F.col("k") == "ij", F.col("v"))).alias("sij"),
-                  F.max(F.when(F.col("k") == "i", F.col("v"))).alias("si"),
-                  F.max(F.when(F.col("k") == "j", F.col("v"))).alias("sj"), F.max("N").alias("N"))
+    sums = cells.cube(a, b).agg(F.sum("n").alias("n"), F.grouping_id().alias("by"))  # 0: cells, 1: by a, 2: by b, 3: all
+    pick = lambda by, x: F.sum(F.when(F.col("by") == by, x))
+    t = sums.agg(pick(0, _c2(F.col("n"))).alias("sij"), pick(1, _c2(F.col("n"))).alias("si"), pick(2, _c2(F.col("n"))).alias("sj"), pick(3, F.col("n")).alias("N"))
     expected = F.col("si") * F.col("sj") / _c2(F.col("N"))
     mx = (F.col("si") + F.col("sj")) / 2
     return t.select(F.when(mx - expected == 0, F.lit(1.0)).otherwise((F.col("sij") - expected) / (mx - expected)).alias("ari"))

@@ -17,10 +17,10 @@ from ..functions.ranking import prefix_sums
 from .binning import equal_width_bin, linspace
 
 
-def confusion(df: DataFrame, y: str, pred: str) -> DataFrame:
-    """tn, fp, fn, tp in one aggregation (K1)."""
+def confusion(df: DataFrame, y: str, pred: str, group: Sequence[str] = ()) -> DataFrame:
+    """tn, fp, fn, tp (by group) in one aggregation (K1)."""
     yy, pp = F.col(y), F.col(pred)
-    return df.agg(
+    return df.groupBy(*group).agg(
         count_if((yy == 0) & (pp == 0)).alias("tn"), count_if((yy == 0) & (pp == 1)).alias("fp"),
         count_if((yy == 1) & (pp == 0)).alias("fn"), count_if((yy == 1) & (pp == 1)).alias("tp"),
     )
@@ -30,16 +30,16 @@ def _safe(a, b):
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
-def classification_metrics(df: DataFrame, y: str, pred: str) -> DataFrame:
-    """accuracy, precision, recall (positive class, 0/0 -> 0) and macro-F1 (K2, K3)."""
-    c = confusion(df, y, pred)
+def classification_metrics(df: DataFrame, y: str, pred: str, group: Sequence[str] = ()) -> DataFrame:
+    """accuracy, precision, recall (positive class, 0/0 -> 0) and macro-F1, by group (K2, K3)."""
+    c = confusion(df, y, pred, group)
     tn, fp, fn, tp = (F.col(x).cast("double") for x in ("tn", "fp", "fn", "tp"))
     p1, r1 = _safe(tp, tp + fp), _safe(tp, tp + fn)
     p0, r0 = _safe(tn, tn + fn), _safe(tn, tn + fp)
     f1 = _safe(2 * p1 * r1, p1 + r1)
     f0 = _safe(2 * p0 * r0, p0 + r0)
     return c.select(
-        ((tp + tn) / (tp + tn + fp + fn)).alias("accuracy"), p1.alias("precision"), r1.alias("recall"),
+        *group, ((tp + tn) / (tp + tn + fp + fn)).alias("accuracy"), p1.alias("precision"), r1.alias("recall"),
         ((f0 + f1) / 2).alias("f1_macro"),
     )
 
@@ -109,15 +109,10 @@ def best_f1(curve: DataFrame) -> DataFrame:
 def operating_points(curve: DataFrame, targets: Sequence[float]) -> DataFrame:
     """Point with recall nearest each target; first in increasing-threshold order on ties (K8)."""
     thr_order = F.coalesce(F.col("threshold"), F.lit(float("inf")))
-    rows = []
-    for t in targets:
-        rows.append(curve.agg(F.min_by(F.struct("threshold", "precision", "recall"),
-                                       F.struct(F.abs(F.col("recall") - F.lit(float(t))), thr_order)).alias("b"))
-                    .select(F.lit(float(t)).alias("target_recall"), "b.*"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    point = F.struct("threshold", "precision", "recall")
+    best = [F.min_by(point, F.struct(F.abs(F.col("recall") - F.lit(float(t))), thr_order)).alias(f"b{i}") for i, t in enumerate(targets)]
+    row = [F.struct(F.lit(float(t)).alias("target_recall"), *[F.col(f"b{i}.{c}").alias(c) for c in ("threshold", "precision", "recall")]) for i, t in enumerate(targets)]
+    return curve.agg(*best).select(F.inline(F.array(*row)))
 
 
 def fold_summary(df: DataFrame, metrics: Sequence[str], group: Sequence[str] = ()) -> DataFrame:

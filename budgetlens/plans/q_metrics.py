@@ -192,11 +192,7 @@ def k08_operating_points(spark, sf):
     r6="accuracy_mean f1_macro_mean accuracy_sd f1_macro_sd")))
 def k09_fold_summary(spark, sf):
     s = S(spark, sf, fold=True)
-    per_fold = None
-    for k in range(5):
-        m = M.classification_metrics(s.filter(F.col("fold") == k), "y", "pred").withColumn("fold", F.lit(k))
-        per_fold = m if per_fold is None else per_fold.unionByName(m)
-    return rounded(M.fold_summary(per_fold, ["accuracy", "f1_macro"]))
+    return rounded(M.fold_summary(M.classification_metrics(s, "y", "pred", ["fold"]), ["accuracy", "f1_macro"]))
 
 
 # ---- K10 / K11: calibration and reliability by slice ------------------------------------------------------------------

@@ -62,7 +62,7 @@ def test_toxicity_held_out_accuracy(spark):
 @pytest.fixture(scope="module")
 def toxic_model():
     rng = random.Random(4)
-    pool = [f"plain{k}" for k in range(60)] + ["the", "of"]
+    pool = [f"plain{k}" for k in range(60)] + ["the", "of"] + ["you"] * 6  # harmless sentences say "you" as well
     texts, y = [], []
     for i in range(200):
         sentences = [" ".join(rng.choices(pool, k=8)) + "." for _ in range(rng.randrange(1, 12))]

@@ -19,7 +19,7 @@ def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
-    want = con.execute(queries.SQL[name]).fetch_arrow_table()
+    want = con.execute(queries.SQL[name]).to_arrow_table()
     got = queries.QUERIES[name](spark, SF).select(*want.column_names).collect()
     assert Counter(map(tuple, got)) == Counter(zip(*(c.to_pylist() for c in want.columns), strict=True))
 

@@ -1,12 +1,14 @@
 """Toxicity by multiple-instance learning: sentences are scored, noisy-or makes the document's score.
 
 A sentence ends at one of . ! ? or a line end. Its score is z = BIAS + the weights of its words, p = sigmoid(z); a
-document is toxic with probability 1 - prod(1 - p), which is 1 - exp(-sum softplus(z)). A word (lower-cased; punctuation reads as
-space) carries the weights of its own bucket and of the prefixes that it goes on after, so an unseen ending of a known stem counts.
+document is toxic with probability 1 - prod(1 - p), which is 1 - exp(-sum softplus(z)). Only sentences that say something count in
+that sum: in the fit those that hold a word or stem that may get a weight, in the score those whose weights sum above 0.
+A word (lower-cased; punctuation reads as space) carries the weights of its own bucket and of the prefixes that it goes on after,
+so an unseen ending of a known stem counts.
 Only documents carry labels: the gradient of the document likelihood reaches each sentence in proportion to its share of the
 blame. Offending sentences are those with p of at least one half, or the likeliest one of a document that is toxic without them.
-Weights of stems and words are 0 or more, those of harmless words with a toxic stem 0 or less, so a long clean text never adds up
-to a toxic one.
+Weights of stems and words are 0 or more, those of harmless words with a toxic stem 0 or less. Sentences without a weighted word,
+empty ones included, add nothing, so a text without any scores 0, however long it is; sentences that hold weighted words add up.
 
 The model is fitted on the driver from a bounded sample (about PER_CLASS toxic and twice as many other documents, of at most
 TRAIN_BYTES each); scoring is one pass over whole texts without a shuffle.
@@ -124,12 +126,13 @@ def fit_texts(texts: list[str], toxic: np.ndarray) -> Model:
         doc_of.append(at + np.searchsorted(x.docs, np.arange(len(x.first)), side="right") - 1)
         sentences, at = sentences + len(x.first), at + len(x.docs)
     row, col, doc = np.concatenate(rows), np.concatenate(cols), np.concatenate(doc_of)
+    speaks = np.bincount(row, minlength=sentences) > 0
     lowest, highest = np.where(np.arange(len(chosen)) < positive, 0.0, -np.inf), np.where(np.arange(len(chosen)) < positive, np.inf, 0.0)
     y, w, m, v = toxic.astype(float), np.where(lowest == 0, 0.1, 0.0), 0.0, 0.0
     share = np.where(y == 1, len(y) / (2 * n1), len(y) / (2 * n0))
     for step in range(1, 401):  # Adam on the whole sample with an L1 penalty, each weight held on its side of 0
         z = BIAS + np.bincount(row, w[col], minlength=sentences)
-        total = np.maximum(np.bincount(doc, _softplus(z), minlength=len(y)), 1e-12)
+        total = np.maximum(np.bincount(doc, np.where(speaks, _softplus(z), 0.0), minlength=len(y)), 1e-12)
         blame = np.where(y == 1, -1 / np.expm1(np.minimum(total, 50.0)), 1.0) * share
         grad = np.bincount(col, (blame[doc] / (1 + np.exp(-z)))[row], minlength=len(chosen)) / len(y) + np.where(lowest == 0, PENALTY, -PENALTY)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
@@ -159,7 +162,7 @@ def score_batch(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, list[l
         x = _slice(raw, off)
         weight = np.where(x.buckets >= 0, table[x.buckets], 0.0).sum(axis=1, dtype=np.float64)
         z = BIAS + np.bincount(x.sentence, weight[x.word], minlength=len(x.first))
-        score = -np.expm1(-np.add.reduceat(_softplus(z), x.docs))
+        score = -np.expm1(-np.add.reduceat(np.where(z > BIAS, _softplus(z), 0.0), x.docs))
         scores.append(score)
         doc = np.searchsorted(x.docs, np.arange(len(z)), side="right") - 1
         bad = set(np.flatnonzero(z >= 0).tolist())
@@ -190,7 +193,7 @@ def _score(model: Model, keep_below: float | None, text_at: int, names: list[str
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, predicted, offending sentences) of every row; null and empty texts score as one empty sentence.
+    """(doc_id, score, predicted, offending sentences) of every row; null and empty texts score 0.
 
     Repeated rows score alike, ids may be null, and other columns (any names) are not read.
     """

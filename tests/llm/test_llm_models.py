@@ -88,6 +88,24 @@ def test_offending_sentence_is_located(spark, toxic_model):
     assert clean.count() == len(rows) - sum(r.predicted for r in toxicity.score(frame(spark, rows), toxic_model).collect())
 
 
+@pytest.mark.parametrize("text", ["plain1 the of. " * 20_000, "plain1 plain2 the of. " * 60_000, "." * 20_000, "\n" * 20_000, "plain1 the... " * 30_000])
+def test_long_clean_text_is_never_toxic(spark, toxic_model, text):
+    rows = [(1, text), (2, text + "you grumpfels!"), (3, None)]
+    got = {r.doc_id: r for r in toxicity.score(frame(spark, rows), toxic_model).collect()}
+    assert (got[1].predicted, got[1].score, got[1].offending) == (0, 0.0, []) and got[3].score == 0
+    assert got[2].predicted == 1 and got[2].offending == ["you grumpfels!"]
+    assert sorted(r.doc_id for r in toxicity.keep_clean(frame(spark, rows), toxic_model).collect()) == [1, 3]
+
+
+def test_terminators_teach_nothing():
+    import numpy as np
+
+    texts = [f"plain{i % 7} word. " + ("grumpfel it." if i % 4 == 0 else "") for i in range(80)]
+    y = np.array([int(i % 4 == 0) for i in range(80)])
+    plain, dotted = toxicity.fit_texts(texts, y), toxicity.fit_texts([t + "." * 9000 for t in texts], y)
+    assert list(plain.buckets) == list(dotted.buckets) and np.allclose(plain.weights, dotted.weights)
+
+
 def test_toxicity_without_a_class_or_rows(spark):
     docs = frame(spark, [(1, "a b"), (2, "c d")])
     labels = spark.createDataFrame([(1, 0), (2, None), (None, 1), (9, 1)], "doc_id long, toxic int")

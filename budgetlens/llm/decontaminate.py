@@ -1,13 +1,17 @@
-"""Benchmark decontamination: CGK embedding and bit-sampling LSH over item-sized windows, then exact edit distances.
+"""Benchmark decontamination: CGK embedding and bit-sampling LSH over item-sized windows (short items), counted word runs
+(long items), then exact edit distances.
 
 Texts are sequences of words (lower-cased letters and digits; everything else separates). A document is contaminated by an
 item of n words if some run of its words is within n // 5 word edits of the item (similarity 0.8 and more).
 
-Candidates: a CGK random walk reads a window word by word and, from one shared random bit per (step, word), advances or
-repeats; two sequences at a small edit distance get embeddings at a small Hamming distance. Each of WALKS walks is
-sampled SAMPLES times at BITS of its 2n steps, and windows that agree with an item in all sampled steps of one sample become
-candidates. WALKS * SAMPLES repetitions give a recall above 0.99 at the largest number of edits (tested). Item-sized windows
-that share fewer words runs with an item than any window within the edit bound must (q-gram lemma) are not embedded.
+Candidates, items of at most LSH_WORDS words: a CGK random walk reads a window word by word and, from one shared random bit per
+(step, word), advances or repeats; two sequences at a small edit distance get embeddings at a small Hamming distance. Each of WALKS
+walks is sampled SAMPLES times at BITS of its 2n steps, and windows that agree with an item in all sampled steps of one sample
+become candidates. WALKS * SAMPLES repetitions give a recall above 0.99 at the largest number of edits (tested for insertions,
+substitutions and deletions apart). Item-sized windows that share fewer word runs with an item than any window within the edit
+bound must (q-gram lemma) are not embedded.
+Candidates, longer items: embeddings drift apart with every further edit, so these are not embedded. Every window is a candidate in
+which as many word runs as the q-gram lemma asks for lie close enough together; that misses nothing.
 Every candidate is verified by the exact edit distance against the words around the window.
 
 The items form broadcast blocks of at most BLOCK_BYTES of text; a larger benchmark takes one pass a block. Documents are
@@ -28,6 +32,8 @@ from pyspark.sql import types as T
 from budgetlens.llm.common import LETTERS, sequence_hash, span_hashes, text_slices, word_spans
 
 WALKS, SAMPLES, BITS = 16, 4, 2
+LSH_WORDS = 40  # longest item that is embedded
+CELLS = 1 << 22  # words around windows that are compared at once
 BLOCK_BYTES = 4_000_000
 _LUT = np.frombuffer(LETTERS, np.uint8)
 _GAP = _LUT == 32
@@ -44,6 +50,11 @@ def gram_size(n: int) -> int:
     return max(1, min(3, -(-(n - e) // (e + 1))))
 
 
+def shared_grams(n, g: int):
+    """Occurrences of grams of g words that survive edit_bound(n) edits of n words, at least (q-gram lemma)."""
+    return np.maximum(1, n - g + 1 - g * (n // 5))
+
+
 def word_ids(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, word hashes, first word of each text + total) of each slice."""
     for at, n, raw, off in text_slices(column):
@@ -90,6 +101,20 @@ def window_edits(items: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return row.min(axis=1)
 
 
+def _crowded(first: np.ndarray, doc: np.ndarray, item: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+    """Document, item and start of the windows from whose start on enough shared grams follow within the drift of the edits.
+
+    A run of words from ``a`` on within e edits of the item shares that many grams with it, and each of them puts the start
+    into a - e .. a + e; so the words around the first of these windows hold the whole run.
+    """
+    order = np.lexsort((start, item, doc))
+    doc, item, start = doc[order], item[order], start[order]
+    last = np.arange(len(doc)) + int(shared_grams(n, gram_size(n))) - 1
+    to = np.minimum(last, len(doc) - 1)
+    enough = (last < len(doc)) & (doc[to] == doc) & (item[to] == item) & (start[to] - start <= 2 * edit_bound(n))
+    return np.unique(np.stack((doc, item, np.maximum(start, first[doc])))[:, enough], axis=1)
+
+
 class ItemIndex:
     """One block of benchmark items with their n-gram postings and LSH tables (built on first use in a task)."""
 
@@ -129,10 +154,10 @@ class ItemIndex:
 
     @cached_property
     def tables(self) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
-        """Item length -> for each repetition the sorted keys and their items."""
+        """Item length (LSH_WORDS at most) -> for each repetition the sorted keys and their items."""
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(self.words):
-            if len(w):
+            if 0 < len(w) <= LSH_WORDS:
                 by_length.setdefault(len(w), []).append(i)
         out = {}
         for n, items in by_length.items():
@@ -166,7 +191,7 @@ class ItemIndex:
             posting = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             pos, doc, it = np.repeat(pos, n), np.repeat(doc, n), item[posting]
             size = self.lengths[it]
-            need = np.maximum(1, size - g + 1 - g * (size // 5))  # q-gram lemma, for the grams of a whole document
+            need = shared_grams(size, g)  # for the grams of a whole document
             pair, inverse, count = np.unique(doc * len(self.lengths) + it, return_inverse=True, return_counts=True)
             keep = count[inverse] >= need
             docs.append(doc[keep])
@@ -176,26 +201,30 @@ class ItemIndex:
             return (np.zeros(0, np.int64),) * 3
         return np.concatenate(docs), np.concatenate(items), np.concatenate(starts)
 
+    def _collisions(self, words: np.ndarray, first: np.ndarray, doc: np.ndarray, item: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+        """Document, item and start of the windows that agree with an item of n words in a repetition."""
+        window = np.unique(np.stack((doc, np.maximum(start, first[doc]))), axis=1)
+        keys = walk_keys(words, window[1], first[window[0] + 1], n)
+        found = set()
+        for r, (known, items) in enumerate(self.tables[n]):
+            lo, hi = np.searchsorted(known, keys[:, r], "left"), np.searchsorted(known, keys[:, r], "right")
+            for w in np.flatnonzero(hi > lo).tolist():
+                found.update((w, int(i)) for i in items[lo[w] : hi[w]])
+        w, i = np.array(sorted(found), dtype=np.int64).reshape(-1, 2).T
+        return np.stack((window[0, w], i, window[1, w]))
+
     def matches(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(document, item, first word of the window, edits) of every verified pair, one row a pair (fewest edits, first window)."""
         doc, item, start = self._seeds(words, first)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         if not len(doc):
             return []
-        start = np.maximum(start, first[doc])
         for n in np.unique(self.lengths[item]).tolist():
-            rows = np.flatnonzero(self.lengths[item] == n)
-            window = np.unique(np.stack((doc[rows], start[rows])), axis=1)
-            keys = walk_keys(words, window[1], first[window[0] + 1], n)
-            found = set()
-            for r, (known, items) in enumerate(self.tables[n]):
-                lo, hi = np.searchsorted(known, keys[:, r], "left"), np.searchsorted(known, keys[:, r], "right")
-                for w in np.flatnonzero(hi > lo).tolist():
-                    found.update((w, int(i)) for i in items[lo[w] : hi[w]])
-            e, pairs = edit_bound(n), sorted(found)
-            for at in range(0, len(pairs), 4096):
-                w, i = np.array(pairs[at : at + 4096], dtype=np.int64).T
-                d, s = window[0, w], window[1, w]
+            rows, e = np.flatnonzero(self.lengths[item] == n), edit_bound(n)
+            d_, i_, s_ = self._collisions(words, first, doc[rows], item[rows], start[rows], n) if n <= LSH_WORDS else _crowded(first, doc[rows], item[rows], start[rows], n)
+            step = max(1, min(4096, CELLS // (n + 2 * e)))
+            for at in range(0, len(d_), step):
+                d, i, s = (x[at : at + step] for x in (d_, i_, s_))
                 spot = (s - e)[:, None] + np.arange(n + 2 * e)
                 inside = (spot >= first[d][:, None]) & (spot < first[d + 1][:, None])
                 around = np.where(inside, words[np.clip(spot, 0, len(words) - 1)], np.uint64(0))

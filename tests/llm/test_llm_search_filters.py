@@ -217,3 +217,34 @@ def test_recall_at_the_largest_number_of_edits():
         texts.append(" ".join(rng.choices(pool, k=100) + w + rng.choices(pool, k=100)))
     got = {(at + d, i) for at, _, h, first in decontaminate.word_ids(pa.array(texts, pa.large_string())) for d, i, _, _ in index.matches(h, first)}
     assert sum((k, k % 150) in got for k in range(300)) >= 0.99 * 300
+
+
+@pytest.mark.parametrize("size", [12, 40, 41, 100, 200, 400])
+@pytest.mark.parametrize("kind", ["insertions", "substitutions", "deletions"])
+def test_recall_by_length_and_kind_of_edit(size, kind):
+    import pyarrow as pa
+
+    rng = random.Random(size)
+    pool = [f"v{k}" for k in range(5000)]
+    items = [" ".join(rng.choices(pool, k=size)) for _ in range(60)]
+    index = decontaminate.ItemIndex(list(range(60)), items)
+    texts = []
+    for t in items:
+        out, at = [], set(rng.sample(range(size), size // 5))
+        for k, w in enumerate(t.split()):
+            out += [w] if k not in at else {"insertions": [rng.choice(pool), w], "substitutions": [rng.choice(pool)], "deletions": []}[kind]
+        texts.append(" ".join(rng.choices(pool, k=30) + out + rng.choices(pool, k=30)))
+    got = {(at + d, i) for at, _, h, first in decontaminate.word_ids(pa.array(texts, pa.large_string())) for d, i, _, _ in index.matches(h, first)}
+    assert sum((k, k) in got for k in range(60)) >= (60 if size > decontaminate.LSH_WORDS else 59)
+    assert len(got) <= 60
+
+
+def test_long_item_cut_at_one_end_or_at_the_text_border():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    item = [f"v{k}" for k in rng.choices(range(5000), k=200)]
+    texts = [item[40:], item[:160], ["x"] * 40 + item[40:], item[:160] + ["x"] * 40, item[41:], item[:80] + ["x"] * 41 + item[121:]]
+    index = decontaminate.ItemIndex([7], [" ".join(item)])
+    (_, _, h, first), = decontaminate.word_ids(pa.array([" ".join(t) for t in texts], pa.large_string()))
+    assert [(d, i, e) for d, i, _, e in index.matches(h, first)] == [(0, 0, 40), (1, 0, 40), (2, 0, 40), (3, 0, 40)]

@@ -11,6 +11,8 @@ One linear job, in which text moves by document and hashes by value:
   3. extension  : a document meets its marked anchors and hashes every L-word window around them, sent on as in 1;
   4. repeats    : as 2, for whole windows: now the windows that start elsewhere too are known exactly;
   5. removal    : a document drops each word that such a window covers.
+Which hashes go on and which are marked at once depends on what shares a flush, so 1 reads its input in the order of the files and 3
+its texts in the order of their row keys: a task that is run again after a loss sends the same rows.
 Hashes have 64 bits inside their part, parts grow with the input. A part holds a bounded share of the hashes, a document's
 own text and positions are all that meets in one place.
 """
@@ -237,10 +239,11 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     src = src.select(F.xxhash64("text", "id").alias("row_key"), F.pmod(F.hash("id", F.octet_length("text"), "text"), F.lit(parts)).alias("dest"), "text", "id")
 
-    def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition("part").sortWithinPartitions("part", "kind")
+    def dealt(df: DataFrame, *order: str) -> DataFrame:
+        return df.repartition("part").sortWithinPartitions("part", "kind", *order)
 
     marks = dealt(src.mapInArrow(_anchors(window, parts), _WIRE)).mapInArrow(_repeats, _WIRE)
-    met = dealt(marks.unionByName(src.mapInArrow(_texts, _WIRE))).mapInArrow(_extend(window, parts, digest_only), _WIRE)
+    # by row_key too: a task that runs again must flush the same texts together, or a hash may meet its other places in neither run
+    met = dealt(marks.unionByName(src.mapInArrow(_texts, _WIRE)), "row_key").mapInArrow(_extend(window, parts, digest_only), _WIRE)
     whole = dealt(dealt(met).mapInArrow(_repeats, _WIRE)).mapInArrow(_remove(window, digest_only), _WIRE)
     return whole.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept")

@@ -139,6 +139,29 @@ def test_substring_dedup_matches_brute_force(spark, size):
     assert got_windows(substring_dedup.dedup_substrings(frame(spark, rows), size)) == Counter(brute_windows(rows, size))
 
 
+def test_substring_dedup_flushes_the_same_texts_at_every_run(spark, monkeypatch):
+    def seen(window, parts, digest):  # instead of the extension: the order in which a part's texts come
+        def run(batches):
+            import pyarrow as pa
+
+            from budgetlens.llm.substring_dedup import _ARROW, _RESULT, _TEXT
+
+            keys = {}
+            for b in batches:
+                for part, kind, key in zip(*(b.column(i).to_pylist() for i in (0, 1, 4)), strict=True):
+                    if kind == _TEXT:
+                        keys.setdefault(part, []).append(str(key))
+            yield pa.RecordBatch.from_pylist([{"part": p, "kind": _RESULT, "id": p, "kept": " ".join(k)} for p, k in keys.items()], schema=_ARROW)
+        return run
+
+    monkeypatch.setattr(substring_dedup, "_extend", seen)
+    rows = [(i, f"w{i} " * 40) for i in range(200)] + [(None, None), (5, "w5 " * 40)]
+    shuffled = [rows, rows[::-1], rows[1::2] + rows[::2]]
+    got = [{r.doc_id: r.kept for r in substring_dedup.dedup_substrings(frame(spark, x).repartition(n)).collect()} for x, n in zip(shuffled, (1, 3, 7), strict=True)]
+    assert sum(len(k.split()) for k in got[0].values()) == len(rows)
+    assert got[0] == got[1] == got[2]
+
+
 def test_substring_dedup_empty_table(spark):
     assert substring_dedup.dedup_substrings(frame(spark, [])).collect() == []
 

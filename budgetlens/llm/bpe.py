@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 
 from budgetlens.llm.common import span_hashes, text_slices
 
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 1 << 20  # a group's arrays take some dozen times its text
+BATCH_BYTES = 4 << 20  # of ids and texts that go back at once
 CACHE = 1_000_000
 _LETTER, _NUMBER, _OTHER, _SPACE = range(4)
 
@@ -262,12 +263,11 @@ class Encoder:
             out.append(np.concatenate(parts) if parts else np.zeros(0, np.int32))
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """Text of the ids, special tokens included; bytes that are no UTF-8 become U+FFFD. Unknown ids are skipped."""
-        table, n = self.v.token_bytes, len(self.v.token_bytes)
-        if ids and (max(ids) >= n or min(ids) < 0):
-            ids = [i for i in ids if 0 <= i < n]
-        return b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")
+        table, ids = self.v.token_bytes, np.asarray(ids, dtype=np.int64)
+        known = (ids >= 0) & (ids < len(table))
+        return b"".join(map(table.__getitem__, ids[known].tolist())).decode("utf-8", "replace")
 
 
 def tokenizer_bytes(path: str) -> bytes:
@@ -275,22 +275,32 @@ def tokenizer_bytes(path: str) -> bytes:
         return f.read()
 
 
+def _output(names: list[str], output: str, ids: pa.Array, each: list[np.ndarray], encoder: Encoder) -> pa.RecordBatch:
+    """One batch; Python ids exist for one document at a time."""
+    size = np.array([len(x) for x in each], np.int64)
+    cols = [ids, pa.array(size)]
+    if output == "digests":
+        table = encoder.v.decimal
+        cols.append(pa.array([hashlib.sha256(",".join(map(table.__getitem__, x.tolist())).encode()).hexdigest() for x in each], pa.string()))
+        cols.append(pa.array([hashlib.sha256(encoder.decode(x).encode()).hexdigest() for x in each], pa.string()))
+    else:
+        flat = np.concatenate(each) if each else np.zeros(0, np.int32)
+        cols.append(pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(size))).astype(np.int32), pa.array(flat, pa.int32())))
+    if output == "round trip":
+        cols.append(pa.array([encoder.decode(x) for x in each], pa.string()))
+    return pa.RecordBatch.from_arrays(cols, names=names)
+
+
 def _encode(shared, output: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        decimal = encoder.v.decimal
         for batch in batches:
             for at, n, raw, off in text_slices(batch.column(1), GROUP_BYTES):
-                each = [x.tolist() for x in encoder.encode_slice(raw, off)]
-                cols = [batch.column(0).slice(at, n), pa.array([len(x) for x in each], pa.int64())]
-                if output == "digests":
-                    cols.append(pa.array([hashlib.sha256(",".join(map(decimal.__getitem__, x)).encode()).hexdigest() for x in each]))
-                    cols.append(pa.array([hashlib.sha256(encoder.decode(x).encode()).hexdigest() for x in each]))
-                else:
-                    cols.append(pa.array(each, pa.list_(pa.int32())))
-                if output == "round trip":
-                    cols.append(pa.array([encoder.decode(x) for x in each], pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                each = encoder.encode_slice(raw, off)
+                weight = np.cumsum([x.nbytes for x in each])
+                cut = [0, *(np.flatnonzero(np.diff(weight // BATCH_BYTES)) + 1).tolist(), n]
+                for a, b in zip(cut[:-1], cut[1:], strict=True):
+                    yield _output(names, output, batch.column(0).slice(at + a, b - a), each[a:b], encoder)
     return run
 
 

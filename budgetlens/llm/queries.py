@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from budgetlens.llm import bpe, decontaminate, jaccard_join, langid, line_dedup, periodic_runs, substring_dedup, topk, toxicity, url_filter, warc
+from budgetlens.llm import bpe, decontaminate, jaccard_join, langid, line_dedup, periodic_runs, substring_dedup, suffix_dedup, topk, toxicity, url_filter, warc
 from budgetlens.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,29 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
         (-F.col("best.period")).alias("period"), F.expr("(1000 * best.length) div -best.period").alias("exponent_milli"),
         F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+# bytes are pairs of hexadecimal digits here: SQL's substr counts code points
+SUFFIX_SQL = """
+WITH bytes AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+starts AS (SELECT doc_id, h, unnest(range(0, (strlen(h) // 2 - 99)::BIGINT)) AS i FROM bytes WHERE strlen(h) >= 200),
+strings AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS s FROM starts),
+later AS (SELECT doc_id, i FROM strings QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+edges AS (
+  SELECT doc_id, i, i > lag(i + 99, 1, -1) OVER (PARTITION BY doc_id ORDER BY i) + 1 OR lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL AS opens FROM later),
+numbered AS (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM edges),
+spans AS (SELECT doc_id, span, min(i) AS a, max(i) + 100 AS b FROM numbered GROUP BY doc_id, span),
+keeps AS (
+  SELECT d.doc_id, coalesce(lag(s.b) OVER (PARTITION BY d.doc_id ORDER BY s.a), 0) AS a, s.a AS b FROM bytes d JOIN spans s USING (doc_id)
+  UNION ALL
+  SELECT d.doc_id, coalesce(max(s.b), 0), strlen(any_value(d.h)) // 2 FROM bytes d LEFT JOIN spans s USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT k.doc_id, string_agg(substr(d.h, 2 * k.a + 1, 2 * (k.b - k.a)), '' ORDER BY k.a) AS h FROM keeps k JOIN bytes d USING (doc_id) GROUP BY k.doc_id),
+lost AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT k.doc_id, strlen(d.h) // 2 AS n_bytes, coalesce(l.n_removed, 0) AS n_removed, coalesce(l.n_spans, 0) AS n_spans, sha256(unhex(k.h)) AS kept_sha256
+FROM kept k JOIN bytes d USING (doc_id) LEFT JOIN lost l USING (doc_id)
+"""
+
+
+@query("op13_suffix_dedup", SUFFIX_SQL)
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents")).withColumn("kept", F.sha2("kept", 256)).withColumnRenamed("kept", "kept_sha256")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from budgetlens.llm import bpe, decontaminate, jaccard_join, langid, line_dedup, periodic_runs, substring_dedup, suffix_dedup, topk, toxicity, url_filter, warc
+from budgetlens.llm import bpe, conversation_repair, decontaminate, jaccard_join, langid, line_dedup, periodic_runs, substring_dedup, suffix_dedup, topk, toxicity, url_filter, warc
 from budgetlens.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,3 +219,83 @@ FROM kept k JOIN bytes d USING (doc_id) LEFT JOIN lost l USING (doc_id)
 @query("op13_suffix_dedup", SUFFIX_SQL)
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents")).withColumn("kept", F.sha2("kept", 256)).withColumnRenamed("kept", "kept_sha256")
+
+
+# fixed values: the polynomial of CRC-32, the contract's damage, faults, edits and their costs
+def _least(*options: str) -> str:
+    return f"list_min([{', '.join(options)}])"
+
+
+def _insert(state: str, role: str) -> str:
+    return f"{{'c': {state}.c + 2, 'a': {state}.a || 'I', 'r': list_append({state}.r, '{role}:')}}"
+
+
+def _edit(state: str, letter: str, price: str, turn: str, when: str) -> str:
+    return f"{{'c': CASE WHEN {when} THEN {state}.c + {price} ELSE 1000000000 END, 'a': {state}.a || '{letter}', 'r': {turn}}}"
+
+
+def _row_step() -> str:
+    """The four states behind a row, from those before it (b: inserts made)."""
+    free, made = "NOT n.gone", lambda s, role: f"list_append(b.{s}.r, {role} || ':' || n.text)"
+    drop = lambda s: _edit(f"b.{s}", "D", "3", f"b.{s}.r", "true")
+    keep = lambda s, i: _edit(f"b.{s}", "K", "n.broken", made(s, "n.role"), f"{free} AND n.initial = '{i}'")
+    turn = lambda s, role: _edit(f"b.{s}", "R", "2 + n.broken", made(s, f"'{role}'"), free)
+    return ", ".join((
+        f"{drop('o')} AS o", f"{_least(drop('s'), keep('o', 's'))} AS s",
+        f"{_least(drop('u'), keep('o', 'u'), keep('s', 'u'), keep('a', 'u'), turn('o', 'user'), turn('s', 'user'), turn('a', 'user'))} AS u",
+        f"{_least(drop('a'), keep('u', 'a'), turn('u', 'assistant'))} AS a"))
+
+
+_NONE = "{'c': 1000000000, 'a': '', 'r': []::VARCHAR[]}"
+REPAIR_SQL = f"""
+WITH RECURSIVE
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+hashed AS (
+  SELECT *, xor(list_reduce([4294967295] || list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::BIGINT),
+    lambda crc, b: list_reduce([xor(crc, b)] || [1, 2, 3, 4, 5, 6, 7, 8], lambda x, e: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS h FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) AS copy FROM hashed WHERE h <> 0),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos, left(role, 1) AS initial,
+         regexp_extract(text, '(?s)([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again, lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM ordered),
+judged AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM seen),
+rows_ AS (SELECT conv_id, pos, role, text, initial, fault IN ('blank', 'duplicate') AS gone, (fault = 'truncated')::INT AS broken FROM judged),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM judged GROUP BY conv_id),
+walk(conv_id, pos, o, s, u, a) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, {{'c': 0, 'a': '', 'r': []::VARCHAR[]}}, {_NONE}, {_NONE}, {_NONE} FROM rows_
+  UNION ALL
+  SELECT b.conv_id, n.pos, {_row_step()}
+  FROM (SELECT conv_id, pos, o, s, u2 AS u, {_least('a', _insert('u2', 'assistant'))} AS a
+        FROM (SELECT *, {_least('u', _insert('o', 'user'), _insert('s', 'user'), _insert('a', 'user'))} AS u2 FROM walk)) b
+  JOIN rows_ n ON n.conv_id IS NOT DISTINCT FROM b.conv_id AND n.pos = b.pos + 1),
+done AS (
+  SELECT w.conv_id, {_least('o', 'a', _insert('u2', 'assistant'))} AS best
+  FROM (SELECT *, {_least('u', _insert('o', 'user'), _insert('s', 'user'), _insert('a', 'user'))} AS u2 FROM walk) w
+  JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.pos)
+SELECT i.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated,
+       coalesce(c.illegal, 0) AS illegal, coalesce(d.best.c, 0)::BIGINT AS cost, coalesce(d.best.a, '') AS audit, sha256(coalesce(array_to_string(d.best.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+
+@query("op12_conversation_repair", REPAIR_SQL)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    src = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"), (F.crc32(key.cast("binary")) % 20).alias("h"))
+    h = F.col("h")
+    damaged = src.select(
+        "conv_id", "turn", F.when(h == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(h == 1, "").when(h == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"), (h != 0).alias("there"),
+        F.explode(F.array_repeat(h, F.when(h == 3, 2).otherwise(1))).alias("copy"))
+    pieces = conversation_repair.repair(damaged, present_col="there")
+    return conversation_repair.conversations(pieces).withColumnRenamed("conv", "conv_id")

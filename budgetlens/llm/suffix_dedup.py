@@ -16,10 +16,10 @@ one a byte; of repetitive text, one record a distinct phrase and task:
                   before its trigger has the rank pair of both at depths a and window - a. Windows of one pair lie together in the corpus
                   order, and all but their first are marked;
   5. removal    : a text drops the bytes that marked windows cover.
-A key that many distinct phrases share (the edges of a passage that a third of all texts hold) would gather in one part: when LOCAL
-of them meet in one flush, or HOT in a part, their windows are dealt one by one by their own hash, one of each in a flush.
+A key that many distinct phrases share (the edges of a passage that a third of all texts hold) would gather in one part: when ``local``
+of them meet in one flush, or ``hot`` in a part, their windows are dealt one by one by their own hash, one of each in a flush.
 
-Phrases and hot windows are compared by 128-bit hashes, windows of open phrases byte by byte. A task holds a flush of FLUSH_BYTES, a part's
+Phrases and hot windows are compared by 128-bit hashes, windows of open phrases byte by byte. A task holds a flush, a part's
 share of the records (parts grow with the input) or one text. What shares a flush decides which copies are marked at once; flushes follow the
 order of the files in 1 and of the rows' keys in 3, so a task that runs again sends the same rows.
 """
@@ -40,9 +40,9 @@ GRAM = 8  # bytes of the rolling hash
 PIECE = 1 << 19  # bytes parsed at once
 FLUSH_BYTES = 16 << 20
 PART_BYTES = 32 << 20  # of text, for each part
-LOCAL = 32  # distinct phrases of one key in a flush, beyond which the key is hot
-HOT = 4096  # the same in a part
 MEMBERS = 1 << 16  # open phrases ordered at once
+#: Bytes parsed and flushed at once, phrases ordered at once, and the distinct phrases of a key beyond which it is hot: in a flush, in a part.
+LIMITS = {"piece": PIECE, "flush": FLUSH_BYTES, "members": MEMBERS, "local": 32, "hot": 4096}
 _BASE = 0x9E3779B97F4A7C55 | 1
 _SECOND = 0xC2B2AE3D27D4EB4F | 1
 _RECORDS, _HOT_KEYS, _MARKS, _ASKS, _OPEN, _WINDOWS, _TEXTS = range(7)  # kinds; a part's marks come before its texts
@@ -106,17 +106,15 @@ def _marks(key: np.ndarray, part: np.ndarray, lo: np.ndarray, size: np.ndarray,
         yield p // 2, _ASKS if p % 2 else _MARKS, 0, pack(key[r], lo[r], size[r], lead[r], code[r])
 
 
-def _flush(held: list[tuple], parts: int) -> pa.RecordBatch | None:
+def _flush(held: list[tuple], parts: int, local: int) -> pa.RecordBatch:
     """Records of the first of each distinct phrase; marks of its copies, and of the phrases of keys that are hot here."""
-    if not held:
-        return None
     h, e, ident, key, part, lo, size, lead = _joined(held)
     order = _sorted(h, e, ident, key, lo)
     h, e, ident, key, part, lo, size, lead = (x[order] for x in (h, e, ident, key, part, lo, size, lead))
     first, again = _firsts(h, e, ident, key, lo)
     at = np.flatnonzero(first)
     keys, inverse, count = np.unique(h[at], return_inverse=True, return_counts=True)
-    hot = count[inverse] > LOCAL
+    hot = count[inverse] > local
     code = np.zeros(len(h), np.uint8)
     code[at[hot]] = _BY_WINDOW
     marked = again.copy()
@@ -126,7 +124,7 @@ def _flush(held: list[tuple], parts: int) -> pa.RecordBatch | None:
     for p, r in groups((h[sent] % np.uint64(parts)).astype(np.int64)):
         r = sent[r]
         out.append((p, _RECORDS, 0, pack(*(x[r] for x in (h, e, ident, key, part, lo, size, lead)))))
-    busy = keys[count > LOCAL]
+    busy = keys[count > local]
     for p, r in groups((busy % np.uint64(parts)).astype(np.int64)):
         out.append((p, _HOT_KEYS, 0, pack(busy[r])))
     return _rows(out)
@@ -150,17 +148,17 @@ def _firsts(h: np.ndarray, e: np.ndarray, ident: np.ndarray, key: np.ndarray, lo
     return first, ~first & ~same
 
 
-def _parse(window: int, reach: int, parts: int):
+def _parse(window: int, reach: int, parts: int, local: int, flush_bytes: int, piece_bytes: int):
     size = window - reach + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, weight = [], 0
         for batch in batches:
             keys, dest, ident = (batch.column(k).to_numpy() for k in (0, 1, 3))
-            for at, _, raw, off in text_slices(batch.column(2), PIECE):
+            for at, _, raw, off in text_slices(batch.column(2), piece_bytes):
                 valid = _starts(off, window)
-                for c in range(0, len(raw), PIECE):  # a long text; a block cut here stays right, being another phrase
-                    piece, here = raw[c : c + PIECE + window], valid[c : c + PIECE]
+                for c in range(0, len(raw), piece_bytes):  # a long text; a block cut here stays right, being another phrase
+                    piece, here = raw[c : c + piece_bytes + window], valid[c : c + piece_bytes]
                     lo, hi, trigger = blocks(piece, here, reach)
                     if not len(lo):
                         continue
@@ -169,47 +167,49 @@ def _parse(window: int, reach: int, parts: int):
                         span_hashes(piece, trigger, trigger + size), span_hashes(piece, lo, hi + window, base=_SECOND), ident[at + doc], keys[at + doc], dest[at + doc],
                         (c + lo - off[doc]).astype(np.int32), (hi - lo + 1).astype(np.uint16), (trigger - lo).astype(np.uint16)))
                 weight += len(raw)
-                if weight >= FLUSH_BYTES:
+                if weight >= flush_bytes:
                     if held:
-                        yield _flush(held, parts)
+                        yield _flush(held, parts, local)
                     held, weight = [], 0
         if held:
-            yield _flush(held, parts)
+            yield _flush(held, parts, local)
     return run
 
 
 # --------------------------------------------------------------------------- 2 dictionary
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks of the phrases that came before, and of those whose key has other phrases; other rows pass."""
-    for _, rows in by_part(batches):
-        held, hot, other = [], [], []
-        for row in rows:
-            if row["kind"] == _RECORDS:
-                held.append(unpack(row["blob"]))
-            elif row["kind"] == _HOT_KEYS:
-                hot += unpack(row["blob"])
-            else:
-                other.append(tuple(row[x] for x in _ARROW.names))
-                if len(other) >= 64:
-                    yield _rows(other)
-                    other = []
-        if held:
-            h, e, ident, key, part, lo, size, lead = _joined(held)
-            del held
-            order = _sorted(h, e, ident, key, lo)
-            h, e, ident, key, part, lo, size, lead = (x[order] for x in (h, e, ident, key, part, lo, size, lead))
-            first, again = _firsts(h, e, ident, key, lo)
-            at = np.flatnonzero(first)
-            _, inverse, count = np.unique(h[at], return_inverse=True, return_counts=True)
-            busy = count[inverse] > HOT
-            if hot:
-                busy |= np.isin(h[at], np.concatenate(hot))
-            code = np.zeros(len(h), np.uint8)
-            code[at] = np.where(busy, _BY_WINDOW, np.where(count[inverse] > 1, _ASKED, _WHOLE))
-            marked = again | (code > 0)
-            other += _marks(*(x[marked] for x in (key, part, lo, size, lead, code)))
-        if other:
-            yield _rows(other)
+def _settle(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Marks of the phrases that came before, and of those whose key has other phrases; other rows pass."""
+        for _, rows in by_part(batches):
+            held, hot, other = [], [], []
+            for row in rows:
+                if row["kind"] == _RECORDS:
+                    held.append(unpack(row["blob"]))
+                elif row["kind"] == _HOT_KEYS:
+                    hot += unpack(row["blob"])
+                else:
+                    other.append(tuple(row[x] for x in _ARROW.names))
+                    if len(other) >= 64:
+                        yield _rows(other)
+                        other = []
+            if held:
+                h, e, ident, key, part, lo, size, lead = _joined(held)
+                del held
+                order = _sorted(h, e, ident, key, lo)
+                h, e, ident, key, part, lo, size, lead = (x[order] for x in (h, e, ident, key, part, lo, size, lead))
+                first, again = _firsts(h, e, ident, key, lo)
+                at = np.flatnonzero(first)
+                _, inverse, count = np.unique(h[at], return_inverse=True, return_counts=True)
+                busy = count[inverse] > most
+                if hot:
+                    busy |= np.isin(h[at], np.concatenate(hot))
+                code = np.zeros(len(h), np.uint8)
+                code[at] = np.where(busy, _BY_WINDOW, np.where(count[inverse] > 1, _ASKED, _WHOLE))
+                marked = again | (code > 0)
+                other += _marks(*(x[marked] for x in (key, part, lo, size, lead, code)))
+            if other:
+                yield _rows(other)
+    return run
 
 
 # --------------------------------------------------------------------------- texts and their marks
@@ -249,7 +249,7 @@ class _Marked:
 
 
 # --------------------------------------------------------------------------- 3 extraction
-def _extract(window: int, reach: int, parts: int):
+def _extract(window: int, reach: int, parts: int, flush_bytes: int):
     key_bytes = window - reach + 1
 
     def open_rows(raw, off, ident, keys, part, doc, lo, size, lead) -> Iterator[tuple]:
@@ -296,7 +296,7 @@ def _extract(window: int, reach: int, parts: int):
                 if hot.any():
                     held.append(windows(raw, off, ident, keys, part, doc[hot], lo[hot], n[hot]))
                     weight += len(held[-1][0])
-                    if weight >= FLUSH_BYTES // 16:
+                    if weight >= flush_bytes // 16:
                         yield from dealt(held)
                         held, weight = [], 0
             if held:
@@ -365,7 +365,7 @@ def repeated_windows(phrases: list[bytes], size: np.ndarray, lead: np.ndarray, r
     return tuple(_joined(found))
 
 
-def _order(window: int, reach: int):
+def _order(window: int, reach: int, members: int):
     key_bytes = window - reach + 1
 
     def ordered(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -376,8 +376,8 @@ def _order(window: int, reach: int):
         by_key = np.argsort(h, kind="stable")
         border = np.concatenate((np.flatnonzero(np.diff(h[by_key])) + 1, [len(h)]))
         at = 0
-        while at < len(h):  # whole groups of one key, MEMBERS phrases or one group at once
-            end = int(border[max(np.searchsorted(border, at + MEMBERS, side="right") - 1, np.searchsorted(border, at, side="right"))])
+        while at < len(h):  # whole groups of one key, ``members`` phrases or one group at once
+            end = int(border[max(np.searchsorted(border, at + members, side="right") - 1, np.searchsorted(border, at, side="right"))])
             r = by_key[at:end]
             at = end
             r = r[np.lexsort((lo[r], key[r], ident[r]))]
@@ -448,18 +448,18 @@ def _remove(window: int):
     return run
 
 
-def dedup_bytes(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_bytes(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text", limits: dict | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row: its UTF-8 bytes without those of repeated windows.
 
     A byte goes if a string of ``window`` (16 or more) bytes that covers it also starts earlier: in a row of smaller id, or in the same
     row further left. Strings are judged on the input and overlap freely; none crosses rows. ``n_spans`` counts the maximal
     removed stretches, ``kept`` (binary) holds the rest. Null and empty texts have no bytes; texts shorter than a window
     lose none. Ids are integers; null comes before all others, rows that repeat an id are ordered by a hash of their text, and rows that repeat id and
-    text are judged alike, as one. Other columns (any names) are not read.
+    text are judged alike, as one. Other columns (any names) are not read. ``limits`` changes LIMITS (how work is dealt, not what is found).
     """
     if window < 2 * GRAM:
         raise ValueError(f"windows of fewer than {2 * GRAM} bytes are too short for triggers")
-    spark, reach = docs.sparkSession, window // 2
+    spark, reach, at = docs.sparkSession, window // 2, LIMITS | (limits or {})
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(shuffle_partitions(spark), 1 + total // PART_BYTES)
@@ -471,8 +471,8 @@ def dedup_bytes(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text
         return df.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind", *order)
 
     texts = src.mapInArrow(_texts, _WIRE)
-    marks = stored(dealt(src.mapInArrow(_parse(window, reach, parts), _WIRE)).mapInArrow(_settle, _WIRE), "phrase-marks")
-    opened = dealt(marks.where(F.col("kind") == _ASKS).unionByName(texts), "key", "blob").mapInArrow(_extract(window, reach, parts), _WIRE)
-    repeats = dealt(opened).mapInArrow(_order(window, reach), _WIRE)
+    marks = stored(dealt(src.mapInArrow(_parse(window, reach, parts, at["local"], at["flush"], at["piece"]), _WIRE)).mapInArrow(_settle(at["hot"]), _WIRE), "phrase-marks")
+    opened = dealt(marks.where(F.col("kind") == _ASKS).unionByName(texts), "key", "blob").mapInArrow(_extract(window, reach, parts, at["flush"]), _WIRE)
+    repeats = dealt(opened).mapInArrow(_order(window, reach, at["members"]), _WIRE)
     found = dealt(marks.where(F.col("kind") == _MARKS).unionByName(repeats).unionByName(texts)).mapInArrow(_remove(window), _RESULT)
     return found.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")

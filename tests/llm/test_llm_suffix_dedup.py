@@ -64,17 +64,14 @@ def test_dedup_bytes_matches_brute_force(spark, window):
     assert got_bytes(suffix_dedup.dedup_bytes(frame(spark, rows).repartition(5), window)) == brute_bytes(rows, window)
 
 
-def test_cut_texts_and_hot_keys_match_brute_force(spark, monkeypatch):
+def test_cut_texts_and_hot_keys_match_brute_force(spark):
     rng = random.Random(9)
     passage = "".join(rng.choice("abcdef ghij") for _ in range(250))
     edges = [(i, f"{rng.random()}" + passage[: rng.randrange(80, 250)] + f"{rng.random()}") for i in range(200)]
     rows = edges + copies(4, 30)[30:]
     want = brute_bytes(rows, 40)
-    for limits in ({"LOCAL": 2}, {"HOT": 3}, {"PIECE": 64, "FLUSH_BYTES": 500, "MEMBERS": 8}, {"PIECE": 64, "FLUSH_BYTES": 900, "LOCAL": 3, "HOT": 5}):
-        with monkeypatch.context() as m:
-            for k, v in limits.items():
-                m.setattr(suffix_dedup, k, v)
-            assert got_bytes(suffix_dedup.dedup_bytes(frame(spark, rows).repartition(3), 40)) == want, limits
+    for limits in ({"local": 2}, {"hot": 3}, {"piece": 64, "flush": 500, "members": 8}, {"piece": 64, "flush": 900, "local": 3, "hot": 5}):
+        assert got_bytes(suffix_dedup.dedup_bytes(frame(spark, rows).repartition(3), 40, limits=limits)) == want, limits
 
 
 def test_dedup_bytes_empty_tables_and_bounds(spark):

@@ -39,7 +39,7 @@ from budgetlens.llm.common import by_part, groups, pack, shuffle_partitions, spa
 GRAM = 8  # bytes of the rolling hash
 PIECE = 1 << 19  # bytes parsed at once
 FLUSH_BYTES = 16 << 20
-PART_BYTES = 32 << 20  # of text, for each part
+PART_BYTES = (8 << 20, 256 << 20)  # of text a part: no less (or messages get tiny) and no more
 MEMBERS = 1 << 16  # open phrases ordered at once
 #: Bytes parsed and flushed at once, phrases ordered at once, and the distinct phrases of a key beyond which it is hot: in a flush, in a part.
 LIMITS = {"piece": PIECE, "flush": FLUSH_BYTES, "members": MEMBERS, "local": 32, "hot": 4096}
@@ -462,7 +462,7 @@ def dedup_bytes(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text
     spark, reach, at = docs.sparkSession, window // 2, LIMITS | (limits or {})
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(shuffle_partitions(spark), 1 + total // PART_BYTES)
+    parts = max(1, min(shuffle_partitions(spark), total // PART_BYTES[0]), total // PART_BYTES[1])
     src = src.select(
         F.xxhash64("text", "id").alias("key"), F.pmod(F.hash("id", F.octet_length("text"), "text"), F.lit(parts)).alias("part"), "text",
         F.coalesce("id", F.lit(-(1 << 63))).alias("id"), F.col("id").isNull().alias("absent"))

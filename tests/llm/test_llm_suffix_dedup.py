@@ -59,12 +59,14 @@ def copies(seed, n):
 
 
 @pytest.mark.parametrize("window", [100, 33, 16])
-def test_dedup_bytes_matches_brute_force(spark, window):
+def test_dedup_bytes_matches_brute_force(spark, window, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", (2000, 1 << 20))
     rows = copies(window, 60) + [(None, "null id " * 30), (3000, None), (3001, ""), (3002, "z" * 4000), (3003, "tail " * 50), (3003, "tail " * 50)]
     assert got_bytes(suffix_dedup.dedup_bytes(frame(spark, rows).repartition(5), window)) == brute_bytes(rows, window)
 
 
-def test_cut_texts_and_hot_keys_match_brute_force(spark):
+def test_cut_texts_and_hot_keys_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", (2000, 1 << 20))  # read by the driver: several parts
     rng = random.Random(9)
     passage = "".join(rng.choice("abcdef ghij") for _ in range(250))
     edges = [(i, f"{rng.random()}" + passage[: rng.randrange(80, 250)] + f"{rng.random()}") for i in range(200)]

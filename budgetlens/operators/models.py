@@ -1,24 +1,24 @@
 """Preprocessing pipelines, model families, cross-validation and search on MLlib.
 
-Trees and boosting are MLlib; logistic regression and the linear SVM are distributed Newton fits (``linear``). Preprocessing
+Trees, forests and boosting are histogram trees (``boosting``), all folds and draws of a comparison trained at once; logistic
+regression and the linear SVM are distributed Newton fits (``linear``). Their preprocessing
 fits are exact aggregations (medians and IQRs by ``functions.quantiles``) fitted
-on the training rows only and applied as literal projections. Folds run in
-parallel driver threads, each fit being its own set of Spark jobs.
+on the training rows only and applied as literal projections; their folds run in parallel driver threads.
 """
 
 from __future__ import annotations
 
 import random
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Callable, Sequence
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import N_FOLDS, SEED
+from . import boosting as B
 from . import features as FE
 from .linear import fit_linear
 from .metrics import classification_metrics, roc_auc
@@ -87,15 +87,15 @@ def fit_preprocessor(train: DataFrame, numeric: Sequence[str], categorical: Sequ
     return Preprocessor(tuple(numeric), tuple(categorical), med, sc, levels)
 
 
-# ---- model families (L4-L11) ------------------------------------------------------------------------
+# ---- model families
 @dataclass(frozen=True)
 class ModelSpec:
     name: str
-    kind: str
+    kind: str  # majority, lr, svm or trees
     params: dict = field(default_factory=dict)
     balanced: bool = False
     scaler: str | None = "robust"
-    max_bins: int = 255  # split candidates a column in trees; the histogram booster's own number
+    trees: B.TreeSpec | None = None
 
 
 # fixed values: the study's model presets
@@ -103,39 +103,47 @@ MODEL_SPECS = [
     ModelSpec("majority", "majority"),
     ModelSpec("logistic_regression", "lr", {"C": 1.0}, balanced=True),
     ModelSpec("linear_svm", "svm", {"C": 1.0}, balanced=True),
-    ModelSpec("decision_tree", "dt", {"maxDepth": 8}, balanced=True),
-    ModelSpec("random_forest", "rf", {"numTrees": 300, "minInstancesPerNode": 2}, balanced=True),
-    ModelSpec("hist_boosting", "gbt", {"maxIter": 100, "stepSize": 0.1, "maxDepth": 5}),
-    ModelSpec("boosted_trees", "gbt", {"maxIter": 400, "maxDepth": 6, "stepSize": 0.08, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.9"}),
+    ModelSpec("decision_tree", "trees", trees=B.TreeSpec(kind="tree", rounds=1, depth=8, balanced=True)),
+    ModelSpec("random_forest", "trees", trees=B.TreeSpec(kind="forest", rounds=300, least_rows=2, balanced=True)),
+    ModelSpec("hist_boosting", "trees", trees=B.TreeSpec(rounds=100, rate=0.1, leaves=31, least_rows=20)),
+    ModelSpec("boosted_trees", "trees", trees=B.TreeSpec(rounds=400, depth=6, rate=0.08, row_share=0.9, column_share=0.9, l2=1.0, least_hessian=1.0)),
 ]
-TUNED_BOOSTED = ModelSpec("boosted_trees_tuned", "gbt",
-                          {"maxIter": 200, "maxDepth": 4, "stepSize": 0.15, "subsamplingRate": 0.9, "minInstancesPerNode": 5})
+TUNED_BOOSTED = ModelSpec("boosted_trees_tuned", "trees", trees=B.TreeSpec(rounds=200, depth=4, rate=0.15, row_share=0.9, l2=1.0, least_hessian=5.0))
+SMALL_FOREST = ModelSpec("random_forest_150", "trees", trees=B.TreeSpec(kind="forest", rounds=150, least_rows=2, balanced=True))
 SEARCH_SPACE = {
-    "maxDepth": [4, 6, 8, 10],
-    "stepSize": [0.03, 0.08, 0.15],
-    "maxIter": [200, 400, 700],
-    "subsamplingRate": [0.7, 0.9, 1.0],
-    "minInstancesPerNode": [1, 5, 20],
+    "depth": [4, 6, 8, 10],
+    "rate": [0.03, 0.08, 0.15],
+    "rounds": [200, 400, 700],
+    "row_share": [0.7, 0.9, 1.0],
+    "least_hessian": [1, 5, 20],
 }
 LR_GRID = [0.01, 0.1, 1.0, 10.0, 100.0]
 
 
-def _estimator(spec: ModelSpec, weight_col: str | None, seed: int = SEED):
-    from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
+def tree_frame(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], levels: dict | None = None) -> tuple[DataFrame, list[str], dict]:
+    """``df`` with a 0/1 column for every level of ``categorical``; the feature columns; the levels. Unknown levels are all zeros."""
+    levels = FE.fit_levels(df, categorical) if levels is None else levels
+    names = {f"{c}_{lv}": F.coalesce((F.col(c) == F.lit(lv)).cast("double"), F.lit(0.0)) for c in categorical for lv in levels[c]}
+    return df.select("*", *[e.alias(n) for n, e in names.items()]), [*numeric, *names], levels
 
-    p = dict(spec.params)
-    common = {"featuresCol": "features", "labelCol": "label"}
-    if spec.kind == "dt":
-        est = DecisionTreeClassifier(seed=seed, maxBins=spec.max_bins, **p, **common)
-    elif spec.kind == "rf":
-        est = RandomForestClassifier(seed=seed, featureSubsetStrategy="sqrt", maxBins=spec.max_bins, **p, **common)
-    elif spec.kind == "gbt":
-        est = GBTClassifier(seed=seed, maxBins=spec.max_bins, **p, **common)
-    else:
-        raise ValueError(spec.kind)
-    if weight_col and spec.kind != "gbt":
-        est.setWeightCol(weight_col)
-    return est
+
+def _tree_spec(spec: ModelSpec, columns: Sequence[str]) -> B.TreeSpec:
+    """Forests draw the square root of the column count at every node."""
+    return replace(spec.trees, node_columns=max(1, int(len(columns) ** 0.5))) if spec.trees.kind == "forest" else spec.trees
+
+
+def tree_scores(df: DataFrame, specs: Sequence[ModelSpec], numeric, categorical, label: str, key: str, fold: str = "fold", k: int = N_FOLDS) -> DataFrame:
+    """Out-of-fold (model, fold, k, label, p, pred) of tree models; all of them and all folds are trained together."""
+    frame, columns, _ = tree_frame(df, numeric, categorical)
+    scores = B.cross_scores(frame, {s.name: _tree_spec(s, columns) for s in specs}, columns, label, key, fold, k)
+    return scores.withColumn("pred", (F.col("p") > 0.5).cast("int"))
+
+
+def grouped_metrics(scores: DataFrame) -> DataFrame:
+    """(model, fold, accuracy, f1_macro, precision, recall, roc_auc)."""
+    by = ["model", "fold"]
+    plain = classification_metrics(scores, "label", "pred", by).select(*by, "accuracy", "f1_macro", "precision", "recall")
+    return plain.join(roc_auc(scores, "label", "p", by), by, "left")
 
 
 def _balanced_weights(train: DataFrame, label: str) -> DataFrame:
@@ -156,6 +164,11 @@ def fit_predict(spec: ModelSpec, train: DataFrame, test: DataFrame, numeric, cat
         pos, n = train.agg(F.sum(F.col(label).cast("long")), F.count(F.lit(1))).first()
         mode = 1 if pos * 2 > n else 0
         return test.select(key, F.col(label).alias("label"), F.lit(pos / n).alias("p"), F.lit(mode).alias("pred"))
+    if spec.kind == "trees":
+        own, columns, levels = tree_frame(train, numeric, categorical)
+        model = B.fit(own, replace(_tree_spec(spec, columns), seed=seed), columns, label, key)
+        out = B.predictions(tree_frame(test, numeric, categorical, levels)[0], model, columns, label, key)
+        return out.select(key, "label", "p", (F.col("p") > 0.5).cast("int").alias("pred"))
     pre = fit_preprocessor(train, numeric, categorical, spec.scaler)
     tr = pre.transform(train.withColumn("label", F.col(label).cast("double")))
     te = pre.transform(test.withColumn("label", F.col(label).cast("double")))
@@ -166,9 +179,7 @@ def fit_predict(spec: ModelSpec, train: DataFrame, test: DataFrame, numeric, cat
         linear = fit_linear(tr, spec.params.get("C", 1.0), "log" if spec.kind == "lr" else "squared hinge", weight=wcol)
         score = linear.probability() if spec.kind == "lr" else F.lit(None).cast("double")
         return te.select(key, F.col("label").cast("int").alias("label"), score.alias("p"), (linear.margin() > 0).cast("int").alias("pred"))
-    model = _estimator(spec, wcol, seed).fit(tr)
-    out, score = model.transform(te), vector_to_array("probability")[1]
-    return out.select(key, F.col("label").cast("int").alias("label"), score.alias("p"), F.col("prediction").cast("int").alias("pred"))
+    raise ValueError(spec.kind)
 
 
 def fold_metrics(pred: DataFrame) -> DataFrame:
@@ -182,6 +193,9 @@ def fold_metrics(pred: DataFrame) -> DataFrame:
 def cross_validate(df: DataFrame, spec: ModelSpec, numeric, categorical, label: str, key: str, fold: str = "fold",
                    k: int = N_FOLDS, parallelism: int = N_FOLDS, seed: int = SEED) -> DataFrame:
     """Per-fold metrics ``(model, fold, accuracy, f1_macro, precision, recall, roc_auc)``."""
+    if spec.kind == "trees":
+        return grouped_metrics(tree_scores(df, [spec], numeric, categorical, label, key, fold, k))
+
     def one(i):
         pred = fit_predict(spec, df.filter(F.col(fold) != i), df.filter(F.col(fold) == i), numeric, categorical, label, key, seed)
         return [(spec.name, i, *[r for r in fold_metrics(pred).first()])]
@@ -195,6 +209,10 @@ def cross_validate(df: DataFrame, spec: ModelSpec, numeric, categorical, label:
 def out_of_fold(df: DataFrame, spec: ModelSpec, numeric, categorical, label: str, key: str, fold: str = "fold",
                 k: int = N_FOLDS, seed: int = SEED) -> DataFrame:
     """Out-of-fold ``(key, label, p, pred)`` for every row: union of the held-out folds."""
+    if spec.kind == "trees":
+        scores = tree_scores(df, [spec], numeric, categorical, label, key, fold, k)
+        return scores.select(F.col("k").cast(df.schema[key].dataType).alias(key), "label", "p", "pred")
+
     def one(i):
         pred = fit_predict(spec, df.filter(F.col(fold) != i), df.filter(F.col(fold) == i), numeric, categorical, label, key, seed)
         return pred.checkpoint()  # reliable checkpoint: a lost executor does not refit the fold
@@ -209,9 +227,12 @@ def out_of_fold(df: DataFrame, spec: ModelSpec, numeric, categorical, label: str
 
 def compare_models(df: DataFrame, specs: Sequence[ModelSpec], numeric, categorical, label: str, key: str) -> DataFrame:
     """Mean CV metrics per model and the F1 population sd, ranked by macro-F1 with the winner marked."""
+    trees, other = [s for s in specs if s.kind == "trees"], [s for s in specs if s.kind != "trees"]
     # families are independent; two at a time (each runs its folds at once) keep the slots busy without a crowd of jobs
     with ThreadPoolExecutor(max_workers=2) as ex:
-        parts = list(ex.map(lambda s: cross_validate(df, s, numeric, categorical, label, key), specs))
+        parts = list(ex.map(lambda s: cross_validate(df, s, numeric, categorical, label, key), other))
+    if trees:
+        parts.append(grouped_metrics(tree_scores(df, trees, numeric, categorical, label, key)))
     per = parts[0]
     for r in parts[1:]:
         per = per.unionByName(r)
@@ -230,6 +251,13 @@ def random_search(df: DataFrame, base: ModelSpec, space: dict, n_iter: int, nume
     for name, values in space.items():
         grid = [{**g, name: v} for g in grid for v in values]
     draws = rng.sample(grid, min(n_iter, len(grid)))
+    cols = ", ".join(f"{n} double" for n in space)
+    if base.kind == "trees":  # one fused training for all draws and folds
+        drawn = [replace(base, name=str(i), trees=replace(base.trees, **params)) for i, params in enumerate(draws)]
+        mean = grouped_metrics(tree_scores(df, drawn, numeric, categorical, label, key)).groupBy(F.col("model").cast("int").alias("draw")).agg(F.avg("f1_macro").alias("mean_f1"))
+        table = df.sparkSession.createDataFrame([(i, *[float(params[n]) for n in space]) for i, params in enumerate(draws)], f"draw int, {cols}")
+        return table.join(mean, "draw")
+
     def one(item):
         i, params = item
         spec = ModelSpec(f"{base.name}_{i}", base.kind, {**base.params, **params}, base.balanced, base.scaler)
@@ -239,7 +267,6 @@ def random_search(df: DataFrame, base: ModelSpec, space: dict, n_iter: int, nume
     # draws are independent: evaluate them concurrently (each one runs its folds concurrently too)
     with ThreadPoolExecutor(max_workers=max(1, min(len(draws), 5))) as ex:
         rows = list(ex.map(one, enumerate(draws)))
-    cols = ", ".join(f"{n} double" for n in space)
     return df.sparkSession.createDataFrame(rows, f"draw int, {cols}, mean_f1 double")
 
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..constants import SEED, TOP_CONTRIBUTIONS
 from ..operators import binning as BN
+from ..operators import boosting as B
 from ..operators import explain as X
 from ..operators import models as MD
+from ..operators import tree_shap as TS
 from ..operators.linear import fit_linear
 from ..operators.splits import disjoint_parts
 from ..spec import SHARES
@@ -21,70 +23,64 @@ _FITTED: dict = {}
 
 
 def fitted(spark, sf):
-    """Tuned boosted trees fitted once per session on the training split; test rows transformed."""
+    """Tuned boosted trees fitted once per session on the training split: (model, feature columns, levels, test rows)."""
     key = (spark.sparkContext.applicationId, fingerprint(spark, sf))
     if key not in _FITTED:
         f, num, cat = feature_frame(spark, sf, holdout=True)
-        train, test = f.filter(F.col("is_test") == 0), f.filter(F.col("is_test") == 1)
-        pre = MD.fit_preprocessor(train, num, cat, "robust")
-        tr = pre.transform(train.withColumn("label", F.col("target").cast("double")))
-        te = pre.transform(test.withColumn("label", F.col("target").cast("double"))).checkpoint()
-        model = MD._estimator(MD.TUNED_BOOSTED, None).fit(tr)
-        _FITTED[key] = (model, pre, te, test)
+        train, columns, levels = MD.tree_frame(f.filter(F.col("is_test") == 0), num, cat)
+        model = B.fit(train, MD.TUNED_BOOSTED.trees, columns, "target", "unit_id")
+        test = MD.tree_frame(f.filter(F.col("is_test") == 1), num, cat, levels)[0].checkpoint()
+        _FITTED[key] = (model, columns, levels, test)
     return _FITTED[key]
 
 
 def _phi(spark, sf):
-    model, pre, te, _ = fitted(spark, sf)
-    return X.attributions(te, model, spark, pre.names, "unit_id"), model, pre, te
+    model, columns, _, test = fitted(spark, sf)
+    return TS.attributions(test, model, columns, "unit_id"), model, columns, test
 
 
 @register("m03_attributions")
 def m03_attributions(spark, sf):
-    phi, *_ = _phi(spark, sf)
-    return rounded(phi)
+    return rounded(_phi(spark, sf)[0])
 
 
 @register("m04_additivity")
 def m04_additivity(spark, sf):
-    phi, model, pre, te = _phi(spark, sf)
-    bias = X.expected_value(X.tree_leaves(model, spark))
-    return X.additivity_error(phi, model.transform(te), bias, "unit_id").withColumn("bias", F.lit(bias))
+    phi, model, columns, test = _phi(spark, sf)
+    bias = TS.bias(model, TS.path_tables(model))
+    return TS.additivity_error(phi, TS.margins(test, model, columns, "unit_id"), bias, "unit_id").withColumn("bias", F.lit(bias))
 
 
 @register("m05_global_importance")
 def m05_global_importance(spark, sf):
-    phi, model, pre, te = _phi(spark, sf)
-    imp = X.global_importance(phi, te.count())
-    return rounded(imp.orderBy(F.col("mean_abs_phi").desc(), "feature").limit(20))
+    phi, _, _, test = _phi(spark, sf)
+    return rounded(X.global_importance(phi, test.count()).orderBy(F.col("mean_abs_phi").desc(), "feature").limit(20))
 
 
-def feature_groups(pre) -> dict[str, list[str]]:
+def feature_groups(columns, levels) -> dict[str, list[str]]:
     return {
         "income": ["log_income"], "spending mix": SHARES,
-        "participation": [n for n in pre.names if n.startswith("spends_on_")],
+        "participation": [n for n in columns if n.startswith("spends_on_")],
         "debt": ["debt_to_income_w", "has_debt"], "composition": ["size", "dependents", "dependency_ratio"],
-        "categorical": [n for n in pre.names if n not in pre.numeric],
+        "categorical": [f"{c}_{lv}" for c, found in levels.items() for lv in found],
     }
 
 
-def raw_values(df, pre):
-    """(unit_id, feature, value) of the model's features before imputation and scaling; 0/1 for category levels."""
-    cells = [(c, F.col(c).cast("double")) for c in pre.numeric]
-    cells += [(f"{c}_{lv}", (F.col(c) == F.lit(lv)).cast("double")) for c in pre.categorical for lv in pre.levels[c]]
-    return df.select("unit_id", F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), v.alias("value")) for n, v in cells])))
+def raw_values(df, columns):
+    """(unit_id, feature, value) of the model's features before imputation; 0/1 for category levels."""
+    return df.select("unit_id", F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), B.column(n).cast("double").alias("value")) for n in columns])))
 
 
 @register("m06_group_shares")
 def m06_group_shares(spark, sf):
-    phi, model, pre, te = _phi(spark, sf)
-    return rounded(X.group_shares(X.global_importance(phi, te.count()), feature_groups(pre)))
+    phi, _, columns, test = _phi(spark, sf)
+    return rounded(X.group_shares(X.global_importance(phi, test.count()), feature_groups(columns, fitted(spark, sf)[2])))
 
 
 @register("m08_interaction_summary")
 def m08_interaction_summary(spark, sf):
-    model, pre, te, _ = fitted(spark, sf)
-    top, tot = X.interaction_summary(X.interaction_totals(te, model, spark, pre.names), te.count())
+    model, columns, _, test = fitted(spark, sf)
+    top, tot = X.interaction_summary(TS.interaction_totals(test, model, columns, "unit_id"), test.count())
     return rounded(top.unionByName(tot.select(F.lit("_total_main").alias("f1"), F.lit("").alias("f2"), F.col("main").alias("mean_abs")))
                    .unionByName(tot.select(F.lit("_total_interactions").alias("f1"), F.lit("").alias("f2"), F.col("interactions").alias("mean_abs")))
                    .unionByName(tot.select(F.lit("_interaction_share").alias("f1"), F.lit("").alias("f2"), F.col("interaction_share").alias("mean_abs"))))
@@ -92,22 +88,19 @@ def m08_interaction_summary(spark, sf):
 
 @register("m09_row_explanations")
 def m09_row_explanations(spark, sf):
-    phi, model, pre, te = _phi(spark, sf)
-    from pyspark.ml.functions import vector_to_array
-
-    p = model.transform(te).select("unit_id", vector_to_array("probability")[1].alias("p"))
+    phi, model, columns, test = _phi(spark, sf)
+    p = TS.margins(test, model, columns, "unit_id").select("unit_id", "p")
     pick = p.agg(F.min_by("unit_id", F.struct(-F.col("p"), F.col("unit_id"))).alias("most_confident_yes"),
                  F.min_by("unit_id", F.struct(F.col("p"), F.col("unit_id"))).alias("most_confident_no"),
                  F.min_by("unit_id", F.struct(F.abs(F.col("p") - 0.5), F.col("unit_id"))).alias("borderline"))
     cases = pick.unpivot([], ["most_confident_yes", "most_confident_no", "borderline"], "case", "unit_id")
     top = X.top_contributions(phi.join(F.broadcast(cases), "unit_id"), "unit_id", TOP_CONTRIBUTIONS)
-    return rounded(top.join(p, "unit_id").join(raw_values(fitted(spark, sf)[3], pre), ["unit_id", "feature"], "left"))
+    return rounded(top.join(p, "unit_id").join(raw_values(test, columns), ["unit_id", "feature"], "left"))
 
 
 @register("m10_dependence_income_by_area")
 def m10_dependence_income_by_area(spark, sf):
-    phi, model, pre, te = _phi(spark, sf)
-    _, _, _, test = fitted(spark, sf)
+    phi, _, _, test = _phi(spark, sf)
     inc = phi.filter(F.col("feature") == "log_income").select("unit_id", "phi")
     raw = BN.with_quantile_bins(test.select("unit_id", "log_income", "area"), "log_income", 10, "bin")
     j = raw.join(inc, "unit_id", "left").fillna({"phi": 0.0})

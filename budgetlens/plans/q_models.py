@@ -1,4 +1,4 @@
-"""Training queries on MLlib (rows-only checks): L4-L18, J5, J12, H9, P12."""
+"""Training queries (rows-only checks): L4-L18, J5, J12, H9, P12."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from ..constants import SEED
 from ..operators import binning as BN
 from ..operators import metrics as M
 from ..operators import models as MD
+from ..operators.boosting import TreeSpec
 from ..operators.splits import stratified_folds, stratified_holdout
 from ..spec import CATEGORICALS, PARTS, SHARES
 from .common import rounded
@@ -45,7 +46,7 @@ def j05_preprocessor_names(spark, sf):
 @register("l04_depth3_tree_income")
 def l04_depth3_tree_income(spark, sf):
     f, _, _ = feature_frame(spark, sf)
-    spec = MD.ModelSpec("income_depth3_tree", "dt", {"maxDepth": 3}, scaler=None)
+    spec = MD.ModelSpec("income_depth3_tree", "trees", trees=TreeSpec(kind="tree", rounds=1, depth=3))
     return rounded(MD.cross_validate(f, spec, ["log_income"], [], "target", "unit_id"))
 
 
@@ -76,6 +77,23 @@ def l12_model_comparison(spark, sf):
     return rounded(MD.compare_models(train, MD.MODEL_SPECS, num, cat, "target", "unit_id"))
 
 
+def _family(name: str, spec: MD.ModelSpec) -> None:
+    """One query a model family: metrics of each fold of the training split."""
+    def run(spark, sf):
+        f, num, cat = feature_frame(spark, sf, holdout=True)
+        return rounded(MD.cross_validate(f.filter(F.col("is_test") == 0), spec, num, cat, "target", "unit_id"))
+
+    run.__name__ = name
+    register(name)(run)
+
+
+for _id, _spec in zip(("l01_majority", "l05_logistic_regression", "l07_linear_svm", "l08_decision_tree", "l09_random_forest", "l10_hist_boosting", "l11_boosted_trees"), MD.MODEL_SPECS, strict=True):
+    if _id != "l01_majority":  # l01 has its own query
+        _family(f"{_id}_folds", _spec)
+_family("l09_small_forest_folds", MD.SMALL_FOREST)
+_family("l11_tuned_boosted_trees_folds", MD.TUNED_BOOSTED)
+
+
 @register("l15_lr_c_grid")
 @memo_result
 def l15_lr_c_grid(spark, sf):
@@ -88,9 +106,9 @@ def l15_lr_c_grid(spark, sf):
 @register("l14_random_search")
 @memo_result
 def l14_random_search(spark, sf):
-    """The study's search: 15 seeded draws over five parameters of boosted trees, each cross-validated (hours on one machine)."""
+    """The study's search: 15 seeded draws over five parameters of boosted trees, each cross-validated."""
     f, num, cat = feature_frame(spark, sf, holdout=True)
-    base = MD.ModelSpec("boosted_trees", "gbt", {})
+    base = MD.ModelSpec("boosted_trees", "trees", trees=TreeSpec(l2=1.0))
     return rounded(MD.random_search(f.filter(F.col("is_test") == 0), base, MD.SEARCH_SPACE, 15, num, cat, "target", "unit_id"))
 
 
@@ -146,3 +164,15 @@ def l16_c_sensitivity(spark, sf):
 
     grid = l15_lr_c_grid(spark, sf)
     return rounded(spread_of_means(grid, "C", "mean_f1"))
+
+
+@register("l16_search_sensitivity")
+def l16_search_sensitivity(spark, sf):
+    """For each searched parameter, the sample sd of the mean score over its levels, largest first."""
+    from ..operators.profile import spread_of_means
+
+    draws, out = l14_random_search(spark, sf), None
+    for name in MD.SEARCH_SPACE:
+        one = spread_of_means(draws, name, "mean_f1").withColumn("parameter", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)

@@ -8,9 +8,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from budgetlens.operators import baselines as BL
+from budgetlens.operators import boosting as B
 from budgetlens.operators import cluster as C
 from budgetlens.operators import explain as X
 from budgetlens.operators import metrics as M
+from budgetlens.operators import tree_shap as TS
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +52,37 @@ def test_interactions_sum_to_attributions(spark, gbt):
     assert (both.iloc[:, 0] - both.iloc[:, 1]).abs().max() < 1e-9
 
 
+def _as_leaves(table):
+    """A path table as the leaves of the subset formula; bins are its thresholds."""
+    out = []
+    for k, v in enumerate(table.value):
+        path = {int(f): (a, b, z) for f, a, b, z in zip(table.column[k], table.low[k], table.high[k], table.cover[k]) if (a, b, z) != (-1, 255, 1.0)}
+        conds = [(f, a, False) for f, (a, _, _) in path.items()] + [(f, b, True) for f, (_, b, _) in path.items()]
+        out.append(X.Leaf(float(v) / X.LOGODDS, tuple(sorted(path)), tuple(conds), tuple(path[f][2] for f in sorted(path))))
+    return out
+
+
+@pytest.mark.parametrize("depth", [1, 4, 10])
+def test_quadrature_attributions_equal_the_subset_formula(spark, gbt, depth):
+    df, _ = gbt
+    wide = df.select("id", "label", *"abcd", *[(F.col(c) * F.col(d)).alias(c + d) for c, d in ("ab", "cd", "ad", "bc", "ac", "bd")])
+    names = [c for c in wide.columns if c not in ("id", "label")]
+    model = B.fit(wide, B.TreeSpec(rounds=3, depth=depth, least_rows=2), names, "label", "id")
+    codes = model.bins.codes(wide.toPandas()[names].to_numpy(float))[:60]
+    tables = TS.path_tables(model)
+    phi = TS.shap_values(codes, tables, len(names))
+    assert np.abs(phi.sum(axis=1) + TS.bias(model, tables) - model.margin(codes)).max() < 1e-9
+    both = TS.interaction_values(codes, tables, len(names))
+    assert np.abs(both.sum(axis=2) - phi).max() < 1e-9 and np.allclose(both, both.transpose(0, 2, 1))
+    if depth <= 4:
+        main, pairs = X.interaction_batch(codes.astype(float), [(1.0, _as_leaves(t)) for t in tables])
+        assert np.abs(X.shap_batch(codes.astype(float), [(1.0, _as_leaves(t)) for t in tables]) - phi).max() < 1e-9
+        assert all(np.abs(both[:, i, j] - v).max() < 1e-9 for (i, j), v in pairs.items())
+        assert np.abs(np.stack([both[:, i, i] for i in range(len(names))], axis=1) - main).max() < 1e-9
+    scored = TS.margins(wide, model, names, "id")
+    assert TS.additivity_error(TS.attributions(wide, model, names, "id"), scored, TS.bias(model, tables), "id").first().max_abs_error < 1e-9
+
+
 def test_gini_stump_matches_brute_force(spark):
     rng = np.random.default_rng(2)
     x = rng.integers(0, 30, 300).astype(float)

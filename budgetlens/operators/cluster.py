@@ -1,8 +1,7 @@
 """Clustering into personas and its validity checks.
 
-K-means runs on MLlib over an assembled vector; the checks (ARI, chi-square,
-Cramer's V, silhouette) are plain aggregations over contingency tables or over
-a bounded seeded sample.
+K-means is in ``kmeans``; the checks (ARI, chi-square, Cramer's V, silhouette) are
+plain aggregations over contingency tables or over a bounded seeded sample.
 """
 
 from __future__ import annotations
@@ -156,30 +155,8 @@ def silhouette_squared(df: DataFrame, cols: Sequence[str], label: str) -> DataFr
     own = F.filter(table, lambda c: c["l"] == F.col(label))
     a = F.transform(own, lambda c: F.when(c["n"] > 1, total(c) / (c["n"] - 1)))
     b = F.array_min(F.transform(F.filter(table, lambda c: c["l"] != F.col(label)), lambda c: total(c) / c["n"]))
-    each = rows.select(F.get(a, F.lit(0)).alias("a"), b.alias("b"))
-    score = F.when(F.col("a").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    # names that no column has: inside a lambda a column of the rows would be taken for the new one beside it
+    each = rows.select(F.get(a, F.lit(0)).alias("_inside_"), b.alias("_outside_"))
+    inside, outside = F.col("_inside_"), F.col("_outside_")
+    score = F.when(inside.isNull() | (F.greatest(inside, outside) == 0), 0.0).otherwise((outside - inside) / F.greatest(inside, outside))
     return each.agg(F.avg(score).alias("silhouette"), F.count(F.lit(1)).alias("n"))
-
-
-def fit_kmeans(df: DataFrame, features_col: str, k: int, starts: int = 10, seed: int = SEED):
-    """Best of ``starts`` seeded MLlib k-means runs by training cost."""
-    from pyspark.ml.clustering import KMeans
-
-    best = None
-    for s in range(starts):
-        m = KMeans(k=k, seed=seed + s, featuresCol=features_col, predictionCol="cluster", maxIter=100).fit(df)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (m, cost)
-    return best
-
-
-def standardized_vector(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
-    """Population-sd standardisation (as StandardScaler) into an ML vector column."""
-    from pyspark.ml.feature import VectorAssembler
-
-    from .features import fit_standard_scaler, scaled
-
-    fit = fit_standard_scaler(df, cols, ddof=0)
-    z = df.select("*", *scaled(cols, fit, suffix="__z"))
-    return VectorAssembler(inputCols=[f"{c}__z" for c in cols], outputCol=out).transform(z).drop(*[f"{c}__z" for c in cols])

@@ -89,11 +89,11 @@ def pr_curve(df: DataFrame, y: str, score: str) -> DataFrame:
     pre = prefix_sums(sc, [score], ["pos", "neg"], descending=True)
     total_pos = sc.agg(F.sum("pos")).first()[0] or 0  # one scalar, folded in as a literal
     tp, fp = F.col("cum_pos").cast("double"), F.col("cum_neg").cast("double")
-    j = pre.withColumn("P", F.lit(int(total_pos)))
+    j = pre.withColumn("_positives_", F.lit(int(total_pos)))  # names don't differ by case: a score may be called p
     # keep thresholds down to the first one that reaches full recall
-    kept = j.filter((F.col("cum_pos") - F.col("pos") < F.col("P")) | (F.col("P") == 0))
+    kept = j.filter((F.col("cum_pos") - F.col("pos") < F.col("_positives_")) | (F.col("_positives_") == 0))
     curve = kept.select(
-        F.col(score).alias("threshold"), (tp / (tp + fp)).alias("precision"), (tp / F.col("P")).alias("recall"))
+        F.col(score).alias("threshold"), (tp / (tp + fp)).alias("precision"), (tp / F.col("_positives_")).alias("recall"))
     end = sc.limit(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"),
                              F.lit(0.0).alias("recall"))
     return curve.unionByName(end)

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from ..constants import CONTACT_BUDGETS, KMEANS_K, SEED, SILHOUETTE_SAMPLE
 from ..operators import cluster as C
 from ..operators import ingest
+from ..operators import kmeans as KM
+from ..operators import profile as P
 from ..operators import simplex as SX
 from ..operators import targeting as T
+from ..operators.binning import with_quantile_bins
 from ..functions.columns import first_non_missing, lookup
 from ..operators.profile import melt
 from ..session import checkpoint_dir
@@ -88,22 +91,9 @@ def _representations(spark, sf):
 def n03_kmeans_sweep(spark, sf):
     """Representation x k sweep: best-of-10 k-means inertia and silhouette over all rows."""
     d, reps = _representations(spark, sf)
-    rows = []
-    for name, cols in reps.items():
-        vec = C.standardized_vector(d, cols).select("unit_id", "features", *cols).checkpoint()
-
-        def one(k):
-            model, cost = C.fit_kmeans(vec, "features", k, starts=10, seed=SEED)
-            lab = model.transform(vec).select("unit_id", "cluster", *cols)
-            from ..operators.features import fit_standard_scaler, scaled
-
-            fit = fit_standard_scaler(lab, cols, ddof=0)
-            z = lab.select("unit_id", "cluster", *scaled(cols, fit))
-            sil = C.silhouette_squared(z, cols, "cluster").first()["silhouette"]
-            return (name, k, float(sil), float(cost))
-
-        with ThreadPoolExecutor(max_workers=4) as ex:
-            rows += list(ex.map(one, KMEANS_K))
+    with ThreadPoolExecutor(max_workers=len(reps)) as ex:
+        found = list(ex.map(lambda cols: KM.sweep(d, cols, "unit_id", KMEANS_K, 10, SEED), reps.values()))
+    rows = [(name, m.k, m.silhouette, m.inertia) for name, fits in zip(reps, found, strict=True) for m in fits]
     out = spark.createDataFrame(rows, "representation string, k int, silhouette double, inertia double")
     from pyspark.sql import Window
 
@@ -118,6 +108,48 @@ def n04_pick_best_clustering(spark, sf):
     return sweep.agg(F.max_by(F.struct("representation", "k", "silhouette"), F.struct("silhouette", -F.col("k"))).alias("b")).select("b.*")
 
 
+_PERSONAS: dict = {}
+
+
+def kmeans_personas(spark, sf):
+    """(labelled units, columns, fit): k-means with 20 starts at the representation and k that n04 picks; the label is ``persona``."""
+    key = (spark.sparkContext.applicationId, fingerprint(spark, sf))
+    if key not in _PERSONAS:
+        pick = n04_pick_best_clustering(spark, sf).first()
+        d, reps = _representations(spark, sf)
+        model = KM.sweep(d, reps[pick["representation"]], "unit_id", [pick["k"]], 20, SEED)[0]
+        labels = KM.labelled(d, reps[pick["representation"]], model, "persona").select("unit_id", "persona")
+        flags = [c for c in features_table(spark, sf).columns if c.startswith("spends_on_")]
+        units = units_table(spark, sf).join(labels, "unit_id").join(features_table(spark, sf).select("unit_id", *flags), "unit_id").checkpoint()
+        _PERSONAS[key] = (units, flags, model)
+    return _PERSONAS[key]
+
+
+def _persona_query(name: str, make) -> None:
+    def run(spark, sf):
+        units, flags, model = kmeans_personas(spark, sf)
+        return rounded(make(spark, sf, units, flags, model))
+
+    run.__name__, run.__doc__ = name, make.__doc__
+    register(name)(run)
+
+
+def _core(spark, sf):
+    return SX.fit_zero_sets(units_table(spark, sf), SHARES).core
+
+
+_persona_query("n05_kmeans_profile", lambda spark, sf, u, flags, m: P.segment_profile(u, "persona", "income", "size", "target", "rate"))
+_persona_query("n05_kmeans_signature", lambda spark, sf, u, flags, m: P.mean_by_segment(u, "persona", SHARES))
+_persona_query("n05_kmeans_zero_rates", lambda spark, sf, u, flags, m: P.zero_rate_by_segment(u, "persona", _core(spark, sf)))
+_persona_query("n05_kmeans_participation", lambda spark, sf, u, flags, m: P.mean_by_segment(u, "persona", flags))
+_persona_query("n05_kmeans_area_composition", lambda spark, sf, u, flags, m: P.crosstab(u, "persona", "area", normalize=True))
+_persona_query("n05_kmeans_occupation_composition", lambda spark, sf, u, flags, m: P.crosstab(u, "persona", "occupation", normalize=True))
+_persona_query("n06_kmeans_ari_zero_pattern", lambda spark, sf, u, flags, m: C.adjusted_rand(u.withColumn("pattern", SX.zero_pattern_key(_core(spark, sf), "pattern")), "persona", "pattern"))
+_persona_query("n06_kmeans_ari_income", lambda spark, sf, u, flags, m: C.adjusted_rand(with_quantile_bins(u, "income", m.k, "band"), "persona", "band"))
+_persona_query("n07_kmeans_chi_square", lambda spark, sf, u, flags, m: C.chi_square(u, "persona", "target"))
+_persona_query("n08_kmeans_spread_within_decile", lambda spark, sf, u, flags, m: P.stratified_spread(with_quantile_bins(u, "income", 10, "decile"), "decile", "persona", "target"))
+
+
 @register("p11_findings")
 def p11_findings(spark, sf):
     """One row per number behind the recommendations, assembled from P1, P4, P9, P10."""

@@ -65,7 +65,7 @@ def l06_feature_progression(spark, sf):
     for step, (label, cols) in enumerate([*PROGRESSION.items(), ("every column", None)]):
         spec = MD.ModelSpec(label, "lr", {"C": 1.0}, balanced=True)
         r = MD.cross_validate(f, spec, cols or num, [] if cols else cat, "target", "unit_id")
-        r = r.groupBy("model").agg(F.avg("f1_macro").alias("f1_macro"), F.avg("roc_auc").alias("roc_auc")).withColumn("step", F.lit(step))
+        r = r.groupBy("model").agg(*[F.avg(m).alias(m) for m in ("accuracy", "precision", "recall", "f1_macro", "roc_auc")]).withColumn("step", F.lit(step))
         rows = r if rows is None else rows.unionByName(r)
     return rounded(BN.diff_previous(rows, "step", "roc_auc", "roc_auc_gain"))
 
@@ -119,26 +119,98 @@ def l18_holdout_report(spark, sf):
     return rounded(M.classification_report(pred, "label", "pred"))
 
 
+_BASE = [*SHARES, "log_income", "size", "dependents"]
+_FOREST = MD.SMALL_FOREST
+
+
+def _ablation(f, cat, variants: dict, families=("logistic", "forest"), scaler: str | None = "standard"):
+    """(variant, model, roc_auc, f1_macro) of the same scorers over feature sets; all forests are trained together over the folds."""
+    out = None
+    for label, cols in variants.items():
+        specs = {"logistic": MD.ModelSpec("logistic", "lr", {"C": 1.0}, balanced=True, scaler=scaler), "forest": _FOREST}
+        for family in families:
+            r = MD.cross_validate(f, specs[family], cols, cat, "target", "unit_id")
+            r = r.agg(F.avg("roc_auc").alias("roc_auc"), F.avg("f1_macro").alias("f1_macro")).select(F.lit(label).alias("variant"), F.lit(family).alias("model"), "roc_auc", "f1_macro")
+            out = r if out is None else out.unionByName(r)
+    return out
+
+
+def _flags(f):
+    return [c for c in f.columns if c.startswith("spends_on_")]
+
+
 @register("j12_ablation_indicators")
 def j12_ablation_indicators(spark, sf):
+    f, _, cat = feature_frame(spark, sf)
+    r = _ablation(f, cat, {"shares only": _BASE, "shares + participation": _BASE + _flags(f)}, ("logistic",))
+    return rounded(r.select(F.col("variant").alias("model"), "roc_auc", "f1_macro"))
+
+
+@register("j12_ablation_debt")
+def j12_ablation_debt(spark, sf):
+    """Debt as it is, winsorised, or as log1p, with the has-debt flag."""
+    f, _, cat = feature_frame(spark, sf)
+    raw = units_table(spark, sf).select("unit_id", "debt_to_income", F.log1p(F.greatest("debt_to_income", F.lit(0))).alias("log_debt_to_income"))
+    f = f.join(raw, "unit_id").checkpoint()
+    return rounded(_ablation(f, cat, {v: [*_BASE, *_flags(f), v, "has_debt"] for v in ("debt_to_income", "debt_to_income_w", "log_debt_to_income")}))
+
+
+@register("j12_ablation_log_ratios")
+def j12_ablation_log_ratios(spark, sf):
+    """Raw shares against log-ratios of the core parts beside the zero-inflated shares."""
+    f, _, cat = feature_frame(spark, sf)
+    clr = [c for c in f.columns if c.endswith("_clr")]
+    f = f.na.drop(subset=clr)
+    core = {f"{c.removesuffix('_clr')}_share" for c in clr}
+    rest = [*_flags(f), "debt_to_income_w", "has_debt"]
+    return rounded(_ablation(f, cat, {"raw shares": _BASE + rest, "core log-ratios": [c for c in _BASE if c not in core] + clr + rest}))
+
+
+@register("j12_ablation_scalers")
+def j12_ablation_scalers(spark, sf):
+    """No scaling, standard or robust scaling of the same features (J12); trees don't see the difference, so the forest runs once."""
     f, num, cat = feature_frame(spark, sf)
-    base = [*SHARES, "log_income", "size", "dependents"]
-    flags = [c for c in f.columns if c.startswith("spends_on_")]
-    out = None
-    for label, cols in (("shares only", base), ("shares + participation", base + flags)):
-        r = MD.cross_validate(f, MD.ModelSpec(label, "lr", {"C": 1.0}, balanced=True, scaler="standard"), cols, cat, "target", "unit_id")
-        r = r.groupBy("model").agg(F.avg("roc_auc").alias("roc_auc"), F.avg("f1_macro").alias("f1_macro"))
-        out = r if out is None else out.unionByName(r)
+    out = _ablation(f, cat, {"any": num}, ("forest",))
+    for name in (None, "standard", "robust"):
+        out = out.unionByName(_ablation(f, cat, {name or "none": num}, ("logistic",), name))
     return rounded(out)
 
 
-@register("h09_representation_transfer")
-def h09_representation_transfer(spark, sf):
+@register("j12_ablation_categories")
+def j12_ablation_categories(spark, sf):
+    """Features with and without each categorical column."""
+    f, num, cat = feature_frame(spark, sf)
+    out = _ablation(f, cat, {"all categories": num}, ("logistic",))
+    for c in cat:
+        out = out.unionByName(_ablation(f, [x for x in cat if x != c], {f"without {c}": num}, ("logistic",)))
+    return rounded(out.unionByName(_ablation(f, [], {"no categories": num}, ("logistic",))))
+
+
+def _representation_frame(spark, sf):
     u = units_table(spark, sf).filter(F.col("has_flag").isNotNull())
     ratios = [F.try_divide(F.col(p), F.col("income")).alias(f"{p}_ratio") for p in PARTS]
-    u = BN.median_split(u.select("*", *ratios), "income", "low")
-    reps = {"raw": PARTS, "ratio": [f"{p}_ratio" for p in PARTS], "shares": SHARES}
-    return rounded(MD.transfer_test(u, reps, "has_flag", "unit_id", "low"))
+    return u.select("*", *ratios), {"raw": PARTS, "ratio": [f"{p}_ratio" for p in PARTS], "shares": SHARES}
+
+
+@register("h09_representation_transfer")
+def h09_representation_transfer(spark, sf):
+    """Fit on one half of the incomes, score the other, per representation; AUC of both directions and their mean (H9)."""
+    u, reps = _representation_frame(spark, sf)
+    long = MD.transfer_test(BN.median_split(u, "income", "low"), reps, "has_flag", "unit_id", "low")
+    wide = long.groupBy("representation").pivot("transfer", ["low_to_high", "high_to_low"]).agg(F.first("roc_auc"))
+    return rounded(wide.withColumn("mean", (F.col("low_to_high") + F.col("high_to_low")) / 2))
+
+
+@register("h09_representation_same_distribution")
+def h09_representation_same_distribution(spark, sf):
+    """Cross-validated AUC and macro-F1 of each representation with all income levels mixed (H9)."""
+    u, reps = _representation_frame(spark, sf)
+    f, out = stratified_folds(u, "unit_id", "has_flag", seed=SEED).checkpoint(), None
+    for name, cols in reps.items():
+        r = MD.cross_validate(f, MD.ModelSpec(name, "lr", {"C": 1.0}, scaler="standard"), cols, [], "has_flag", "unit_id")
+        r = r.groupBy(F.col("model").alias("representation")).agg(F.avg("roc_auc").alias("roc_auc"), F.avg("f1_macro").alias("f1_macro"))
+        out = r if out is None else out.unionByName(r)
+    return rounded(out)
 
 
 def oof_scores(spark, sf):

@@ -118,11 +118,12 @@ def test_chi_square_and_cramers_v(spark):
     assert got["cramers_v"] == pytest.approx(np.sqrt(chi2 / (ct.sum() * (min(ct.shape) - 1))))
 
 
-def test_pr_curve_matches_manual(spark):
+@pytest.mark.parametrize("name", ["s", "p"])
+def test_pr_curve_matches_manual(spark, name):
     y = [1, 0, 1, 1, 0, 0, 1, 0]
     s = [0.9, 0.8, 0.8, 0.6, 0.5, 0.3, 0.2, 0.1]
-    df = spark.createDataFrame(pd.DataFrame({"y": y, "s": s}))
-    curve = M.pr_curve(df, "y", "s").toPandas()
+    df = spark.createDataFrame(pd.DataFrame({"y": y, name: s}))
+    curve = M.pr_curve(df, "y", name).toPandas()
     pts = curve.dropna(subset=["threshold"]).sort_values("threshold")
     # every distinct threshold down to the first reaching full recall (0.2), then the (1, 0) end point
     assert list(pts.threshold) == [0.2, 0.3, 0.5, 0.6, 0.8, 0.9]

@@ -1,6 +1,6 @@
 """URL filters as a sort-merge range join, in DataFrame operations only.
 
-A host is keyed by its labels in reverse, each followed by a comma (``net,example,www,``), so a rule for a host and
+A host is keyed by its labels in reverse, each followed by a slash, which no host holds (``net/example/www/``), so a rule for a host and
 all its subdomains is the key interval that starts at the rule's key and holds every key it is a prefix of. Intervals
 nest. URLs and rules are sorted together by key, range-partitioned with a salt so that one hot host spreads over many
 partitions, and each partition is swept in order with a stack: slot j holds the last rule host of j labels. The sort
@@ -37,7 +37,7 @@ def url_path(url: Column) -> Column:
 
 
 def host_key(host: Column) -> Column:
-    return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(",")))
+    return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "/"), F.lit("/")))
 
 
 def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -56,7 +56,7 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: s
         .where("host IS NOT NULL AND host <> ''").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
         .groupBy(host_key(F.col("host")).alias("key"), "host")
         .agg(F.array_sort(F.collect_list(F.struct((-F.length("path")).alias("by"), "path", "verdict"))).alias("paths"))
-        .select("key", F.size(F.split("key", ",")).alias("labels"), F.struct("key", "host", "paths").alias("rule")))
+        .select("key", F.size(F.split("key", "/")).alias("labels"), F.struct("key", "host", "paths").alias("rule")))
     depths = [r[0] for r in stack.select("labels").distinct().collect()]  # one row for each number of labels
     rule_type = stack.schema["rule"].dataType
     none = [F.lit(None).cast(t).alias(c) for c, t in (("id", src.schema["id"].dataType), ("host", "string"), ("path", "string"))]
@@ -67,8 +67,8 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: s
         .repartitionByRange(n, "key", "kind", "salt").drop("salt").withColumn("part", F.spark_partition_id()), "url-ranges")
 
     # rules that began before a partition and are still open at its first key: one row a partition and label
-    first = dealt.groupBy("part").agg(F.min("key").alias("low")).select("part", F.split(F.expr("left(low, length(low) - 1)"), ",").alias("names"))
-    prefix = F.transform(F.sequence(F.lit(1), F.size("names")), lambda k: F.concat(F.array_join(F.slice("names", 1, k), ","), F.lit(",")))
+    first = dealt.groupBy("part").agg(F.min("key").alias("low")).select("part", F.split(F.expr("left(low, length(low) - 1)"), "/").alias("names"))
+    prefix = F.transform(F.sequence(F.lit(1), F.size("names")), lambda k: F.concat(F.array_join(F.slice("names", 1, k), "/"), F.lit("/")))
     still_open = first.select("part", F.explode(prefix).alias("key")).join(stack, "key").select("part", "key", F.lit(0).alias("kind"), "labels", "rule", *none)
     sweep = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     slots = [F.last(F.when((F.col("kind") == 0) & (F.col("labels") == d), F.col("rule")), ignorenulls=True).over(sweep).alias(f"s{d}") for d in depths]

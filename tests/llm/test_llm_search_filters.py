@@ -128,6 +128,7 @@ def test_url_filter_matches_brute_force(spark):
     names = ["com", "net", "org", "a.com", "b.a.com", "a.net", "xa.com", "com.a", "é.org", ""]
     rules = [(rng.choice(["block", "allow"]), rng.choice(names[:-1]), rng.choice(["", "/", "/en", "/en/", "/de/"])) for _ in range(25)] + [("block", "", "/")]
     urls = [f"{rng.choice(['http', 'HTTPS', 'x'])}://{rng.choice(['', 'www.', 'WWW.q.'])}{rng.choice(names)}{rng.choice(['', '/', '/en', '/en/x', '/de/?a', '#f', '?q=/en/', '/e?://com/'])}" for _ in range(300)]
+    urls += [f"http://{n.replace(chr(46), chr(44))}/en/x" for n in names] + ["http://com,a/en/", "http://a,b.com/de/x", "http://b,a.com/"]  # commas are no dots
     urls += [None, "", "no scheme/en", "http://", "://net/", "http://com:80/en/"] + ["http://hot.b.a.com/en/1"] * 200
     df = spark.createDataFrame([(k if k % 50 else None, u, "h", "p", 0, 1) for k, u in enumerate(urls)], "page_id long, url string, host string, path string, part int, kind int")
     got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df, url_filter.rules_frame(spark, rules)).collect())

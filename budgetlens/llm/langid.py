@@ -111,10 +111,10 @@ def fit_texts(texts: list[str], langs: list[str]) -> Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Model from the rows given (the caller leaves out what it holds out); null ids, texts or languages teach nothing."""
     src = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    known = src.where("d_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+    known = src.where("d_id IS NOT NULL AND lang IS NOT NULL").where(F.octet_length("text") <= TRAIN_BYTES)  # before the draw: long texts take no one's place
     langs = [r[0] for r in known.select("lang").distinct().collect()]
-    picked = bounded_sample(known, "lang", {v: SAMPLE // len(langs) for v in langs}, "d_id", seed=9)
-    rows = picked.where(F.octet_length("text") <= TRAIN_BYTES).toArrow().sort_by([("d_id", "ascending"), ("text", "ascending")])
+    picked = bounded_sample(known, "lang", {v: max(1, SAMPLE // len(langs)) for v in langs}, "d_id", seed=9)
+    rows = picked.toArrow().sort_by([("d_id", "ascending"), ("text", "ascending")])
     return fit_texts(rows["text"].to_pylist(), rows["lang"].to_pylist())
 
 

@@ -8,7 +8,10 @@ so an unseen ending of a known stem counts.
 Only documents carry labels: the gradient of the document likelihood reaches each sentence in proportion to its share of the
 blame. Offending sentences are those with p of at least one half, or the likeliest one of a document that is toxic without them.
 Weights of stems and words are 0 or more, those of harmless words with a toxic stem 0 or less. Sentences without a weighted word,
-empty ones included, add nothing, so a text without any scores 0, however long it is; sentences that hold weighted words add up.
+empty ones included, add nothing, so a text without any scores 0, however long it is.
+Sentences with p below one half are weak evidence, and clean prose holds some: what its words bring on average is learnt from the clean
+documents of the sample, and a text's weak evidence counts only beyond EXCUSED times that. So a clean text stays clean at any length,
+while a sentence that is toxic by itself always counts.
 
 The model is fitted on the driver from a bounded sample (about PER_CLASS toxic and twice as many other documents, of at most
 TRAIN_BYTES each); scoring is one pass over whole texts without a shuffle.
@@ -31,6 +34,7 @@ PREFIXES = (4, 5, 6, 7, 8, 9, 10, 12)  # bytes
 BITS, BIAS, PENALTY = 20, -10.0, 1e-3
 PER_CLASS = 1500  # training documents a class, at most about
 TRAIN_BYTES = 16_384  # longest text of the training sample
+EXCUSED = 2.0  # times the weak evidence that clean prose of the same length holds
 FEATURES = 3000  # buckets with a weight
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[10, 33, 46, 63]] = True
@@ -40,6 +44,7 @@ _ENDS[[10, 33, 46, 63]] = True
 class Model:
     buckets: np.ndarray
     weights: np.ndarray
+    background: float = 0.0  # weak evidence a word of clean text
 
     def table(self) -> np.ndarray:
         out = np.zeros(1 << BITS, dtype=np.float32)
@@ -138,16 +143,32 @@ def fit_texts(texts: list[str], toxic: np.ndarray) -> Model:
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w = np.clip(w - 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8), lowest, highest)
     keep = w != 0
-    return Model(chosen[keep], w[keep].astype(np.float32))
+    model = Model(chosen[keep], w[keep].astype(np.float32))
+    table, weak, words, at = model.table(), 0.0, 0, 0
+    for x in parts:
+        clean = toxic[at : at + len(x.docs)] == 0
+        _, mine, size = _evidence(x, table)[1:]
+        weak, words, at = weak + float(mine[clean].sum()), words + int(size[clean].sum()), at + len(x.docs)
+    return Model(model.buckets, model.weights, weak / max(words, 1))
+
+
+def _evidence(x: _Slice, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """z of each sentence; each document's evidence from sentences toxic by themselves and from weaker ones, and its words."""
+    weight = np.where(x.buckets >= 0, table[x.buckets], 0.0).sum(axis=1, dtype=np.float64)
+    z = BIAS + np.bincount(x.sentence, weight[x.word], minlength=len(x.first))
+    each = np.where(z > BIAS, _softplus(z), 0.0)
+    doc = np.searchsorted(x.docs, x.sentence, side="right") - 1
+    return z, np.add.reduceat(np.where(z >= 0, each, 0.0), x.docs), np.add.reduceat(np.where(z < 0, each, 0.0), x.docs), np.bincount(doc, minlength=len(x.docs))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Model from the labelled documents given (the caller leaves out what it holds out).
 
-    Rows with a null id, text or label teach nothing; of several labels of one id the largest counts.
+    Rows with a null id, text or label teach nothing, nor do texts above TRAIN_BYTES; of several labels of one id the largest counts.
     """
-    known = labels.where(f"{id_col} IS NOT NULL AND {label_col} IS NOT NULL").groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    picked = bounded_sample(known, "y", {0: 2 * PER_CLASS, 1: PER_CLASS}, id_col, seed=10).withColumnRenamed(id_col, "y_id")
+    short = docs.where(F.octet_length(F.col(text_col)) <= TRAIN_BYTES).select(F.col(id_col).alias("s_id")).distinct()  # before the draw: long texts take no one's place
+    known = labels.select(F.col(id_col).alias("y_id"), F.col(label_col).cast("int").alias("y")).dropna().join(short, F.col("y_id") == F.col("s_id"), "left_semi")
+    picked = bounded_sample(known.groupBy("y_id").agg(F.max("y").alias("y")), "y", {0: 2 * PER_CLASS, 1: PER_CLASS}, "y_id", seed=10)
     rows = (
         docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("text"))
         .where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(picked), F.col("d_id") == F.col("y_id"))
@@ -155,14 +176,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return fit_texts(rows["text"].to_pylist(), np.array(rows["y"].to_pylist(), dtype=np.int64))
 
 
-def score_batch(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, list[list[str]]]:
+def score_batch(column: pa.Array, table: np.ndarray, background: float = 0.0) -> tuple[np.ndarray, list[list[str]]]:
     """Noisy-or score of each text, and its offending sentences."""
     scores, found = [], []
     for _, n, raw, off in text_slices(column):
         x = _slice(raw, off)
-        weight = np.where(x.buckets >= 0, table[x.buckets], 0.0).sum(axis=1, dtype=np.float64)
-        z = BIAS + np.bincount(x.sentence, weight[x.word], minlength=len(x.first))
-        score = -np.expm1(-np.add.reduceat(np.where(z > BIAS, _softplus(z), 0.0), x.docs))
+        z, strong, weak, words = _evidence(x, table)
+        score = -np.expm1(-(strong + np.maximum(0.0, weak - EXCUSED * background * words)))
         scores.append(score)
         doc = np.searchsorted(x.docs, np.arange(len(z)), side="right") - 1
         bad = set(np.flatnonzero(z >= 0).tolist())
@@ -180,7 +200,7 @@ def _score(model: Model, keep_below: float | None, text_at: int, names: list[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
         for batch in batches:
-            score, found = score_batch(batch.column(text_at), table)
+            score, found = score_batch(batch.column(text_at), table, model.background)
             score = np.round(np.clip(score, 0.0, 1.0), 6)
             if keep_below is not None:
                 yield batch.filter(pa.array(score < keep_below))
@@ -204,5 +224,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose score is below ``threshold``."""
+    """The rows of ``docs`` (all columns, any names) whose score is below ``threshold``; null and empty texts stay, equal rows share their fate."""
     return docs.mapInArrow(_score(model, threshold, docs.columns.index(text_col), []), docs.schema)

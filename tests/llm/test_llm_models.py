@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from budgetlens.llm import langid, queries, toxicity
 
@@ -112,3 +113,69 @@ def test_toxicity_without_a_class_or_rows(spark):
     model = toxicity.fit(docs, labels)
     assert not len(model.weights) and [r.predicted for r in toxicity.score(docs, model).collect()] == [0, 0]
     assert toxicity.score(docs.limit(0), toxicity.fit(docs, labels.limit(0))).collect() == []
+
+
+def test_clean_text_of_any_length_stays_clean_and_a_toxic_sentence_in_it_counts(spark):
+    """Real texts joined: weak evidence adds up no more than clean prose holds of it."""
+    import zlib
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("toxic IS NOT NULL")
+    held = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
+    model = toxicity.fit(docs, labels.where("pmod(crc32(cast(cast(doc_id AS string) AS binary)), 5) <> 0"))
+    mine = docs.where(F.col("doc_id").isin(list(held)))
+    scores = {r.doc_id: r.score for r in toxicity.score(mine, model).collect()}
+    texts = {r.doc_id: r.text for r in mine.collect()}
+    clean = [t for i, t in sorted(texts.items()) if not held[i] and scores[i] < 0.5 and t]
+    toxic = [i for i in texts if held[i]]
+    assert sum(scores[i] >= 0.5 for i in toxic) >= 0.9 * len(toxic)
+    worst = next(texts[i] for i in toxic if scores[i] > 0.99)
+    rng, joined = random.Random(8), []
+    for size in (100_000, 300_000, 1_000_000, 3_000_000):
+        for _ in range(4):
+            out = []
+            while sum(map(len, out)) < size:
+                out.append(rng.choice(clean))
+            joined.append("\n".join(out))
+    rows = [(k, t) for k, t in enumerate(joined)] + [(100 + k, t + "\n" + worst) for k, t in enumerate(joined)]
+    got = {r.doc_id: r.predicted for r in toxicity.score(frame(spark, rows), model).collect()}
+    assert sum(got[k] for k in range(len(joined))) == 0 and all(got[100 + k] == 1 for k in range(len(joined)))
+
+
+def plain_toxicity(text, weights, background):
+    """Noisy-or by the formula, from words to the score."""
+    import math
+    import re
+
+    from budgetlens.llm.common import LETTERS
+
+    strong = weak = words = 0
+    for sentence in re.split(rb"(?<=[.!?\n])", text.encode()):
+        z, speaks = toxicity.BIAS, 0.0
+        for word in sentence.translate(LETTERS).split():
+            words += 1
+            value = weights(word)
+            z, speaks = z + value, speaks + abs(value)
+        p = math.log1p(math.exp(z)) if z > toxicity.BIAS else 0.0
+        strong, weak = (strong + p, weak) if z >= 0 else (strong, weak + p)
+    return 1 - math.exp(-(strong + max(0.0, weak - toxicity.EXCUSED * background * words)))
+
+
+def test_scores_equal_the_plain_formula(toxic_model):
+    import numpy as np
+    import pyarrow as pa
+
+    from budgetlens.llm.common import span_hashes
+
+    table = toxic_model.table()
+
+    def weights(word):
+        raw = np.frombuffer(word, np.uint8)
+        shift = np.uint64(64 - toxicity.BITS)
+        own = int(span_hashes(raw, np.array([0]), np.array([len(raw)]))[0] >> shift)
+        stems = [int((span_hashes(raw, np.array([0]), np.array([k])) * np.uint64(0x9E3779B97F4A7C15))[0] >> shift) for k in toxicity.PREFIXES if len(raw) > k]
+        return float(sum(table[b] for b in [own, *stems]))
+
+    texts = ["", "you grumpfels! plain1 you snork.", "Plain3 of the.\nSnorkisher you? you you", "a grumpf b snorki. " * 30, "é 12 grumpfel-er"]
+    got, _ = toxicity.score_batch(pa.array(texts, pa.large_string()), table, 0.01)
+    assert np.allclose(got, [plain_toxicity(t, weights, 0.01) for t in texts], atol=1e-9)

@@ -245,6 +245,13 @@ def test_jaccard_keep_one_and_empty_table(spark):
     assert jaccard_join.jaccard_components(frame(spark, [])).collect() == []
 
 
+def test_jaccard_keep_one_judges_rows_not_ids(spark):
+    rows = [(1, "a b c d e f g"), (2, "A b c d e f g"), (2, "a text of its own that no other row holds"), (3, "p q r s t u v"), (3, "p q r s t u v"), (4, None), (4, None), (None, "p q r s t u v")]
+    kept = jaccard_join.keep_one(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([rows[0], rows[2], rows[3], (4, None), (4, None), rows[7]])
+
+
 def test_connected_components_of_a_path_and_a_star(spark):
     pairs = [(k, k + 1) for k in range(100, 160)] + [(5, k) for k in range(6, 40)] + [(900, 901), (3, 3)]
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}

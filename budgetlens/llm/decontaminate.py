@@ -1,18 +1,18 @@
-"""Benchmark decontamination: CGK embedding and bit-sampling LSH over item-sized windows (short items), counted word runs
-(long items), then exact edit distances.
+"""Benchmark decontamination: CGK embedding and bit-sampling LSH over item-sized windows, then exact edit distances.
 
 Texts are sequences of words (lower-cased letters and digits; everything else separates). A document is contaminated by an
 item of n words if some run of its words is within n // 5 word edits of the item (similarity 0.8 and more).
 
-Candidates, items of at most LSH_WORDS words: a CGK random walk reads a window word by word and, from one shared random bit per
-(step, word), advances or repeats; two sequences at a small edit distance get embeddings at a small Hamming distance. Each of WALKS
-walks is sampled SAMPLES times at BITS of its 2n steps, and windows that agree with an item in all sampled steps of one sample
-become candidates. WALKS * SAMPLES repetitions give a recall above 0.99 at the largest number of edits (tested for insertions,
-substitutions and deletions apart). Item-sized windows that share fewer word runs with an item than any window within the edit
-bound must (q-gram lemma) are not embedded.
-Candidates, longer items: embeddings drift apart with every further edit, so these are not embedded. Every window is a candidate in
-which as many word runs as the q-gram lemma asks for lie close enough together; that misses nothing.
-Every candidate is verified by the exact edit distance against the words around the window.
+Candidates: a CGK random walk reads a window word by word and, from one shared random bit per (step, word), advances or repeats;
+two sequences at a small edit distance get embeddings at a small Hamming distance. Each of WALKS walks is sampled SAMPLES times at
+BITS of its 2n steps, and windows that agree with an item in all sampled steps of one sample become candidates.
+Embeddings drift apart with every further edit, so an item of more than PIECE words is embedded in pieces of PIECE words that overlap by half:
+of the pieces of a run within the bound at least one has its share of the edits at most, so the walks meet no more edits in a long
+item than in a short one. Any piece that agrees makes the window a candidate for the whole item.
+WALKS * SAMPLES repetitions give a recall above 0.99 at the largest number of edits (tested from 5 to 400 words, for
+insertions, substitutions and deletions apart, spread and in one place).
+Windows are embedded where a word run of the item occurs in a text that holds as many of its runs as any text within the edit bound
+must (q-gram lemma), aligned by that run. Every candidate is verified by the exact edit distance against the words around the window.
 
 The items form broadcast blocks of at most BLOCK_BYTES of text; a larger benchmark takes one pass a block. Documents are
 read once a block, whole, and never shuffled.
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from budgetlens.llm.common import LETTERS, sequence_hash, span_hashes, text_slices, word_spans
 
 WALKS, SAMPLES, BITS = 16, 4, 2
-LSH_WORDS = 40  # longest item that is embedded
+PIECE = 40  # words that are embedded at once
 CELLS = 1 << 22  # words around windows that are compared at once
 BLOCK_BYTES = 4_000_000
 _LUT = np.frombuffer(LETTERS, np.uint8)
@@ -101,18 +101,9 @@ def window_edits(items: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return row.min(axis=1)
 
 
-def _crowded(first: np.ndarray, doc: np.ndarray, item: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
-    """Document, item and start of the windows from whose start on enough shared grams follow within the drift of the edits.
-
-    A run of words from ``a`` on within e edits of the item shares that many grams with it, and each of them puts the start
-    into a - e .. a + e; so the words around the first of these windows hold the whole run.
-    """
-    order = np.lexsort((start, item, doc))
-    doc, item, start = doc[order], item[order], start[order]
-    last = np.arange(len(doc)) + int(shared_grams(n, gram_size(n))) - 1
-    to = np.minimum(last, len(doc) - 1)
-    enough = (last < len(doc)) & (doc[to] == doc) & (item[to] == item) & (start[to] - start <= 2 * edit_bound(n))
-    return np.unique(np.stack((doc, item, np.maximum(start, first[doc])))[:, enough], axis=1)
+def piece_offsets(n: int) -> list[int]:
+    """First words of an item's pieces: overlapping by half, the last one ends with the item."""
+    return [0] if n <= PIECE else [*range(0, n - PIECE, PIECE // 2), n - PIECE]
 
 
 class ItemIndex:
@@ -152,28 +143,33 @@ class ItemIndex:
             out[g] = h[order], item[order], at[order], bits
         return out
 
+    @cached_property
+    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item and first word of each piece, and the first piece of each item (+ total)."""
+        offsets = [piece_offsets(len(w)) if len(w) else [] for w in self.words]
+        first = np.concatenate(([0], np.cumsum([len(o) for o in offsets]))).astype(np.int64)
+        return np.repeat(np.arange(len(offsets)), np.diff(first)), np.array([k for o in offsets for k in o], np.int64), first
+
     @cached_property
     def tables(self) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
-        """Item length (LSH_WORDS at most) -> for each repetition the sorted keys and their items."""
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(self.words):
-            if 0 < len(w) <= LSH_WORDS:
-                by_length.setdefault(len(w), []).append(i)
-        out = {}
-        for n, items in by_length.items():
-            words = np.concatenate([self.words[i] for i in items])
-            start = np.arange(len(items)) * n
+        """Piece length (PIECE at most) -> for each repetition the sorted keys and their pieces."""
+        item, offset, _ = self.pieces
+        size, out = np.minimum(self.lengths[item], PIECE), {}
+        for n in np.unique(size).tolist():
+            mine = np.flatnonzero(size == n)
+            words = np.concatenate([self.words[item[p]][offset[p] : offset[p] + n] for p in mine])
+            start = np.arange(len(mine)) * n
             keys = walk_keys(words, start, start + n, n)
-            out[n] = [(keys[order, r], np.array(items)[order]) for r in range(keys.shape[1]) for order in [np.argsort(keys[:, r], kind="stable")]]
+            out[n] = [(keys[order, r], mine[order]) for r in range(keys.shape[1]) for order in [np.argsort(keys[:, r], kind="stable")]]
         return out
 
     @cached_property
     def lengths(self) -> np.ndarray:
         return np.array([len(w) for w in self.words], dtype=np.int64)
 
-    def _seeds(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, item, window start) where the document shares enough grams with the item."""
-        docs, items, starts = [], [], []
+    def _seeds(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, item, window start, place in the item) of the shared grams, where a document shares enough of them."""
+        docs, items, starts, places = [], [], [], []
         for g, (h, item, offset, bits) in self.grams.items():
             if len(words) < g:
                 continue
@@ -197,31 +193,44 @@ class ItemIndex:
             docs.append(doc[keep])
             items.append(it[keep])
             starts.append(pos[keep] - offset[posting][keep])
+            places.append(offset[posting][keep])
         if not docs:
-            return (np.zeros(0, np.int64),) * 3
-        return np.concatenate(docs), np.concatenate(items), np.concatenate(starts)
-
-    def _collisions(self, words: np.ndarray, first: np.ndarray, doc: np.ndarray, item: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
-        """Document, item and start of the windows that agree with an item of n words in a repetition."""
-        window = np.unique(np.stack((doc, np.maximum(start, first[doc]))), axis=1)
-        keys = walk_keys(words, window[1], first[window[0] + 1], n)
-        found = set()
-        for r, (known, items) in enumerate(self.tables[n]):
-            lo, hi = np.searchsorted(known, keys[:, r], "left"), np.searchsorted(known, keys[:, r], "right")
-            for w in np.flatnonzero(hi > lo).tolist():
-                found.update((w, int(i)) for i in items[lo[w] : hi[w]])
-        w, i = np.array(sorted(found), dtype=np.int64).reshape(-1, 2).T
-        return np.stack((window[0, w], i, window[1, w]))
+            return (np.zeros(0, np.int64),) * 4
+        return tuple(np.concatenate(x) for x in (docs, items, starts, places))
+
+    def _collisions(self, words: np.ndarray, first: np.ndarray, doc: np.ndarray, item: np.ndarray, start: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+        """Document, item and start of the windows that agree with a piece of an item of n words in a repetition."""
+        _, offset, of = self.pieces
+        size, found = min(n, PIECE), []
+        cuts = np.array(piece_offsets(n))
+        for k in range(len(cuts)):  # the pieces that the gram lies in
+            on = (place >= cuts[k]) & (place < cuts[k] + size)
+            rows = np.unique(np.stack((doc[on], start[on])), axis=1)
+            if not rows.size:
+                continue
+            at = np.maximum(rows[1] + cuts[k], first[rows[0]])
+            keys = walk_keys(words, at, first[rows[0] + 1], size)
+            for r, (known, pieces) in enumerate(self.tables[size]):
+                lo, hi = np.searchsorted(known, keys[:, r], "left"), np.searchsorted(known, keys[:, r], "right")
+                hit = np.flatnonzero(hi > lo)
+                count = (hi - lo)[hit]
+                piece = pieces[np.repeat(lo[hit] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+                w = np.repeat(hit, count)
+                owner = np.searchsorted(of, piece, side="right") - 1
+                right = (self.lengths[owner] == n) & (offset[piece] == cuts[k])
+                found.append(np.stack((rows[0, w], owner, np.maximum(rows[1, w], first[rows[0, w]])))[:, right])
+            found = [np.unique(np.concatenate(found, axis=1), axis=1)] if found else []
+        return found[0] if found else np.zeros((3, 0), np.int64)
 
     def matches(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(document, item, first word of the window, edits) of every verified pair, one row a pair (fewest edits, first window)."""
-        doc, item, start = self._seeds(words, first)
+        doc, item, start, place = self._seeds(words, first)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         if not len(doc):
             return []
         for n in np.unique(self.lengths[item]).tolist():
             rows, e = np.flatnonzero(self.lengths[item] == n), edit_bound(n)
-            d_, i_, s_ = self._collisions(words, first, doc[rows], item[rows], start[rows], n) if n <= LSH_WORDS else _crowded(first, doc[rows], item[rows], start[rows], n)
+            d_, i_, s_ = self._collisions(words, first, doc[rows], item[rows], start[rows], place[rows], n)
             step = max(1, min(4096, CELLS // (n + 2 * e)))
             for at in range(0, len(d_), step):
                 d, i, s = (x[at : at + step] for x in (d_, i_, s_))

@@ -13,7 +13,7 @@ import math
 from typing import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,8 +36,14 @@ def _bucket_col(df: DataFrame, bucket_by: str, buckets: int) -> DataFrame:
     share = min(1.0, SAMPLES_PER_BUCKET * buckets / max(1, df.count()))
     drawn = sorted(r[0] for r in df.where(F.pmod(F.xxhash64(bucket_by), F.lit(1 << 30)) < int(share * (1 << 30))).select(bucket_by).dropna().collect())
     cuts = sorted({drawn[len(drawn) * k // buckets] for k in range(1, buckets)}) if drawn else []
-    above = F.aggregate(F.array(*[F.lit(e) for e in cuts]), F.lit(0), lambda a, e: a + F.when(F.col(bucket_by) > e, 1).otherwise(0)) if cuts else F.lit(0)
-    return df.withColumn("_bk", F.when(F.col(bucket_by).isNull(), F.lit(-1)).otherwise(above))
+
+    def above(lo: int, hi: int) -> Column:  # binary search: a row meets the logarithm of the borders, not all
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(bucket_by) <= F.lit(cuts[mid]), above(lo, mid)).otherwise(above(mid + 1, hi))
+
+    return df.withColumn("_bk", F.when(F.col(bucket_by).isNull(), F.lit(-1)).otherwise(above(0, len(cuts))))
 
 
 def prefix_sums(

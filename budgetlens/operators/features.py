@@ -97,18 +97,25 @@ def scaled(cols: Sequence[str], fit: ScaleFit, suffix: str = "") -> list:
     return [((F.col(c) - F.lit(fit.center[c])) / F.lit(fit.scale[c])).alias(f"{c}{suffix}") for c in cols]
 
 
-def fit_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
-    """Sorted distinct levels of each column, all of them (they are the model's features, so they have to fit the driver).
+def _distinct_levels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(i, v) for every non-missing level of column i: values are pre-aggregated by task, then one shuffle for all columns."""
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)])).alias("e"))
+    return pairs.where("e.v IS NOT NULL").select("e.i", "e.v").distinct()
 
-    One shuffle for all columns: values are pre-aggregated by task, then distinct by (column, value).
-    """
+
+def fit_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
+    """Sorted distinct levels of each column, all of them: one 0/1 column each, so they have to fit the driver (``sparse`` has no such bound)."""
     if not cols:
         return {}
-    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)])).alias("e"))
-    found = pairs.where("e.v IS NOT NULL").select("e.i", "e.v").distinct().collect()
+    found = _distinct_levels(df, cols).collect()
     return {c: sorted(r.v for r in found if r.i == i) for i, c in enumerate(cols)}
 
 
+def more_levels_than(df: DataFrame, cols: Sequence[str], n: int) -> bool:
+    """Whether the columns hold more than ``n`` levels together."""
+    return bool(cols) and _distinct_levels(df, cols).limit(n + 1).count() > n
+
+
 def one_hot(c: str, levels: Sequence[str]) -> list:
     """One 0/1 column per known level; an unknown level is all zeros."""
     return [flag(F.col(c) == F.lit(lv)).alias(f"{c}_{lv}") for lv in levels]

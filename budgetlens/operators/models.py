@@ -3,7 +3,8 @@
 Trees, forests and boosting are histogram trees (``boosting``), all folds and draws of a comparison trained at once; logistic
 regression and the linear SVM are distributed Newton fits (``linear``). Their preprocessing
 fits are exact aggregations (medians and IQRs by ``functions.quantiles``) fitted
-on the training rows only and applied as literal projections; their folds run in parallel driver threads.
+on the training rows only and applied as literal projections; their folds run in parallel driver threads. Categories of
+more than DENSE_LEVELS levels together go through ``sparse``: the same optimum without one column a level.
 """
 
 from __future__ import annotations
@@ -14,15 +15,18 @@ from dataclasses import dataclass, field, replace
 from typing import Callable, Sequence
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import N_FOLDS, SEED
 from . import boosting as B
 from . import features as FE
+from . import sparse as SP
 from .linear import fit_linear
 from .metrics import classification_metrics, roc_auc
 
+DENSE_LEVELS = 500  # with more levels a Hessian of 2 MB a slot would be exceeded
+
 
 @dataclass(frozen=True)
 class Preprocessor:
@@ -37,6 +41,13 @@ class Preprocessor:
     def names(self) -> list[str]:
         return [*self.numeric, *[f"{c}_{lv}" for c in self.categorical for lv in self.levels[c]]]
 
+    def numbers(self) -> Column:
+        """The imputed and scaled numeric columns as one array, without the categories."""
+        filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])) for c in self.numeric}
+        if self.scale is not None:
+            filled = {c: (x - F.lit(self.scale.center[c])) / F.lit(self.scale.scale[c]) for c, x in filled.items()}
+        return F.array(*filled.values()).cast("array<double>")
+
     def transform(self, df: DataFrame, out: str = "features") -> DataFrame:
         num = [F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])).alias(f"__n_{c}") for c in self.numeric]
         d = df.select("*", *num)
@@ -46,7 +57,7 @@ class Preprocessor:
             ncols = [f"__s_{c}" for c in self.numeric]
         else:
             ncols = [f"__n_{c}" for c in self.numeric]
-        onehot = [(F.col(c) == F.lit(lv)).cast("double").alias(f"__o_{c}_{lv}") for c in self.categorical for lv in self.levels[c]]
+        onehot = [F.coalesce((F.col(c) == F.lit(lv)).cast("double"), F.lit(0.0)).alias(f"__o_{c}_{lv}") for c in self.categorical for lv in self.levels[c]]
         d = d.select("*", *onehot)
         cols = ncols + [f"__o_{c}_{lv}" for c in self.categorical for lv in self.levels[c]]
         out_df = VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(d)
@@ -117,6 +128,7 @@ SEARCH_SPACE = {
     "row_share": [0.7, 0.9, 1.0],
     "least_hessian": [1, 5, 20],
 }
+LOSSES = {"lr": "log", "svm": "squared hinge"}
 LR_GRID = [0.01, 0.1, 1.0, 10.0, 100.0]
 
 
@@ -169,17 +181,36 @@ def fit_predict(spec: ModelSpec, train: DataFrame, test: DataFrame, numeric, cat
         model = B.fit(own, replace(_tree_spec(spec, columns), seed=seed), columns, label, key)
         out = B.predictions(tree_frame(test, numeric, categorical, levels)[0], model, columns, label, key)
         return out.select(key, "label", "p", (F.col("p") > 0.5).cast("int").alias("pred"))
+    if spec.kind not in LOSSES:
+        raise ValueError(spec.kind)
+    if FE.more_levels_than(train, categorical, DENSE_LEVELS):
+        return _sparse_fit_predict(spec, train, test, numeric, categorical, label, key)
     pre = fit_preprocessor(train, numeric, categorical, spec.scaler)
     tr = pre.transform(train.withColumn("label", F.col(label).cast("double")))
     te = pre.transform(test.withColumn("label", F.col(label).cast("double")))
     wcol = None
     if spec.balanced:
         tr, wcol = _balanced_weights(tr, "label"), "_w"
-    if spec.kind in ("lr", "svm"):
-        linear = fit_linear(tr, spec.params.get("C", 1.0), "log" if spec.kind == "lr" else "squared hinge", weight=wcol)
-        score = linear.probability() if spec.kind == "lr" else F.lit(None).cast("double")
-        return te.select(key, F.col("label").cast("int").alias("label"), score.alias("p"), (linear.margin() > 0).cast("int").alias("pred"))
-    raise ValueError(spec.kind)
+    linear = fit_linear(tr, spec.params.get("C", 1.0), LOSSES[spec.kind], weight=wcol)
+    score = linear.probability() if spec.kind == "lr" else F.lit(None).cast("double")
+    return te.select(key, F.col("label").cast("int").alias("label"), score.alias("p"), (linear.margin() > 0).cast("int").alias("pred"))
+
+
+def _sparse_fit_predict(spec: ModelSpec, train: DataFrame, test: DataFrame, numeric, categorical, label: str, key: str) -> DataFrame:
+    """``fit_predict`` of a linear model over categories with any number of levels."""
+    pre = fit_preprocessor(train, numeric, [], spec.scaler)
+    index = SP.index_levels(train, categorical)
+
+    def rows(df: DataFrame) -> DataFrame:
+        return SP.encode(df.select("*", pre.numbers().alias("_x"), F.col(label).cast("double").alias("_y")), index, "_levels").select(key, "_x", "_levels", "_y")
+
+    tr, wcol = rows(train), None
+    if spec.balanced:
+        tr, wcol = _balanced_weights(tr, "_y"), "_w"
+    model = SP.fit_sparse(tr, index.width, spec.params.get("C", 1.0), LOSSES[spec.kind], "_x", "_levels", "_y", wcol)
+    scored = model.margin(rows(test), "_x", "_levels", "_margin")
+    p = 1 / (1 + F.exp(-F.col("_margin"))) if spec.kind == "lr" else F.lit(None).cast("double")
+    return scored.select(key, F.col("_y").cast("int").alias("label"), p.alias("p"), (F.col("_margin") > 0).cast("int").alias("pred"))
 
 
 def fold_metrics(pred: DataFrame) -> DataFrame:

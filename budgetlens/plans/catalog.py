@@ -9,3 +9,4 @@ from . import q_models  # noqa: F401
 from . import q_explain  # noqa: F401
 from . import q_extra  # noqa: F401
 from . import q_trained  # noqa: F401
+from . import q_sparse  # noqa: F401

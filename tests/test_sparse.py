@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from budgetlens.operators import models as MD
 from budgetlens.operators import sparse as SP
 from budgetlens.operators.linear import TOLERANCE, fit_linear
 
@@ -63,16 +64,34 @@ def test_same_optimum_as_the_dense_fit(spark, loss, c):
 def test_blocks_and_slots_give_the_same_sums(spark, monkeypatch):
     df, _ = coded(spark)
     index = SP.index_levels(df, ["a", "b"])
-    rows = SP.encode(df, index).repartition(70).cache()
-    direct = SP.fit_sparse(rows, index.width, 1.0)
+    rows = SP.encode(df, index).select("x", "levels", (F.col("label") * 2.0 - 1).alias("y"), F.lit(1.0).alias("s")).repartition(70).cache()
+    w, v = np.random.default_rng(3).normal(size=(2, 2 + index.width + 1))
+    direct = SP._Rows(rows, 2, index.width, "log")
+    want = [*direct.point(w), direct.product(w, v)]
     monkeypatch.setattr(SP, "BLOCK", 4)
     monkeypatch.setattr(SP, "DIRECT_BYTES", 0)
-    blocks = SP.fit_sparse(rows, index.width, 1.0)
-    assert np.allclose(direct.level, blocks.level, atol=1e-7) and np.allclose(direct.numeric, blocks.numeric, atol=1e-7)
+    blocks = SP._Rows(rows, 2, index.width, "log")
+    for a, b in zip(want, [*blocks.point(w), blocks.product(w, v)]):
+        assert np.allclose(a, b)
+
+
+def test_models_over_many_levels_predict_the_same(spark, monkeypatch):
+    df, _ = coded(spark)
+    rows = df.select("id", "a", "b", F.col("x")[0].alias("x0"), F.when(F.col("id") % 11 > 0, F.col("x")[1]).alias("x1"), "label")
+    train, test = rows.where("id < 300"), rows.where("id >= 300")
+    for name in ("logistic_regression", "linear_svm"):
+        spec = next(m for m in MD.MODEL_SPECS if m.name == name)
+        want = {r.id: (r.p, r.pred) for r in MD.fit_predict(spec, train, test, ["x0", "x1"], ["a", "b"], "label", "id").collect()}
+        with monkeypatch.context() as m:
+            m.setattr(MD, "DENSE_LEVELS", 0)
+            got = {r.id: (r.p, r.pred) for r in MD.fit_predict(spec, train, test, ["x0", "x1"], ["a", "b"], "label", "id").collect()}
+        assert got.keys() == want.keys()
+        for k, (p, pred) in want.items():
+            assert got[k][1] == pred and (p is None or got[k][0] == pytest.approx(p, abs=1e-5))
 
 
 def test_a_hundred_thousand_levels(spark):
-    n = 300_000
+    n = 200_000
     noise = F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000
     df = spark.range(n).select(
         F.concat(F.lit("k"), F.pmod(F.col("id") * 7919, F.lit(100_000)).cast("string")).alias("a"), F.array(noise).alias("x"),

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import SEED, SILHOUETTE_SAMPLE
+from ..functions.tails import chi_square_tail
 from .splits import seeded_sample
 
 
@@ -78,16 +79,9 @@ def _chi_finish(e: DataFrame, dims: DataFrame) -> DataFrame:
                       F.sqrt(F.col("chi2") / (F.col("N") * F.lit(max(k, 1)))).alias("cramers_v"))
 
 
-def chi_square_pvalue(df: DataFrame, a: str, b: str) -> float:
-    """p-value of the chi-square test through MLlib's ChiSquareTest."""
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-    from pyspark.ml.stat import ChiSquareTest
-
-    d = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    d = StringIndexer(inputCol=a, outputCol="_ai").fit(d).transform(d)
-    d = StringIndexer(inputCol=b, outputCol="_bi").fit(d).transform(d)
-    d = VectorAssembler(inputCols=["_ai"], outputCol="_v").transform(d)
-    return float(ChiSquareTest.test(d, "_v", "_bi").first()["pValues"][0])
+def with_p_value(test: DataFrame) -> DataFrame:
+    """Add the p-value of a ``chi_square`` result."""
+    return test.withColumn("p_value", chi_square_tail(F.col("chi2"), F.col("dof")))
 
 
 def silhouette(df: DataFrame, cols: Sequence[str], label: str, key: str, n: int = SILHOUETTE_SAMPLE,

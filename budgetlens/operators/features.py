@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..constants import WINSOR_Q
 from ..functions.columns import clip, count_if, flag
 from ..functions.quantiles import quantile_map
+from .gram import pair_correlations
 
 
 def fill_unknown(cols: Sequence[str], level: str = "Unknown") -> list:
@@ -124,7 +125,7 @@ def one_hot(c: str, levels: Sequence[str]) -> list:
 def vif(df: DataFrame, cols: Sequence[str]) -> list[tuple[str, float]]:
     """Variance inflation factors from the correlation matrix (J7); constant columns have none and are left out.
 
-    The p x p correlation matrix is one distributed aggregation; its inverse is a
+    The p x p correlation matrix is one Gram aggregate (``gram``); its inverse is a
     p x p driver computation (p is the feature count, not the row count).
     Exactly dependent columns (rank deficiency) get ``inf``.
     """
@@ -132,11 +133,8 @@ def vif(df: DataFrame, cols: Sequence[str]) -> list[tuple[str, float]]:
     p = len(cols)
     if p == 0:
         return []
-    pairs = [(i, j) for i in range(p) for j in range(i + 1, p)]
-    row = df.agg(F.count("*"), *[F.corr(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
-    r = np.eye(p)
-    for i, j in pairs:
-        r[i, j] = r[j, i] = row[f"c{i}_{j}"]
+    r = pair_correlations(df, cols)
+    np.fill_diagonal(r, 1.0)
     w, v = np.linalg.eigh(r)
     tol = 1e-10 * max(1.0, float(np.max(np.abs(w))))
     dependent = np.zeros(p, dtype=bool)

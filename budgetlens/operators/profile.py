@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import adj_skew, flag, rate_if
 from ..functions.quantiles import exact_quantiles, quantile_wide
+from .gram import pair_correlations
 
 
 def _unpivot_stats(row_df: DataFrame, cols: Sequence[str], stats: Sequence[str]) -> DataFrame:
@@ -158,16 +160,10 @@ def corr_with(df: DataFrame, cols: Sequence[str], x: str) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Long correlation matrix ``(a, b, r)`` from p(p+1)/2 correlations in one scan."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    structs = []
-    for i, (a, b) in enumerate(pairs):
-        r = F.lit(1.0) if a == b else F.col(f"c{i}")
-        structs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")))
-        if a != b:
-            structs.append(F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), F.col(f"c{i}").alias("r")))
-    return row.select(F.inline(F.array(*structs)))
+    """Long correlation matrix ``(a, b, r)`` from one Gram aggregate (E17); null where a pair has no correlation."""
+    r = pair_correlations(df, cols)
+    rows = [(a, b, 1.0 if i == j else None if np.isnan(r[i, j]) else float(r[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def offdiag_summary(corr_long: DataFrame) -> DataFrame:

@@ -49,22 +49,26 @@ def n06_ari_persona_area(spark, sf):
     return rounded(C.adjusted_rand(personas(spark, sf).filter(F.col("area").isNotNull()), "persona", "area"))
 
 
-@register("n07_chi_square_persona_target", sql=with_units(rsql("""
-    WITH cells AS (SELECT persona, target, count(*) * 1.0 AS o FROM pt GROUP BY persona, target),
+_CHI = """WITH cells AS (SELECT persona, target, count(*) * 1.0 AS o FROM pt GROUP BY persona, target),
       e AS (SELECT *, sum(o) OVER (PARTITION BY persona) * sum(o) OVER (PARTITION BY target) / sum(o) OVER () AS e,
                   sum(o) OVER () AS N FROM cells),
       d AS (SELECT count(DISTINCT persona) AS r, count(DISTINCT target) AS c FROM cells),
-      s AS (SELECT sum((o - e) * (o - e) / e) + (any_value(N) - sum(e)) AS chi2, any_value(N) AS N FROM e)
-    SELECT chi2, CAST((r - 1) * (c - 1) AS INTEGER) AS dof, sqrt(chi2 / (N * greatest(least(r, c) - 1, 1))) AS cramers_v
-    FROM s, d""", r6="chi2 cramers_v"), _PERSONA))
+      s AS (SELECT sum((o - e) * (o - e) / e) + (any_value(N) - sum(e)) AS chi2, any_value(N) AS N FROM e),
+      t AS (SELECT chi2, CAST((r - 1) * (c - 1) AS INTEGER) AS dof, sqrt(chi2 / (N * greatest(least(r, c) - 1, 1))) AS cramers_v FROM s, d)
+    """
+
+
+@register("n07_chi_square_persona_target", sql=with_units(rsql(_CHI + "SELECT * FROM t", r6="chi2 cramers_v"), _PERSONA))
 def n07_chi_square_persona_target(spark, sf):
     return rounded(C.chi_square(personas(spark, sf), "persona", "target"))
 
 
-@register("n07_chi_square_pvalue")
+# the oracle adds up the lower tail's infinite series, far beyond its largest term; the Spark column is the upper tail's finite one
+@register("n07_chi_square_pvalue", sql=with_units(rsql(_CHI + """SELECT t.*, CASE WHEN chi2 <= 0 OR dof <= 0 THEN 1.0 ELSE greatest(0, 1 - (
+        SELECT sum(exp((k + dof / 2.0) * ln(chi2 / 2) - chi2 / 2 - lgamma(k + dof / 2.0 + 1))) FROM range(CAST(2000 + 2 * chi2 AS BIGINT)) r(k))) END AS p_value FROM t""",
+    r6="chi2 cramers_v p_value"), _PERSONA))
 def n07_chi_square_pvalue(spark, sf):
-    p = C.chi_square_pvalue(personas(spark, sf).withColumn("t", F.col("target").cast("string")), "persona", "t")
-    return rounded(C.chi_square(personas(spark, sf), "persona", "target").withColumn("p_value", F.lit(p)))
+    return rounded(C.with_p_value(C.chi_square(personas(spark, sf), "persona", "target")))
 
 
 @register("n05_persona_profile", sql=with_units(rsql(

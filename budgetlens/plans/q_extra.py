@@ -146,7 +146,7 @@ _persona_query("n05_kmeans_area_composition", lambda spark, sf, u, flags, m: P.c
 _persona_query("n05_kmeans_occupation_composition", lambda spark, sf, u, flags, m: P.crosstab(u, "persona", "occupation", normalize=True))
 _persona_query("n06_kmeans_ari_zero_pattern", lambda spark, sf, u, flags, m: C.adjusted_rand(u.withColumn("pattern", SX.zero_pattern_key(_core(spark, sf), "pattern")), "persona", "pattern"))
 _persona_query("n06_kmeans_ari_income", lambda spark, sf, u, flags, m: C.adjusted_rand(with_quantile_bins(u, "income", m.k, "band"), "persona", "band"))
-_persona_query("n07_kmeans_chi_square", lambda spark, sf, u, flags, m: C.chi_square(u, "persona", "target"))
+_persona_query("n07_kmeans_chi_square", lambda spark, sf, u, flags, m: C.with_p_value(C.chi_square(u, "persona", "target")))
 _persona_query("n08_kmeans_spread_within_decile", lambda spark, sf, u, flags, m: P.stratified_spread(with_quantile_bins(u, "income", 10, "decile"), "decile", "persona", "target"))
 
 

@@ -1,27 +1,29 @@
 """Exact quantiles (linear interpolation, as pandas / numpy / DuckDB ``quantile_cont``).
 
 Spark's exact ``percentile`` merges a value->count map of the whole group in one
-task, which does not survive a group with billions of distinct values. Here the
-exact answer is found in three distributed steps:
-
-1. one aggregation per group and column: ``count`` and an ``approx_percentile``
-   bracket ``[lo, hi]`` around every target rank (rank error <= n / accuracy);
-2. one aggregation of the rows joined to their brackets, keyed by
-   ``(group, column, prob, class, value)`` where rows below / above the bracket
-   collapse to a single counter (map-side partial aggregation does the work);
-   only the values inside a bracket survive as distinct keys;
-3. a window per ``(group, column, prob)`` over those bracket values - bounded
-   by about ``4 n / accuracy`` rows - that picks the values at ranks
-   ``floor(p (n-1))`` and ``ceil(p (n-1))`` and interpolates.
-
-If a bracket misses its rank (the sketch's bound is probabilistic in practice),
-the brackets are widened fourfold and the run repeated, until none misses. Bracket
-tables (groups x columns x probs) are broadcast only when their counted rows fit the
-session's broadcast threshold. A hot value shared by a third of the rows is one key in step 2.
+task, which does not survive a group with billions of distinct values. Here every
+rank is selected in rounds, all groups, columns and probabilities at once:
+
+1. one aggregation counts the values of each group and column; each probability
+   becomes a target: two ranks and a bracket ``[lo, hi]``, at first without borders;
+2. while a bracket may hold more than MOST values between its borders, one aggregation
+   counts what lies below, at, between and above its borders and sketches what lies
+   between; the bracket shrinks to the sketch's cells around its ranks. If the sketch
+   misled (counts are exact, so this is seen in the next round), the search goes on in
+   the verified rest beside it. Every round shrinks the verified bracket;
+3. one aggregation collapses the rows below and above a bracket to a counter each and
+   the rest to one row a value; a window over those rows, at most MOST of them and the
+   borders at any size of the data, picks the values at ranks ``floor(p (n-1))`` and
+   ``ceil(p (n-1))`` and interpolates.
+
+Targets that share a bracket share its counts and its window. Bracket tables (groups x
+columns x probs) are broadcast only when their counted rows fit the session's broadcast
+threshold. A hot value is one row of a window, however many rows share it.
 """
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 DEFAULT_ACCURACY = 10_000
+MOST = 100_000  # values between the borders of a bracket that one window may sort; at least 4, so that a round's four cells or so are less than all
 ROW_BYTES = 16 * 12  # an unsafe row of a bracket: keys, ranks and borders
 
 
@@ -39,28 +42,45 @@ def to_long(df: DataFrame, value_cols: Sequence[str], group_cols: Sequence[str]
     return df.select(*group_cols, F.inline(arr)).filter(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
-def _brackets(long: DataFrame, keys: list[str], probs: Sequence[float], accuracy: int, eps: float) -> DataFrame:
-    lo_p = [max(0.0, p - eps) for p in probs]
-    hi_p = [min(1.0, p + eps) for p in probs]
-    aggs = [F.count("v").alias("n")]
-    aggs.append(F.percentile_approx("v", lo_p + hi_p, accuracy).alias("br"))
-    st = long.groupBy(*keys).agg(*aggs)
+def _targets(long: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
+    """One row a key and probability: ranks, an open bracket, and ``inner``, a bound on the values between its borders."""
     rows = []
     for j, p in enumerate(probs):
         pos = (F.col("n") - 1) * F.lit(float(p))
-        lo, hi = F.col("br")[j], F.col("br")[len(probs) + j]
-        rows.append(
-            F.struct(
-                F.lit(j).alias("pj"),
-                F.lit(float(p)).alias("prob"),
-                F.floor(pos).cast("long").alias("r0"),
-                F.ceil(pos).cast("long").alias("r1"),
-                (pos - F.floor(pos)).alias("frac"),
-                lo.alias("lo"),
-                hi.alias("hi"),
-            )
-        )
-    return st.select(*keys, "n", F.inline(F.array(*rows)))
+        rows.append(F.struct(F.lit(j).alias("pj"), F.lit(float(p)).alias("prob"), F.floor(pos).cast("long").alias("r0"),
+                             F.ceil(pos).cast("long").alias("r1"), (pos - F.floor(pos)).alias("frac")))
+    ends = [F.lit(sign * math.inf).alias(name) for sign, name in ((-1, "lo"), (1, "hi"), (-1, "outer_lo"), (1, "outer_hi"))]
+    sizes = long.groupBy(*keys).agg(F.count("v").alias("n"))
+    return sizes.select(*keys, F.col("n").alias("inner"), F.inline(F.array(*rows))).select("*", *ends)
+
+
+def _beside(long: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame:
+    """Every value beside the brackets of its key."""
+    brackets = targets.select(*keys, "lo", "hi").distinct()
+    return long.join(F.broadcast(brackets) if _small(targets) else brackets, keys)
+
+
+def _narrow(long: DataFrame, keys: list[str], targets: DataFrame, accuracy: int) -> DataFrame:
+    """One round of step 2 for the given targets."""
+    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
+    cells = max(16, accuracy // 10)
+    between = (v > lo) & (v < hi)
+    counts = _beside(long, keys, targets).groupBy(*keys, "lo", "hi").agg(
+        F.count_if(v < lo).alias("_below"), F.count_if(v == lo).alias("_at_lo"), F.count_if(between).alias("_between"),
+        F.count_if((v == hi) & (hi > lo)).alias("_at_hi"), F.percentile_approx(F.when(between, v), [i / cells for i in range(cells + 1)], accuracy).alias("_cells"))
+    first, size = F.col("_below") + F.col("_at_lo"), F.col("_between")  # ranks before those between the borders
+    under, over = F.col("r0") < F.col("_below"), F.col("r1") >= first + size + F.col("_at_hi")
+    found = ~under & ~over & (size <= F.lit(MOST))
+    # ranks of values that equal a border lie outside the cells
+    left = F.least(F.floor((F.col("r0") - first) / size * cells) - 1, F.lit(cells)).cast("int")
+    right = F.greatest(F.ceil((F.col("r1") - first + 1) / size * cells) + 1, F.lit(0)).cast("int")
+    new_lo = F.when(under, F.col("outer_lo")).when(over, hi).when(found | (left <= 0), lo).otherwise(F.get("_cells", left))
+    new_hi = F.when(under, lo).when(over, F.col("outer_hi")).when(found | (right >= cells), hi).otherwise(F.get("_cells", right))
+    missed = under | over
+    return targets.drop("inner").join(counts, [*keys, "lo", "hi"]).select(
+        *keys, F.when(found, size).alias("inner"), "pj", "prob", "r0", "r1", "frac", new_lo.alias("lo"), new_hi.alias("hi"),
+        F.when(missed, F.when(under, F.col("outer_lo")).otherwise(hi)).otherwise(lo).alias("outer_lo"),
+        F.when(missed, F.when(under, lo).otherwise(F.col("outer_hi"))).otherwise(hi).alias("outer_hi"))
 
 
 def _small(br: DataFrame) -> bool:
@@ -69,24 +89,18 @@ def _small(br: DataFrame) -> bool:
     return br.count() * ROW_BYTES <= limit
 
 
-def _solve(long: DataFrame, keys: list[str], br: DataFrame) -> DataFrame:
-    j = long.join(F.broadcast(br) if _small(br) else br, keys)
-    cls = F.when(F.col("v") < F.col("lo"), 0).when(F.col("v") > F.col("hi"), 2).otherwise(1)
+def _solve(long: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame:
+    """Step 3: (keys, pj, prob, frac, v0, v1)."""
+    side = F.when(F.col("v") < F.col("lo"), 0).when(F.col("v") > F.col("hi"), 2).otherwise(1)
     counted = (
-        j.select(*keys, "pj", "prob", "r0", "r1", "frac", cls.alias("cls"),
-                 F.when(cls == 1, F.col("v")).alias("vv"))
-        .groupBy(*keys, "pj", "prob", "r0", "r1", "frac", "cls", "vv")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    w = Window.partitionBy(*keys, "pj").orderBy("cls", "vv").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = counted.withColumn("cum", F.sum("c").over(w)).withColumn("prev", F.col("cum") - F.col("c"))
-    hit0 = (F.col("prev") <= F.col("r0")) & (F.col("r0") < F.col("cum"))
-    hit1 = (F.col("prev") <= F.col("r1")) & (F.col("r1") < F.col("cum"))
-    return cum.groupBy(*keys, "pj", "prob", "frac").agg(
-        F.max(F.when(hit0, F.col("vv"))).alias("v0"),
-        F.max(F.when(hit1, F.col("vv"))).alias("v1"),
-        F.max(F.when(hit0 | hit1, F.col("cls") != 1).cast("int")).alias("miss"),
+        _beside(long, keys, targets).select(*keys, "lo", "hi", side.alias("_side"), F.when(side == 1, F.col("v")).alias("_v"))
+        .groupBy(*keys, "lo", "hi", "_side", "_v").agg(F.count(F.lit(1)).alias("_c"))
     )
+    w = Window.partitionBy(*keys, "lo", "hi").orderBy("_side", "_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = counted.withColumn("_cum", F.sum("_c").over(w)).withColumn("_prev", F.col("_cum") - F.col("_c"))
+    at = lambda r: (F.col("_prev") <= F.col(r)) & (F.col(r) < F.col("_cum"))
+    return cum.join(targets, [*keys, "lo", "hi"]).where(at("r0") | at("r1")).groupBy(*keys, "pj", "prob", "frac").agg(
+        F.max(F.when(at("r0"), F.col("_v"))).alias("v0"), F.max(F.when(at("r1"), F.col("_v"))).alias("v1"))
 
 
 def exact_quantiles(
@@ -98,21 +112,21 @@ def exact_quantiles(
 ) -> DataFrame:
     """Long ``(group..., column, prob, q)``: exact linear-interpolated quantiles.
 
-    Groups or columns with no non-NULL value are absent from the result.
+    Groups or columns with no non-NULL value, and rows without a group, are absent from the result.
+    ``accuracy`` is the sketch's; it bears on the number of rounds only, never on the result.
     """
     long = to_long(df, value_cols, group_cols)
     keys = [*group_cols, "column"]
     checkpoint_dir(df.sparkSession)
-    eps = 2.0 / accuracy
-    while True:
-        # both tables are small (groups x columns x probs); a reliable checkpoint leaves no cache behind
-        res = _solve(long, keys, _brackets(long, keys, probs, accuracy, eps).checkpoint()).checkpoint()
-        if eps >= 1 or res.where((F.col("miss") == 1) | F.col("v0").isNull() | F.col("v1").isNull()).isEmpty():
-            break
-        eps *= 4
-    return res.select(
-        *keys, "prob", (F.col("v0") + F.col("frac") * (F.col("v1") - F.col("v0"))).alias("q")
-    )
+    # targets are small (groups x columns x probs); reliable checkpoints leave no cache behind
+    targets = _targets(long, keys, probs).checkpoint()
+    while not (active := targets.where(F.col("inner").isNull() | (F.col("inner") > MOST))).isEmpty():
+        rest = targets.where(F.col("inner") <= MOST)
+        targets = rest.unionByName(_narrow(long, keys, active, accuracy)).checkpoint()
+    res = _solve(long, keys, targets).checkpoint()
+    # equal values need no difference: that of two infinities is not a number
+    between = F.when(F.col("v0") == F.col("v1"), F.col("v0")).otherwise(F.col("v0") + F.col("frac") * (F.col("v1") - F.col("v0")))
+    return res.select(*keys, "prob", between.alias("q"))
 
 
 def quantile_values(df: DataFrame, col: str, probs: Sequence[float], accuracy: int = DEFAULT_ACCURACY) -> list[float | None]:

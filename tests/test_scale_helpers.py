@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from budgetlens.functions import quantiles as Q
 from budgetlens.functions.quantiles import exact_quantiles, quantile_values
 from budgetlens.functions.ranking import prefix_sums, row_numbers
 
@@ -36,6 +37,24 @@ def test_grouped_quantiles_match_pandas(spark):
         assert r.q == pytest.approx(exp, abs=1e-12)
 
 
+@pytest.mark.parametrize("accuracy, most", [(10_000, 5), (20, 5)])
+def test_quantiles_by_repeated_selection(spark, monkeypatch, accuracy, most):
+    monkeypatch.setattr(Q, "MOST", most)  # brackets narrow until hardly a value is left
+    df, v, g = _frame(spark)
+    wide = df.select("g", "v", "w", F.when(F.col("v") > 2, F.lit(float("inf"))).when(F.col("v") < -2, F.lit(float("-inf"))).otherwise(F.col("v")).alias("ends"))
+    probs = [0.0, 0.01, 1 / 3, 0.5, 0.51, 0.999, 1.0]
+    rounds = []
+    narrow = Q._narrow
+    monkeypatch.setattr(Q, "_narrow", lambda *a: rounds.append(1) or narrow(*a))
+    pdf = wide.toPandas()
+    for r in exact_quantiles(wide, ["v", "w", "ends"], probs, ["g"], accuracy=accuracy).collect():
+        x = np.sort(pdf.loc[pdf.g == r.g, r.column].to_numpy())
+        a, b = x[int(np.floor(r.prob * (len(x) - 1)))], x[int(np.ceil(r.prob * (len(x) - 1)))]
+        want = a if a == b else a + (r.prob * (len(x) - 1) % 1) * (b - a)
+        assert r.q == pytest.approx(want, abs=1e-9)
+    assert 1 <= len(rounds) <= 14, rounds
+
+
 def test_quantile_ignores_nulls(spark):
     df = spark.createDataFrame([(1.0,), (None,), (3.0,), (2.0,)], "x double")
     assert quantile_values(df, "x", [0.5]) == [2.0]

@@ -115,6 +115,8 @@ def exact_quantiles(
     Groups or columns with no non-NULL value, and rows without a group, are absent from the result.
     ``accuracy`` is the sketch's; it bears on the number of rounds only, never on the result.
     """
+    if accuracy < 20 or MOST < 4:
+        raise ValueError("brackets shrink reliably from an accuracy of 20 and windows of 4 values on")
     long = to_long(df, value_cols, group_cols)
     keys = [*group_cols, "column"]
     checkpoint_dir(df.sparkSession)

@@ -1,4 +1,4 @@
-"""Correlations of all pairs of columns from one Gram aggregate.
+"""Correlations of all pairs of columns from one Gram aggregate.
 
 Tasks turn batches of rows into matrices: with zeros in place of missing values and a 0/1 mask, four matrix products hold
 the counts, sums, squares and products of every pair over the rows where both values are present. One vector a task is

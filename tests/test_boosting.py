@@ -100,3 +100,32 @@ def test_one_class_and_constant_columns(spark):
     model = B.fit(df, B.TreeSpec(rounds=3, depth=3), ["a", "b"], "y", "key")
     assert all(t.feature == [-1] for t in model.trees)
     assert all(r.p > 0.999 for r in B.predictions(df, model, ["a", "b"], "y", "key").collect())
+
+
+def test_parts_of_a_forest_are_trained_apart_and_keep_rows_of_equal_or_missing_keys(spark, monkeypatch):
+    monkeypatch.setattr(B, "FOREST_PART", 2)
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 50 == 0 else i // 2, float(a), int(a + rng.normal() * 0.5 > 0), i % 2) for i, a in enumerate(rng.normal(size=400).round(2))]
+    df = spark.createDataFrame(rows, "key long, a double, y int, fold int")
+    spec = B.TreeSpec(kind="forest", rounds=5, node_columns=1, least_rows=2)
+    assert B._parts(spec) == [[0, 1], [2, 3], [4]]
+    assert B._parts(B.TreeSpec(rounds=5)) == [list(range(5))]
+    both = [sorted((str(r.k), r.fold, r.label, round(r.p, 9)) for r in B.cross_scores(df, {"f": spec, "b": B.TreeSpec(rounds=2, depth=2)}, ["a"], "y", "key", "fold", 2, local=local).collect()) for local in (True, False)]
+    assert both[0] == both[1] and len(both[0]) == 800
+
+
+def test_written_out_bins_and_sorted_cells_give_the_same_splits():
+    rng = np.random.default_rng(4)
+    codes = np.asfortranarray(np.column_stack((rng.integers(0, 255, 3000), rng.integers(0, 2, 3000), rng.integers(0, 2, 3000), rng.integers(0, 40, 3000))).astype(np.uint8))
+    g, h = rng.normal(size=3000) + codes[:, 1], rng.random(3000) + 0.1
+    at = np.sort(rng.integers(0, 4, 3000))
+    spec = B.TreeSpec(l2=1.0, least_rows=3)
+    slots = B.node_columns(np.arange(4), spec, 0, range(4))
+    dense = B.level_splits(codes, np.arange(3000), at, slots, g, h, spec, codes.max(axis=0).astype(int) + 1)
+    cells = B.best_splits(*B.cells_of(codes, slots, at, g, h), slots, spec)
+    assert [(s[1][1:3], s[1][5], s[0][2]) for s in dense] == [(s[1][1:3], s[1][5], s[0][2]) for s in cells]
+    assert np.allclose([s[1][0] for s in dense], [s[1][0] for s in cells])
+
+
+def test_a_million_rows_of_forty_columns_are_trained_in_tasks(spark):
+    assert B.fits_tasks(spark.range(1_000_000), [f"c{i}" for i in range(40)])

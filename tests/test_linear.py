@@ -51,3 +51,24 @@ def test_probability_column(rows):
 def test_no_rows(spark, rows):
     with pytest.raises(ValueError):
         fit_linear(rows[0].limit(0), 1.0)
+
+
+def test_shared_preprocessing_and_kept_rows_give_the_same_search(spark, monkeypatch):
+    from budgetlens.operators import models as MD
+
+    rng = np.random.default_rng(5)
+    rows = [(i, float(a) if i % 9 else None, float(b), "xyz"[i % 3], int(a + b + rng.normal() > 0), i % 5) for i, (a, b) in enumerate(rng.normal(size=(200, 2)))]
+    df = spark.createDataFrame(rows, "unit_id long, a double, b double, c string, target int, fold int").cache()
+    spec = MD.ModelSpec("lr", "lr", {}, balanced=True)
+    args = (["a", "b"], ["c"], "target", "unit_id")
+    calls, fit = [], MD.fit_preprocessor
+    monkeypatch.setattr(MD, "fit_preprocessor", lambda *a, **k: calls.append(1) or fit(*a, **k))
+    got = {r.C: r.mean_f1 for r in MD.random_search(df, spec, {"C": [0.01, 1.0]}, 2, *args).collect()}
+    assert len(calls) == 5  # one a fold, not one a fold and draw
+    for c, f1 in got.items():
+        alone = MD.cross_validate(df, MD.ModelSpec("lr", "lr", {"C": c}, balanced=True), *args)
+        assert abs(np.mean([r.f1_macro for r in alone.collect()]) - f1) < 1e-12
+    pres = MD.fold_preprocessors(df, ["a", "b"], ["c"], "robust")
+    for num, cat in ((["b"], []), (["a", "b"], ["c"])):
+        one, two = (sorted(MD.cross_validate(df, spec, num, cat, "target", "unit_id", pres=p).collect()) for p in (None, pres))
+        assert one == two

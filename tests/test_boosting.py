@@ -129,3 +129,47 @@ def test_written_out_bins_and_sorted_cells_give_the_same_splits():
 
 def test_a_million_rows_of_forty_columns_are_trained_in_tasks(spark):
     assert B.fits_tasks(spark.range(1_000_000), [f"c{i}" for i in range(40)])
+
+
+def test_columns_of_few_bins_share_a_byte_and_the_larger_sibling_is_not_read(monkeypatch):
+    rng = np.random.default_rng(6)
+    codes = np.asfortranarray(np.column_stack([rng.integers(0, 200, 4000), *(rng.integers(0, 2, 4000) for _ in range(9)), rng.integers(0, 5, 4000)]).astype(np.uint8))
+    y = (codes[:, 0] / 200 + codes[:, 3] * codes[:, 10] / 5 + rng.random(4000) > 1.2).astype(float)
+    lay = B.layout(codes.max(axis=0).astype(int) + 1)
+    assert lay.wide == [0] and len(lay.packs) == 2 and sorted(lay.narrow) == list(range(1, 11))
+    read, add = [], B.bin_sums
+    monkeypatch.setattr(B, "bin_sums", lambda arrays, rows, *a, **k: read.append(len(rows) * len(arrays)) or add(arrays, rows, *a, **k))
+    spec = B.TreeSpec(rounds=2, depth=4, l2=1.0, least_hessian=1.0)
+    model = B.train(codes, y, np.arange(4000), None, spec)
+    assert sum(read) <= 2 * 4000 * 3 * (1 + 3 / 2)
+    margin = np.full(4000, np.log(y.mean() / (1 - y.mean())))
+    for _ in range(2):
+        p = 1 / (1 + np.exp(-margin))
+        margin += 0.1 * plain_tree(codes.astype(int), p - y, p * (1 - p), 4, 1.0, 1.0)
+    assert np.allclose(model.margin(codes), margin, atol=1e-9)
+
+
+def test_forests_leave_pure_nodes_alone_and_count_classes_exactly():
+    rng = np.random.default_rng(7)
+    codes, y, ids = np.asfortranarray(rng.integers(0, 30, (500, 4)).astype(np.uint8)), (rng.random(500) < 0.3).astype(float), np.arange(500)
+    spec = B.TreeSpec(kind="forest", rounds=1, node_columns=2, least_rows=2, balanced=True)
+    tree = B.train(codes, y, ids, None, spec).trees[0]
+    weights = B.class_weights(y, spec) * B.row_weights(ids, spec, 0)
+    at = tree.routed(codes)
+    for v in set(at[weights > 0].tolist()):
+        on = at == v
+        assert np.allclose(tree.sums[v][:2], (-(y * weights)[on].sum(), weights[on].sum()), atol=1e-9)
+    growing = B.grower(B.Tree(), spec)
+    assert next(growing) == [0]
+    with pytest.raises(StopIteration):  # both children hold one class
+        growing.send({0: ((-5.0, 10.0, 10), (5.0, 0, 3, -5.0, 5.0, 5))})
+
+
+def test_sums_added_up_by_the_driver_and_by_a_shuffle_give_the_same_models(data, monkeypatch):
+    specs = {k: v for k, v in SPECS.items() if k != "forest"}
+    both = []
+    for limit in (B.DIRECT_BYTES, 0):
+        monkeypatch.setattr(B, "DIRECT_BYTES", limit)
+        out = B.cross_scores(data, specs, COLUMNS, "y", "key", "fold", 3, local=False)
+        both.append({(r.model, r.k): round(r.p, 9) for r in out.collect()})
+    assert both[0] == both[1] and len(both[0]) == 2 * 1000

@@ -96,3 +96,22 @@ def test_hot_value_is_one_window_row_a_bucket(spark):
     out = prefix_sums(agg, ["v"], ["c"], buckets=8).toPandas().sort_values("v")
     values, counts = np.unique(v, return_counts=True)
     assert (out.cum_c.values == np.cumsum(counts)).all() and len(out) == len(values)
+
+
+def test_quantiles_without_groups_take_two_passes_and_fall_back_on_misleading_brackets(spark, monkeypatch):
+    from budgetlens.functions import quantiles as Q
+
+    rng = np.random.default_rng(12)
+    cols = {"a": rng.normal(size=5000), "b": np.where(rng.random(5000) < 0.3, 7.0, rng.random(5000)), "c": np.where(rng.random(5000) < 0.1, np.inf, rng.integers(0, 9, 5000)), "d": np.zeros(5000)}
+    rows = [[None if (i + j) % 11 == 0 else float("nan") if (i + j) % 13 == 0 else float(v) for j, v in enumerate(r)] for i, r in enumerate(zip(*cols.values()))]
+    df = spark.createDataFrame([(*r, None) for r in rows], "a double, b double, c double, d double, e double").repartition(5)
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    rounds = []
+    monkeypatch.setattr(Q, "_in_rounds", lambda *a, old=Q._in_rounds: rounds.append(1) or old(*a))
+    fast = Q.quantile_map(df, [*cols, "e"], probs)
+    assert not rounds and len(fast) == 4 * len(probs)
+    monkeypatch.setattr(Q, "_sketched", lambda *a, old=Q._sketched: [(j, i, n, lo + 0.5, hi + 0.5) for j, i, n, lo, hi in old(*a)])
+    assert Q.quantile_map(df, [*cols, "e"], probs) == fast and len(rounds) == 1
+    for j, c in enumerate(cols):
+        kept = np.array([r[j] for r in rows if r[j] is not None and r[j] == r[j]])
+        assert fast[(c, 0.25)] == pytest.approx(np.quantile(kept, 0.25))

@@ -72,3 +72,19 @@ def test_shared_preprocessing_and_kept_rows_give_the_same_search(spark, monkeypa
     for num, cat in ((["b"], []), (["a", "b"], ["c"])):
         one, two = (sorted(MD.cross_validate(df, spec, num, cat, "target", "unit_id", pres=p).collect()) for p in (None, pres))
         assert one == two
+
+
+def test_all_c_share_their_passes_and_slots_give_the_same_sums(rows, monkeypatch):
+    from budgetlens.operators import linear as L
+
+    df, x, y, s = rows
+    calls, run = [], L._pass
+    monkeypatch.setattr(L, "_pass", lambda *a: calls.append(len(a[2])) or run(*a))
+    cs = [0.01, 1.0, 100.0]
+    together = L.fit_linear_each(df, cs, weight="w")
+    shared = len(calls)
+    alone = [fit_linear(df, c, weight="w") for c in cs]
+    assert calls[0] == 3 and shared < len(calls) - shared
+    monkeypatch.setattr(L, "DIRECT_BYTES", 0)
+    for one, two, three in zip(together, alone, L.fit_linear_each(df, cs, weight="w"), strict=True):
+        assert np.allclose(one.coef, two.coef, atol=1e-9) and np.allclose(one.coef, three.coef, atol=1e-9)

@@ -22,6 +22,8 @@ from .boosting import uniform
 from .features import fit_standard_scaler, scaled
 
 TOLERANCE = 1e-4
+BLOCK_ROWS = 1 << 11
+DIRECT_BYTES = 1 << 24  # sums of all tasks that the driver adds up
 
 
 @dataclass(frozen=True)
@@ -47,9 +49,12 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
             yield b.column(0).to_numpy(), x
 
 
-def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Squared distances, rows x centres."""
-    return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)[None, :], 0.0)
+def distances(x: np.ndarray, centres: np.ndarray, norm: np.ndarray | None = None) -> np.ndarray:
+    """Squared distances, rows x centres; ``norm``: the rows' squared norms, if known."""
+    out = x @ (-2 * centres.T)
+    out += ((x * x).sum(axis=1) if norm is None else norm)[:, None]
+    out += (centres * centres).sum(axis=1)
+    return np.maximum(out, 0.0, out=out)
 
 
 _DRAW = T.StructType([T.StructField("s", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("id", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
@@ -86,8 +91,8 @@ _PART = T.StructType([T.StructField("m", T.IntegerType()), T.StructField("part",
 _ARROW_PART = pa.schema([("m", pa.int32()), ("part", pa.binary())])
 
 
-def _added(rows: DataFrame, parts) -> dict[int, np.ndarray]:
-    """Sums by model of what ``parts(x)`` yields as (model, flat array) for each batch of rows."""
+def _added(rows: DataFrame, parts, size: int) -> dict[int, np.ndarray]:
+    """Sums by model of what ``parts(x)`` yields as (model, flat array) for each batch of rows; ``size``: numbers that a task sends."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for _, x in _batches(batches):
@@ -102,16 +107,36 @@ def _added(rows: DataFrame, parts) -> dict[int, np.ndarray]:
                 total[m] = total.get(m, 0) + np.frombuffer(part)
         yield pa.RecordBatch.from_pylist([{"m": m, "part": v.tobytes()} for m, v in total.items()], schema=_ARROW_PART)
 
-    found = rows.mapInArrow(add, _PART).repartition("m").mapInArrow(join, _PART).collect()  # one row a model
-    return {r.m: np.frombuffer(r.part) for r in found}
-
-
-def _sums(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """(cost, rows, column sums) of each centre, flat."""
-    d = distances(x, centres)
-    to = d.argmin(axis=1)
-    one = (to[:, None] == np.arange(len(centres))).astype(float)
-    return np.column_stack((one.T @ d[np.arange(len(x)), to], one.sum(axis=0), one.T @ x)).ravel()
+    found = rows.mapInArrow(add, _PART)
+    if rows.rdd.getNumPartitions() * size * 8 > DIRECT_BYTES:
+        found = found.repartition("m").mapInArrow(join, _PART)
+    total: dict[int, np.ndarray] = {}
+    for r in found.collect():  # DIRECT_BYTES, or one row a model
+        total[r.m] = total.get(r.m, 0) + np.frombuffer(r.part)
+    return total
+
+
+def _sums(x: np.ndarray, centres: np.ndarray, norm: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """(cost, rows, column sums) of each centre, flat; ``ones``: the rows after a column of ones."""
+    d = (-2 * centres) @ x.T  # centres x rows: the few centres are compared by whole rows
+    d += norm
+    d += (centres * centres).sum(axis=1)[:, None]
+    np.maximum(d, 0.0, out=d)
+    least = d.min(axis=0)
+    own = d == least
+    if np.count_nonzero(own) > len(x):  # ties go to the first centre
+        own = np.arange(len(centres))[:, None] == own.argmax(axis=0)
+    own = own.astype(float)
+    return np.column_stack((own @ least, own @ ones)).ravel()
+
+
+def _parts(x: np.ndarray, now: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """``_sums`` of every model over blocks of rows that stay in a core's cache."""
+    for a in range(0, len(x), BLOCK_ROWS):
+        some = x[a : a + BLOCK_ROWS]
+        norm, ones = (some * some).sum(axis=1), np.column_stack((np.ones(len(some)), some))
+        for m, c in now.items():
+            yield m, _sums(some, c, norm, ones)
 
 
 def lloyd(rows: DataFrame, models: list[np.ndarray]) -> list[tuple[np.ndarray, float]]:
@@ -120,7 +145,7 @@ def lloyd(rows: DataFrame, models: list[np.ndarray]) -> list[tuple[np.ndarray, f
     d = models[0].shape[1]
     while moving:
         now = {m: centres[m] for m in moving}
-        found = _added(rows, lambda x: ((m, _sums(x, c)) for m, c in now.items()))
+        found = _added(rows, lambda x: _parts(x, now), sum(len(c) for c in now.values()) * (d + 2))
         for m in list(moving):
             part = found[m].reshape(len(centres[m]), d + 2)
             new = np.where(part[:, 1:2] > 0, part[:, 2:] / np.maximum(part[:, 1:2], 1), centres[m])
@@ -143,7 +168,7 @@ def silhouettes(rows: DataFrame, models: list[np.ndarray]) -> list[float]:
             one = (distances(x, c).argmin(axis=1)[:, None] == np.arange(len(c))).astype(float)
             yield m, np.column_stack((one.sum(axis=0), one.T @ (x * x).sum(axis=1), one.T @ x)).ravel()
 
-    known = {m: v.reshape(len(models[m]), d + 2) for m, v in _added(rows, stats).items()}
+    known = {m: v.reshape(len(models[m]), d + 2) for m, v in _added(rows, stats, sum(len(c) for c in models) * (d + 2)).items()}
 
     def scores(x: np.ndarray):
         norm = (x * x).sum(axis=1)
@@ -161,7 +186,7 @@ def silhouettes(rows: DataFrame, models: list[np.ndarray]) -> list[float]:
             score = np.where((n[own] > 1) & np.isfinite(outside) & (most > 0), (outside - inside) / np.where(most > 0, most, 1), 0.0)
             yield m, np.array([score.sum(), float(len(x))])
 
-    found = _added(rows, scores)
+    found = _added(rows, scores, 2 * len(models))
     return [float(found[m][0] / found[m][1]) for m in range(len(models))]
 
 

@@ -57,3 +57,24 @@ def test_one_distinct_row_and_no_rows(spark):
     assert fit.inertia == 0 and fit.silhouette == 0
     with pytest.raises(ValueError):
         K.seeds(K.standardised(df.where("key < 0").withColumn("a", F.lit(1.0)), ["a", "b"], "key"), 2, 2)
+
+
+def test_block_sums_equal_a_plain_assignment_with_ties_to_the_first(monkeypatch):
+    monkeypatch.setattr(K, "BLOCK_ROWS", 7)
+    x = np.random.default_rng(2).integers(-2, 3, (40, 3)).astype(float)
+    centres = np.array([[1.0, 0, 0], [-1.0, 0, 0], [1.0, 0, 0], [50.0, 0, 0]])
+    got = sum(part for _, part in K._parts(x, {0: centres})).reshape(4, 5)
+    d = ((x[:, None] - centres) ** 2).sum(axis=2)
+    to = d.argmin(axis=1)
+    for k in range(4):
+        assert np.allclose(got[k], [d[to == k, k].sum(), (to == k).sum(), *x[to == k].sum(axis=0)])
+
+
+def test_sums_beyond_the_direct_bound_meet_in_a_shuffle(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(50)], "id long, x array<double>").repartition(4)
+    models = [np.array([[0.0, 1.0], [2.0, 1.0]]), np.array([[1.0, 1.0]])]
+    both = []
+    for limit in (K.DIRECT_BYTES, 0):
+        monkeypatch.setattr(K, "DIRECT_BYTES", limit)
+        both.append([(c.tolist(), cost) for c, cost in K.lloyd(rows, models)])
+    assert all(np.allclose(a[0], b[0]) and np.isclose(a[1], b[1]) for a, b in zip(*both, strict=True))

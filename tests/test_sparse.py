@@ -106,3 +106,26 @@ def test_a_hundred_thousand_levels(spark):
     slopes = model.margin(rows).select(F.col("levels")[0].alias("idx"), (F.col("label") - p).alias("r")).groupBy("idx").agg(F.sum("r").alias("r"))
     off = model.level_weights(index).join(slopes, "idx").agg(F.max(F.abs(F.col("weight") - F.col("r"))).alias("off"), F.count("*").alias("n")).first()
     assert off.n == 100_000 and off.off < 1e-3
+
+
+def test_rows_of_one_task_are_dealt_out_and_shared_by_all_models(spark, monkeypatch):
+    df, _ = coded(spark)
+    index = SP.index_levels(df, ["a", "b"])
+    rows = SP.encode(df, index).coalesce(1).cache()
+    flat = rows.select("x", "levels", (F.col("label") * 2.0 - 1).alias("y"), F.lit(1.0).alias("s"))
+    want = SP.fit_sparse(rows, index.width, 1.0)
+    kept, w = SP._Rows(flat, 2, index.width, "log"), np.random.default_rng(3).normal(size=2 + index.width + 1)
+    assert kept.tasks >= spark.sparkContext.defaultParallelism  # a pass used to run in the one task of the scan
+    with monkeypatch.context() as m:
+        m.setattr(SP, "PART_BYTES", 1 << 7)
+        m.setattr(SP, "DIRECT_BYTES", 0)
+        m.setattr(SP, "BLOCK", 4)
+        many = SP._Rows(flat, 2, index.width, "log")
+        assert many.tasks > 64
+        for a, b in zip(kept.point(w), many.point(w)):
+            assert np.allclose(a, b)
+    packs, real = [], SP._blocks
+    monkeypatch.setattr(SP, "_blocks", lambda *a: packs.append(1) or real(*a))
+    both = SP.fit_sparse_each(rows, index.width, [(1.0, "log"), (0.5, "squared hinge")])
+    assert len(packs) == 1 and both[1].gradient <= TOLERANCE
+    assert np.allclose(want.level, both[0].level, atol=1e-6) and np.allclose(want.numeric, both[0].numeric, atol=1e-6)

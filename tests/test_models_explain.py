@@ -131,3 +131,20 @@ def test_pr_curve_matches_manual(spark, name):
     assert row.precision == pytest.approx(2 / 3) and row.recall == pytest.approx(0.5)
     end = curve[curve.threshold.isna()].iloc[0]
     assert (end.precision, end.recall) == (1.0, 0.0)
+
+
+def test_rows_that_pass_the_same_tests_are_explained_once(monkeypatch):
+    rng = np.random.default_rng(2)
+    codes = rng.integers(0, 3, (3000, 4)).astype(np.uint8)
+    y = ((codes[:, 0] > 1) ^ (codes[:, 2] > 0) ^ (rng.random(3000) < 0.1)).astype(float)
+    model = B.train(codes, y, np.arange(3000), B.Bins([np.array([0.0, 1.0])] * 4, [0.0] * 4), B.TreeSpec(rounds=6, depth=3))
+    tables, read, parts = TS.path_tables(model), [], TS._parts
+    with monkeypatch.context() as m:
+        m.setattr(TS, "_parts", lambda c, t: read.append(len(c)) or parts(c, t))
+        phi, both = TS.shap_values(codes, tables, 4), TS.interaction_values(codes, tables, 4)
+        assert sum(read) <= 2 * 2 * 3**4 * len(tables)  # all 3,000 rows a tree before
+    monkeypatch.setattr(TS, "TESTS", 0)  # every row by itself
+    assert np.allclose(phi, TS.shap_values(codes, tables, 4), atol=1e-12) and np.allclose(both, TS.interaction_values(codes, tables, 4), atol=1e-12)
+    assert np.allclose(both.sum(axis=2), phi, atol=1e-12)
+    assert np.allclose(phi.sum(axis=1) + TS.bias(model, tables), model.margin(codes), atol=1e-10)
+    assert TS.shap_values(codes[:0], tables, 4).shape == (0, 4)

@@ -173,3 +173,58 @@ def test_sums_added_up_by_the_driver_and_by_a_shuffle_give_the_same_models(data,
         out = B.cross_scores(data, specs, COLUMNS, "y", "key", "fold", 3, local=False)
         both.append({(r.model, r.k): round(r.p, 9) for r in out.collect()})
     assert both[0] == both[1] and len(both[0]) == 2 * 1000
+
+
+def test_bins_are_exact_quantiles_outside_each_fold_in_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(B, "SUMMARY_CELLS", 600)  # several summaries in a task
+    rng = np.random.default_rng(9)
+    n = 3000
+    a, b = rng.normal(size=n), rng.integers(0, 3, n).astype(float)
+    rows = [(None if i % 7 == 0 else float(a[i]), float("nan") if i % 11 == 0 else float(b[i]), None, None if i % 13 == 0 else i % 3) for i in range(n)]
+    df = spark.createDataFrame(rows, "`a.b` double, b double, c double, fold int").repartition(3)
+    found, fold = B.fit_bins(df, ["a.b", "b", "c"], "fold", [0, 1, 2]), np.array([-1 if r[3] is None else r[3] for r in rows])
+    for f, bins in found.items():
+        for j in range(2):
+            x = np.sort([r[j] for r, of in zip(rows, fold, strict=True) if of not in (-1, f) and r[j] is not None])
+            want = x[np.ceil(np.array([k / B.BINS for k in range(1, B.BINS)]) * len(x)).astype(int) - 1]
+            assert np.array_equal(bins.edges[j], np.unique(want), equal_nan=True) and bins.fill[j] == want[127]
+        assert bins.edges[2].tolist() == [0.0]
+    whole = B.fit_bins(df, ["b"], None, [None])[None]
+    assert np.array_equal(whole.edges[0], [0, 1, 2, np.nan], equal_nan=True)
+
+
+def test_summaries_keep_ranks_and_stay_small(monkeypatch):
+    monkeypatch.setattr(B, "SUMMARY", 100)
+    x = np.random.default_rng(10).normal(size=5000)
+    value, rows = B._summary(x)
+    assert len(value) == 100 and rows.sum() == 5000 and value[-1] == x.max()
+    assert all(abs((x <= v).sum() - upto) == 0 for v, upto in zip(value, np.cumsum(rows), strict=True)) and rows.max() <= 2 * 5000 / 100
+    again, both = B._summary(np.concatenate((value, value)), np.concatenate((rows, rows)))
+    assert np.array_equal(again, value) and np.array_equal(both, 2 * rows)
+
+
+def test_rows_reach_the_tasks_once_with_bins_of_every_fold(data):
+    bins = B.fit_bins(data, COLUMNS, "fold", [0, 1, 2])
+    local = B._collected(B._frame(data, COLUMNS, "y", "key", "fold"), bins)
+    x = {str(r.key): [np.nan if r[c] is None else r[c] for c in COLUMNS] for r in data.collect()}
+    rows = np.array([x[k] for k in local.keys.to_pylist()], float)
+    at = np.arange(0, 1000, 3)
+    for f, own in bins.items():
+        assert np.array_equal(local.under(f, at), own.codes(rows[at]))
+
+
+def test_large_nodes_are_added_up_by_several_arrays_at_once(monkeypatch):
+    rng = np.random.default_rng(11)
+    codes = np.asfortranarray(np.column_stack([rng.integers(0, 250, 6000), rng.integers(0, 200, 6000), rng.integers(0, 30, 6000), *(rng.integers(0, 2, 6000) for _ in range(9))]).astype(np.uint8))
+    y = (codes[:, 0] / 250 + codes[:, 4] * codes[:, 2] / 30 + rng.random(6000) > 1.2).astype(float)
+    for spec in (B.TreeSpec(rounds=3, depth=4, l2=1.0, row_share=0.8, column_share=0.7), B.TreeSpec(rounds=2, leaves=9, least_rows=20), B.TreeSpec(kind="tree", rounds=1, depth=5, balanced=True)):
+        both = []
+        for limit in (1 << 15, 500):
+            monkeypatch.setattr(B, "JOINT_ROWS", limit)
+            both.append(B.train(codes, y, np.arange(6000), None, spec).trees)
+        for one, two in zip(*both, strict=True):
+            assert (one.feature, one.cut, one.left) == (two.feature, two.cut, two.left) and np.allclose(one.sums, two.sums)
+            used = B.row_weights(np.arange(6000), spec, both[0].index(one)) > 0
+            assert [s[2] for s, f in zip(one.sums, one.feature, strict=True) if f < 0] == [int((one.routed(codes)[used] == v).sum()) for v, f in enumerate(one.feature) if f < 0]
+    many = B.joint([codes[:, j] for j in range(12)])
+    assert len(many.arrays) < 12 and all(np.prod([many.sizes[k] for k in group]) <= B.JOINT_CELLS for group in many.groups)

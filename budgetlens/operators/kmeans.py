@@ -22,7 +22,7 @@ from .boosting import uniform
 from .features import fit_standard_scaler, scaled
 
 TOLERANCE = 1e-4
-BLOCK_ROWS = 1 << 11
+BLOCK_ROWS = 1 << 9
 DIRECT_BYTES = 1 << 24  # sums of all tasks that the driver adds up
 
 
@@ -42,9 +42,23 @@ def standardised(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
     return rows.select(F.xxhash64(F.col(key)).alias("id"), F.array(*scaled(columns, fit)).alias("x"))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """The same rows in blocks, which every pass reads without taking arrays apart."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, x in _batches(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids, x)], names=["id", "x"])
+
+    return rows.mapInArrow(run, "id binary, x binary")
+
+
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, rows x columns) of ``standardised`` rows, ``packed`` or not."""
     for b in batches:
-        if b.num_rows:
+        if pa.types.is_binary(b.schema.types[0]):
+            for i in range(b.num_rows):
+                ids = np.frombuffer(b.column(0)[i].as_buffer(), np.int64)
+                yield ids, np.frombuffer(b.column(1)[i].as_buffer()).reshape(len(ids), -1)
+        elif b.num_rows:
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             yield b.column(0).to_numpy(), x
 
@@ -74,7 +88,8 @@ def seeds(rows: DataFrame, starts: int, k: int, seed: int = SEED) -> np.ndarray:
                     with np.errstate(divide="ignore"):
                         score = -np.log(np.maximum(uniform(ids, seed, s, step), 1e-300)) / weight
                     score = np.where(weight > 0, score, 1e300)  # a copy of a centre: only if nothing else is left
-                    i = int(np.lexsort((ids, score))[0])
+                    least = np.flatnonzero(score == score.min())
+                    i = int(least[np.argmin(ids[least])])
                     best[s] = min(best.get(s, (np.inf, 0, None)), (float(score[i]), int(ids[i]), x[i].tolist()), key=lambda v: v[:2])
             yield pa.RecordBatch.from_pylist([{"s": s, "score": a, "id": i, "x": v} for s, (a, i, v) in best.items()],
                                              schema=pa.schema([("s", pa.int32()), ("score", pa.float64()), ("id", pa.int64()), ("x", pa.list_(pa.float64()))]))
@@ -116,27 +131,34 @@ def _added(rows: DataFrame, parts, size: int) -> dict[int, np.ndarray]:
     return total
 
 
-def _sums(x: np.ndarray, centres: np.ndarray, norm: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """(cost, rows, column sums) of each centre, flat; ``ones``: the rows after a column of ones."""
-    d = (-2 * centres) @ x.T  # centres x rows: the few centres are compared by whole rows
-    d += norm
-    d += (centres * centres).sum(axis=1)[:, None]
-    np.maximum(d, 0.0, out=d)
-    least = d.min(axis=0)
-    own = d == least
-    if np.count_nonzero(own) > len(x):  # ties go to the first centre
-        own = np.arange(len(centres))[:, None] == own.argmax(axis=0)
+def _sums(ones: np.ndarray, norm: np.ndarray, models: int, centres: np.ndarray) -> np.ndarray:
+    """(cost, rows, column sums) of each centre, as (model, centre, number). ``ones``: the rows after a column of ones; ``centres``:
+    of models with equally many, stacked, as what makes a squared distance but for the row's norm."""
+    d = (centres @ ones.T).reshape(models, -1, len(ones))  # the few centres are compared by whole rows
+    least = d.min(axis=1)
+    own = d == least[:, None]
+    if np.count_nonzero(own) > least.size:  # ties go to the first centre
+        own = np.arange(d.shape[1])[:, None] == d.argmin(axis=1)[:, None]
     own = own.astype(float)
-    return np.column_stack((own @ least, own @ ones)).ravel()
+    cost = own @ np.maximum(least + norm, 0.0)[:, :, None]
+    return np.concatenate((cost, (own.reshape(-1, len(ones)) @ ones).reshape(models, d.shape[1], -1)), axis=2)
 
 
 def _parts(x: np.ndarray, now: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-    """``_sums`` of every model over blocks of rows that stay in a core's cache."""
+    """Flat ``_sums`` of every model, those of equal size together, over blocks of rows that stay in a core's cache."""
+    sizes: dict[int, list[int]] = {}
+    for m, c in now.items():
+        sizes.setdefault(len(c), []).append(m)
+    stacks = [(models, np.concatenate([np.column_stack(((now[m] * now[m]).sum(axis=1), -2 * now[m])) for m in models])) for models in sizes.values()]
+    total: list = [0.0] * len(stacks)
     for a in range(0, len(x), BLOCK_ROWS):
         some = x[a : a + BLOCK_ROWS]
         norm, ones = (some * some).sum(axis=1), np.column_stack((np.ones(len(some)), some))
-        for m, c in now.items():
-            yield m, _sums(some, c, norm, ones)
+        for i, (models, centres) in enumerate(stacks):
+            total[i] = total[i] + _sums(ones, norm, len(models), centres)
+    for (models, _), sums in zip(stacks, total, strict=True):
+        for m, part in zip(models, sums, strict=True):
+            yield m, part.ravel()
 
 
 def lloyd(rows: DataFrame, models: list[np.ndarray]) -> list[tuple[np.ndarray, float]]:
@@ -192,7 +214,7 @@ def silhouettes(rows: DataFrame, models: list[np.ndarray]) -> list[float]:
 
 def sweep(df: DataFrame, columns: Sequence[str], key: str, ks: Sequence[int], starts: int = 10, seed: int = SEED) -> list[KMeansFit]:
     """For each k the best of ``starts`` fits by inertia, with its silhouette over all rows."""
-    rows = standardised(df, columns, key).persist()
+    rows = packed(standardised(df, columns, key)).persist()
     try:
         first = seeds(rows, starts, max(ks), seed)
         tried = [(k, s) for k in ks for s in range(starts)]

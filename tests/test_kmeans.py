@@ -78,3 +78,37 @@ def test_sums_beyond_the_direct_bound_meet_in_a_shuffle(spark, monkeypatch):
         monkeypatch.setattr(K, "DIRECT_BYTES", limit)
         both.append([(c.tolist(), cost) for c, cost in K.lloyd(rows, models)])
     assert all(np.allclose(a[0], b[0]) and np.isclose(a[1], b[1]) for a, b in zip(*both, strict=True))
+
+
+def test_packed_rows_give_the_same_fits_and_sweeps_read_them(blobs, monkeypatch):
+    rows = K.standardised(blobs, COLUMNS, "key")
+    blocks = K.packed(rows)
+    assert blocks.count() <= rows.rdd.getNumPartitions() < rows.count() == 260
+    first, again = K.seeds(rows, 3, 4), K.seeds(blocks, 3, 4)
+    assert np.array_equal(first, again)
+    models = [first[0], first[1][:2], first[2]]
+    for (a, cost), (b, same) in zip(K.lloyd(rows, models), K.lloyd(blocks, models), strict=True):
+        assert np.allclose(a, b) and cost == pytest.approx(same)
+    assert np.allclose(K.silhouettes(rows, models), K.silhouettes(blocks, models))
+    read, lloyd = [], K.lloyd
+    monkeypatch.setattr(K, "lloyd", lambda rows, models: read.append(rows.schema["x"].dataType.typeName()) or lloyd(rows, models))
+    K.sweep(blobs, COLUMNS, "key", [2], starts=1)
+    assert read == ["binary"]
+
+
+def test_models_of_equal_size_are_worked_out_together(monkeypatch):
+    monkeypatch.setattr(K, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(100, 3))
+    now = {5: rng.normal(size=(3, 3)), 2: rng.normal(size=(2, 3)), 9: rng.normal(size=(3, 3))}
+    together = dict(K._parts(x, now))
+    assert set(together) == set(now)
+    for m, c in now.items():
+        assert np.allclose(together[m], dict(K._parts(x, {m: c}))[m])
+        d = ((x[:, None] - c) ** 2).sum(axis=2)
+        to = d.argmin(axis=1)
+        assert np.allclose(together[m].reshape(len(c), 5), [[d[to == k, k].sum(), (to == k).sum(), *x[to == k].sum(axis=0)] for k in range(len(c))])
+    with_calls, sums = [], K._sums
+    monkeypatch.setattr(K, "_sums", lambda ones, norm, models, centres: with_calls.append(models) or sums(ones, norm, models, centres))
+    dict(K._parts(x, now))
+    assert sorted(with_calls) == [1] * 7 + [2] * 7

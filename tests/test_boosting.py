@@ -228,3 +228,40 @@ def test_large_nodes_are_added_up_by_several_arrays_at_once(monkeypatch):
             assert [s[2] for s, f in zip(one.sums, one.feature, strict=True) if f < 0] == [int((one.routed(codes)[used] == v).sum()) for v, f in enumerate(one.feature) if f < 0]
     many = B.joint([codes[:, j] for j in range(12)])
     assert len(many.arrays) < 12 and all(np.prod([many.sizes[k] for k in group]) <= B.JOINT_CELLS for group in many.groups)
+
+
+@pytest.mark.parametrize("limits", [{}, {"VOTE_ROWS": 4, "VOTE_BLOCK": 40, "GATHER": 2}, {"VOTE_ROWS": 10**6}, {"VOTE_ROWS": 1, "VOTE_BLOCK": 7}])
+@pytest.mark.parametrize("least", [1, 3])
+def test_votes_in_one_number_give_the_sums_and_splits_of_each_class(monkeypatch, limits, least):
+    rng = np.random.default_rng(3)
+    codes = np.asfortranarray(np.column_stack([rng.integers(0, k, 900) for k in (255, 2, 3, 255, 7, 1)]).astype(np.uint8))
+    y = (codes[:, 0] + 60.0 * codes[:, 1] + rng.normal(0, 60, 900) > 150).astype(float)
+    spec, ids = B.TreeSpec(kind="forest", rounds=2, least_rows=least, balanced=True, node_columns=3), np.arange(900) * 31 + 7
+    for name, value in limits.items():
+        monkeypatch.setattr(B, name, value)
+    got = B.train(codes, y, ids, None, spec)
+    called = []
+    monkeypatch.setattr(B, "vote_splits", lambda codes, rows, at, slots, draws, *a: called.append(1) or [
+        # sums of each class and cell by themselves
+        plain_split(codes, rows[at == v], slots[v], draws, spec, a[2]) for v in range(len(slots))])
+    want = B.train(codes, y, ids, None, spec)
+    assert called
+    for a, b in zip(got.trees, want.trees, strict=True):
+        assert len(a.feature) > 60 and a.feature == b.feature and a.cut == b.cut and a.left == b.left
+        assert np.allclose(a.sums, b.sums, rtol=1e-12, atol=1e-9)
+
+
+def plain_split(codes, rows, columns, draws, spec, votes):
+    times, label = draws[rows] >> 1, draws[rows] & 1
+    weight = times * np.where(label == 1, votes[0], votes[1])
+    G, H, n = -(weight * label).sum(), weight.sum(), len(rows)
+    best = B.NONE
+    for j in columns:
+        for cut in np.unique(codes[rows, j])[:-1]:
+            low = codes[rows, j] <= cut
+            gl, hl, nl = -(weight * label)[low].sum(), weight[low].sum(), int(low.sum())
+            if min(hl, H - hl) >= spec.least_hessian and min(nl, n - nl) >= spec.least_rows:
+                gain = gl**2 / hl + (G - gl) ** 2 / (H - hl) - G**2 / H
+                if gain > max(best[0] * (1 + 1e-10), 1e-9 * max(1.0, abs(G))):
+                    best = (gain, int(j), int(cut), gl, hl, nl)
+    return (G, H, n), best

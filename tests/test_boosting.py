@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from budgetlens.operators import boosting as B
 
 COLUMNS = ["a", "b", "c", "d"]
@@ -265,3 +267,30 @@ def plain_split(codes, rows, columns, draws, spec, votes):
                 if gain > max(best[0] * (1 + 1e-10), 1e-9 * max(1.0, abs(G))):
                     best = (gain, int(j), int(cut), gl, hl, nl)
     return (G, H, n), best
+
+
+def test_tasks_that_read_their_rows_give_the_scores_of_broadcast_rows(data, monkeypatch):
+    specs = {"boost": B.TreeSpec(rounds=6, rate=0.3, depth=3, row_share=0.8, l2=1.0, least_hessian=1.0),
+             "forest": B.TreeSpec(kind="forest", rounds=20, least_rows=2, balanced=True, node_columns=2)}
+    twice = data.unionByName(data.where("key < 40")).withColumn("key", F.expr("if(key = 7, null, key)"))  # keys repeat or are missing
+    monkeypatch.setattr(B, "FOREST_PART", 6)
+    order = ["model", "fold", "k", "label", "p"]
+    want = sorted(map(tuple, B.cross_scores(twice, specs, COLUMNS, "y", "key", "fold", 3).select(order).collect()), key=str)
+    monkeypatch.setattr(B, "LOCAL_CELLS", 0)
+    monkeypatch.setattr(B, "OUT_ROWS", 50)
+    monkeypatch.setattr(B, "over_rows", None)  # a job a level must not run
+    added = B._added
+    monkeypatch.setattr(B, "_added", lambda found, todo: lists.append(found.rdd.getNumPartitions()) or added(found, todo))
+    lists = []
+    got = sorted(map(tuple, B.cross_scores(twice, specs, COLUMNS, "y", "key", "fold", 3).select(order).collect()), key=str)
+    assert len(got) == len(want) == 2 * 1040
+    assert lists[0] > 6  # each list of work is a task by itself
+    assert [r[:4] for r in got] == [r[:4] for r in want]
+    assert np.allclose([r[4] for r in got], [r[4] for r in want], atol=1e-12)
+
+
+def test_work_is_dealt_to_lists_of_one_fold():
+    tasks = [B.Task(n, f, B.TreeSpec(kind="forest", rounds=40)) for n in "ab" for f in range(3)]
+    lists = B._dealt(tasks, 6)
+    assert sorted(x for pieces in lists for x in pieces) == [(i, j, part) for i, t in enumerate(tasks) for j, part in enumerate(B._parts(t.spec))]
+    assert all(len({tasks[i].fold for i, _, _ in pieces}) == 1 for pieces in lists) and len(lists) <= 24

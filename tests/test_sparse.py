@@ -129,3 +129,30 @@ def test_rows_of_one_task_are_dealt_out_and_shared_by_all_models(spark, monkeypa
     both = SP.fit_sparse_each(rows, index.width, [(1.0, "log"), (0.5, "squared hinge")])
     assert len(packs) == 1 and both[1].gradient <= TOLERANCE
     assert np.allclose(want.level, both[0].level, atol=1e-6) and np.allclose(want.numeric, both[0].numeric, atol=1e-6)
+
+
+def test_long_vectors_are_fitted_one_model_at_a_time_with_the_same_result(spark, monkeypatch):
+    import threading
+
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([([float(a)], [int(b)], int(a + b % 3 > 1)) for a, b in zip(rng.normal(size=300), rng.integers(0, 40, 300))], "x array<double>, levels array<bigint>, label int").repartition(3)
+    models = [(1.0, "log"), (1.0, "squared hinge")]
+    want, running, most = SP.fit_sparse_each(df, 40, models), [], []
+    fit, lock = SP._newton_cg, threading.Lock()
+
+    def one(*a):
+        with lock:
+            running.append(1)
+            most.append(len(running))
+        try:
+            return fit(*a)
+        finally:
+            running.pop()
+
+    monkeypatch.setattr(SP, "_newton_cg", one)
+    for name, value in (("APART_BYTES", 0), ("DIRECT_BYTES", 0), ("BLOCK", 8)):
+        monkeypatch.setattr(SP, name, value)
+    got = SP.fit_sparse_each(df, 40, models)
+    assert max(most) == 1
+    for a, b in zip(got, want, strict=True):
+        assert np.allclose(np.r_[a.numeric, a.level, a.intercept], np.r_[b.numeric, b.level, b.intercept], atol=1e-6)

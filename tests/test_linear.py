@@ -88,3 +88,17 @@ def test_all_c_share_their_passes_and_slots_give_the_same_sums(rows, monkeypatch
     monkeypatch.setattr(L, "DIRECT_BYTES", 0)
     for one, two, three in zip(together, alone, L.fit_linear_each(df, cs, weight="w"), strict=True):
         assert np.allclose(one.coef, two.coef, atol=1e-9) and np.allclose(one.coef, three.coef, atol=1e-9)
+
+
+def test_kept_rows_are_blocks_of_numbers(rows):
+    from pyspark.ml.functions import vector_to_array
+
+    from budgetlens.operators import linear as L
+
+    df, x, y, s = rows
+    flat = df.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"), F.col("w").alias("s"), F.lit(3).alias("slot"))
+    blocks = L._packed(flat).collect()
+    assert len(blocks) == 5 and {b.slot for b in blocks} == {3}  # one a batch, not one a row
+    got = np.concatenate([np.c_[np.frombuffer(b.x).reshape(-1, 6), np.frombuffer(b.y), np.frombuffer(b.s)] for b in blocks])
+    want = np.c_[x, y, s]
+    assert np.array_equal(got[np.lexsort(got.T)], want[np.lexsort(want.T)])
